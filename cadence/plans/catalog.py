@@ -8,6 +8,7 @@ from cadence.plans import registry
 
 _MODULES = [
     "cadence.plans.q_runs",
+    "cadence.plans.q_targets",
 ]
 
 _loaded = False
