@@ -52,13 +52,17 @@ def epoch_ms_to_ts(ms) -> Column:
 def epoch_by_digits(v) -> Column:
     """H7: request epoch; divisor 1000 for 13 digits, 10000 for 14, else 100.
 
-    The quotient is in seconds, so the timestamp is built from microseconds
-    ``v * 1e6 / divisor`` to keep the fraction.
+    The quotient is in seconds; it is turned into microseconds with exact
+    integer arithmetic (quotient and remainder separately, no overflow).
     """
     x = _c(v).cast("bigint")
     n = F.length(F.abs(x).cast("string"))
-    div = F.when(n == 13, 1000).when(n == 14, 10000).otherwise(100)
-    return F.timestamp_micros((x * F.lit(1_000_000) / div).cast("bigint"))
+    div = F.when(n == 13, 1000).when(n == 14, 10000).otherwise(100).cast("bigint")
+    r = F.pmod(x, div)
+    q = ((x - r) / div).cast("bigint")
+    r6 = r * F.lit(1_000_000)
+    frac = ((r6 - F.pmod(r6, div)) / div).cast("bigint")
+    return F.timestamp_micros(q * F.lit(1_000_000) + frac)
 
 
 def escape_feature_name(name: str) -> str:
@@ -72,13 +76,12 @@ def target_column_name(target: str) -> str:
 
 
 def is_phone(s) -> Column:
-    """Phone-number predicate (optional +, digits with separators)."""
+    """Phone-number predicate over a whole value."""
     return _c(s).rlike(PHONE_PATTERN)
 
 
-# Phone pattern (international prefix, 7+ digits with - . space separators
-# or parentheses).
-PHONE_PATTERN = r"^\+?[0-9][0-9 ()\-.]{6,}[0-9]$"
+# Phone-number pattern of the reference (whole-value match).
+PHONE_PATTERN = r"^\+?(([\(\) \\\/\d]{1,10})(-| )?){2,5}$"
 
 
 def flatten_json(df: DataFrame, col: str, schema: T.StructType | str, sep: str = ".") -> DataFrame:

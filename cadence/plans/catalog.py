@@ -9,6 +9,7 @@ from cadence.plans import registry
 _MODULES = [
     "cadence.plans.q_runs",
     "cadence.plans.q_targets",
+    "cadence.plans.q_clean",
 ]
 
 _loaded = False
