@@ -10,6 +10,7 @@ _MODULES = [
     "cadence.plans.q_runs",
     "cadence.plans.q_targets",
     "cadence.plans.q_clean",
+    "cadence.plans.q_profile",
 ]
 
 _loaded = False
