@@ -197,3 +197,60 @@ def group_collect(df: DataFrame, key: str, item: str) -> DataFrame:
     """
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("count"),
                                F.collect_list(item).alias("items"))
+
+
+def shifted(df: DataFrame, value: str | Column, order_by, partition_by=None, bucket=None,
+            direction: str = "lag", out: str = "prev") -> DataFrame:
+    """Previous (``lag``) or next (``lead``) value in the order, per partition,
+    without a window over a whole partition: local lag/lead inside
+    ``(partition_by, bucket)``; the bucket's first (last) row takes the
+    neighbouring non-empty bucket's last (first) value from a per-bucket
+    summary. Null when there is no neighbour.
+    """
+    parts = list(partition_by or [])
+    part_cols = _cols(parts)
+    order = _cols(order_by)
+    v = F.col(value) if isinstance(value, str) else value
+    b = _bucket_expr(df, order_by, bucket)
+    x = df.withColumn(_B, b).withColumn("__v", F.struct(v.alias("v")))
+    w = Window.partitionBy(*part_cols, F.col(_B)).orderBy(*order)
+    fn = F.lag if direction == "lag" else F.lead
+    x = x.withColumn("__loc", fn("__v").over(w))
+    okey = F.struct(*order)
+    summ = x.groupBy(*parts, _B).agg(F.max_by("__v", okey).alias("__last"),
+                                     F.min_by("__v", okey).alias("__first"))
+    wb = Window.partitionBy(*part_cols).orderBy(F.col(_B))
+    nb = F.lag("__last").over(wb) if direction == "lag" else F.lead("__first").over(wb)
+    summ = summ.select(*parts, _B, nb.alias("__nb"))
+    if not parts:
+        summ = bounded_broadcast(summ, 1_000_000)
+    j = x.join(summ, on=[*parts, _B], how="inner")
+    j = j.withColumn(out, F.coalesce(F.col("__loc"), F.col("__nb")).getField("v"))
+    return j.drop(_B, "__v", "__loc", "__nb")
+
+
+def suffix_any(df: DataFrame, cond: Column, order_by, partition_by=None, bucket=None,
+               out: str = "later") -> DataFrame:
+    """Whether ``cond`` holds on any STRICTLY later row of the partition.
+
+    Local suffix inside ``(partition_by, bucket)`` (reverse running max), plus
+    "any later bucket" from a per-bucket summary.
+    """
+    parts = list(partition_by or [])
+    part_cols = _cols(parts)
+    order = _cols(order_by)
+    b = _bucket_expr(df, order_by, bucket)
+    x = df.withColumn(_B, b).withColumn("__c", F.coalesce(cond, F.lit(False)).cast("int"))
+    rev = [c.desc() for c in order]
+    w = Window.partitionBy(*part_cols, F.col(_B)).orderBy(*rev) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("__loc", F.coalesce(F.max("__c").over(w), F.lit(0)))
+    summ = x.groupBy(*parts, _B).agg(F.max("__c").alias("__bc"))
+    wb = Window.partitionBy(*part_cols).orderBy(F.col(_B).desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(*parts, _B, F.coalesce(F.max("__bc").over(wb), F.lit(0)).alias("__nb"))
+    if not parts:
+        summ = bounded_broadcast(summ, 1_000_000)
+    j = x.join(summ, on=[*parts, _B], how="inner")
+    j = j.withColumn(out, (F.greatest("__loc", "__nb") == 1))
+    return j.drop(_B, "__c", "__loc", "__nb")

@@ -11,6 +11,8 @@ _MODULES = [
     "cadence.plans.q_targets",
     "cadence.plans.q_clean",
     "cadence.plans.q_profile",
+    "cadence.plans.q_lookup",
+    "cadence.plans.q_behaviour",
 ]
 
 _loaded = False
