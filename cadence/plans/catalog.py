@@ -13,6 +13,7 @@ _MODULES = [
     "cadence.plans.q_profile",
     "cadence.plans.q_lookup",
     "cadence.plans.q_behaviour",
+    "cadence.plans.q_text",
 ]
 
 _loaded = False
