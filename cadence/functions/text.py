@@ -23,6 +23,7 @@ PAD_TOKEN = "<pad>"
 # URL and e-mail patterns removed before language detection.
 RE_URL = r"https?://[-_.?&~;+=/#0-9A-Za-z]{1,2076}"
 RE_MAIL = r"[-_.0-9A-Za-z]{1,64}@[-_0-9A-Za-z]{1,255}[-_.0-9A-Za-z]{1,255}"
+RE_MAIL_FAST = RE_MAIL.replace("{1,64}@", "{1,64}+@")
 
 # N-gram character normalisation.
 LATIN1_EXCLUDED = "\u00a0\u00ab\u00b0\u00bb"       # become spaces
@@ -64,8 +65,12 @@ def strip_url_mail(s, max_chars: int | None = None) -> Column:
     """URLs and e-mail addresses -> space, runs of spaces -> one space.
     ``max_chars`` optionally keeps only the first characters (off by default:
     whole texts are processed)."""
-    t = F.regexp_replace(_c(s), RE_URL, " ")
-    t = F.regexp_replace(t, RE_MAIL, " ")
+    # the guards skip the scans for texts that cannot contain a match; the
+    # possessive local part cannot change the (leftmost) match because '@'
+    # is outside its character class, it only removes backtracking
+    t = _c(s)
+    t = F.when(F.instr(t, "http") > 0, F.regexp_replace(t, RE_URL, " ")).otherwise(t)
+    t = F.when(F.instr(t, "@") > 0, F.regexp_replace(t, RE_MAIL_FAST, " ")).otherwise(t)
     if max_chars:
         t = F.substring(t, 1, max_chars)
     return F.regexp_replace(t, " {2,}", " ")
@@ -82,10 +87,11 @@ def drop_minor_latin(s) -> Column:
 
 def normalize_ngram_chars(s) -> Column:
     """Per-character normalisation applied before n-gram extraction."""
-    t = F.regexp_replace(_c(s), r"[\x{0000}-\x{0040}\x{005B}-\x{0060}\x{007B}-\x{007F}]", " ")
-    t = F.regexp_replace(t, "[" + LATIN1_EXCLUDED + "]", " ")
+    # basic-latin non-letters, the excluded Latin-1 signs and general
+    # punctuation all become spaces: one scan
+    to_space = r"[\x{0000}-\x{0040}\x{005B}-\x{0060}\x{007B}-\x{007F}\x{2000}-\x{206F}" + LATIN1_EXCLUDED + "]"
+    t = F.regexp_replace(_c(s), to_space, " ")
     t = F.translate(t, ROMANIAN_FROM + FARSI_YEH, ROMANIAN_TO + ARABIC_YEH)
-    t = F.regexp_replace(t, r"[\x{2000}-\x{206F}]", " ")
     t = F.regexp_replace(t, r"[\x{1EA0}-\x{1EFF}]", LATIN_EXT_ADDITIONAL_REP)
     t = F.regexp_replace(t, r"[\x{3040}-\x{309F}]", HIRAGANA_REP)
     t = F.regexp_replace(t, r"[\x{30A0}-\x{30FF}]", KATAKANA_REP)

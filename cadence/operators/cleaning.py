@@ -136,10 +136,11 @@ def impute_mean(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or [c for c in df.columns if _is(df, c, T.NumericType)]
     if not cols:
         return df
-    stats = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    q = lambda c: F.col(f"`{c}`")  # noqa: E731  (generated names may hold dots)
+    stats = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     empty = [c for i, c in enumerate(cols) if stats[f"n{i}"] == 0]
-    fills = {c: F.coalesce(F.col(c), F.lit(stats[f"m{i}"]).cast(df.schema[c].dataType))
+    fills = {c: F.coalesce(q(c), F.lit(stats[f"m{i}"]).cast(df.schema[c].dataType))
              for i, c in enumerate(cols) if c not in empty}
     return df.drop(*empty).withColumns(fills)
 

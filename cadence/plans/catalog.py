@@ -14,6 +14,7 @@ _MODULES = [
     "cadence.plans.q_lookup",
     "cadence.plans.q_behaviour",
     "cadence.plans.q_text",
+    "cadence.plans.q_ml",
 ]
 
 _loaded = False
