@@ -15,6 +15,7 @@ _MODULES = [
     "cadence.plans.q_behaviour",
     "cadence.plans.q_text",
     "cadence.plans.q_ml",
+    "cadence.plans.q_stream",
 ]
 
 _loaded = False
