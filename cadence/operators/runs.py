@@ -149,21 +149,30 @@ def features_by_key(df: DataFrame, specs: list[dict], keys, order_by=None) -> Da
 
 
 def custom_run_features(df: DataFrame, fn, schema: str, keys, order_by,
-                        partition_by=None, bucket=None, run_col: str = "run_id") -> DataFrame:
+                        partition_by=None, bucket=None, run_col: str = "run_id",
+                        runs_per_group: int = 64) -> DataFrame:
     """User feature function over each run's elements.
 
     ``fn(pandas.DataFrame) -> pandas.DataFrame`` receives one run's rows in
-    order. Runs through ``applyInPandas`` (Arrow batches); the output schema
-    must include the grouping columns the function returns.
+    order. Runs through ``applyInPandas`` (Arrow batches). Up to
+    ``runs_per_group`` consecutive runs of an entity share one Arrow group
+    (a run is never split), which amortises the Python call overhead; a
+    single run is inherently one group because the function needs all of
+    its elements. The output schema must include the columns ``fn`` returns.
     """
+    import pandas as pd
+
     parts = list(partition_by or [])
     r = run_ids(df, keys, order_by, parts, bucket, run_col=run_col)
     order_names = [c for c in order_by if isinstance(c, str)]
+    r = r.withColumn("__rg", F.floor(F.col(run_col) / F.lit(runs_per_group)))
 
-    def _sorted(pdf):
-        return fn(pdf.sort_values(order_names, kind="mergesort").reset_index(drop=True))
+    def _per_group(pdf):
+        pdf = pdf.drop(columns=["__rg"]).sort_values([run_col, *order_names], kind="mergesort")
+        outs = [fn(g.reset_index(drop=True)) for _, g in pdf.groupby(run_col, sort=False)]
+        return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame()
 
-    return r.groupBy(*parts, run_col).applyInPandas(_sorted, schema=schema)
+    return r.groupBy(*parts, "__rg").applyInPandas(_per_group, schema=schema)
 
 
 def avg_features(df: DataFrame, names: list[str]) -> DataFrame:

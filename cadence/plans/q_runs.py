@@ -239,3 +239,34 @@ def q_group_collect(spark, sf_dir):
     return g.select("user_id", F.col("count").cast("bigint").alias("count"),
                     F.aggregate("items", F.lit(0).cast("bigint"),
                                 lambda acc, it: acc + it["n"]).alias("n_events"))
+
+
+def _value_range(pdf):
+    """A user feature function (N1/N3): value range and first event type of a run."""
+    import pandas as pd
+    v = pdf["value"].fillna(0.0)
+    return pd.DataFrame({"user_id": [int(pdf["user_id"].iloc[0])], "run_id": [int(pdf["run_id"].iloc[0])],
+                         "value_range": [float(v.max() - v.min())],
+                         "first_type": [pdf["event_type"].iloc[0]]})
+
+
+@register("custom_run_features", """
+WITH c AS (
+  SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM
+                 lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS chg
+  FROM events),
+r AS (SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS run_id FROM c)
+SELECT user_id, CAST(run_id AS BIGINT) AS run_id, round(max(coalesce(value, 0)) - min(coalesce(value, 0)), 6) AS value_range,
+       arg_min(event_type, (ts, event_id)) AS first_type
+FROM r GROUP BY user_id, run_id
+""")
+def q_custom_run_features(spark, sf_dir):
+    """A user's Python function over each run's ordered rows
+    (``applyInPandas``, Arrow batches) — the only Python-worker path here."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    out = runs.custom_run_features(ev, _value_range,
+                                   "user_id long, run_id long, value_range double, first_type string",
+                                   keys=["event_type"], order_by=["ts", "event_id"],
+                                   partition_by=["user_id"], bucket="day")
+    return out.select("user_id", "run_id", F.round("value_range", 6).alias("value_range"), "first_type")
