@@ -69,6 +69,9 @@ def train_profiles(df: DataFrame, text: str, label: str) -> tuple[DataFrame, Dat
     Returns (grams ``(lang, gram, n, count)``, totals ``(lang, n, total)``).
     """
     g = char_ngrams(df.select(F.col(label).alias("lang"), text), ["lang"], text)
+    # profiles are small (grams x languages) and read by every pruning branch:
+    # write them once to the shared checkpoint folder
+    g = cut_lineage(g)
     totals = g.groupBy("lang", "n").agg(F.sum("count").alias("total"))
     return g, totals
 
@@ -136,13 +139,20 @@ def detect_language(df: DataFrame, id_col: str, text: str, probs: DataFrame,
         logp = {k: -math.log(len(langs)) for k in langs}
     w = alpha / X.BASE_FREQ
     lw = math.log(w)
-    g = char_ngrams(df, [id_col], text, detect=True, max_chars=max_chars)
+    # grams are generated once per DISTINCT padded word (not per document):
+    # a word's score per language is the sum of its known grams' log terms,
+    # and a document's score is the count-weighted sum of its words' scores
+    wc = word_counts(df, [id_col], text, detect=True, max_chars=max_chars)
+    words = wc.select("pw").distinct()
+    wg = words.select("pw", F.explode(X.padded_grams(F.col("pw"))).alias("gram"))
     P = bounded_broadcast(probs.select("gram", "lang", "p"), PROBS_BROADCAST_ROWS)
     known = bounded_broadcast(probs.select("gram").distinct(), PROBS_BROADCAST_ROWS)
-    gk = g.join(known, "gram", "left_semi")
-    tot = gk.groupBy(id_col).agg(F.sum("count").alias("n_grams"))
-    contrib = gk.join(P, "gram").groupBy(id_col, "lang").agg(
-        F.sum(F.col("count") * (F.log(F.lit(w) + F.col("p")) - F.lit(lw))).alias("s"))
+    wk = wg.join(known, "gram", "left_semi")
+    w_known = wk.groupBy("pw").agg(F.count(F.lit(1)).alias("nk"))
+    w_score = wk.join(P, "gram").groupBy("pw", "lang").agg(
+        F.sum(F.log(F.lit(w) + F.col("p")) - F.lit(lw)).alias("ws"))
+    tot = wc.join(w_known, "pw").groupBy(id_col).agg(F.sum(F.col("cnt") * F.col("nk")).alias("n_grams"))
+    contrib = wc.join(w_score, "pw").groupBy(id_col, "lang").agg(F.sum(F.col("cnt") * F.col("ws")).alias("s"))
     per = contrib.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lang", "s"))).alias("m"))
     base = df.select(id_col).join(tot, id_col, "left").join(per, id_col, "left")
     n = F.coalesce(F.col("n_grams"), F.lit(0))
@@ -199,8 +209,17 @@ def build_vocab(df: DataFrame, text: str, size: int) -> tuple[DataFrame, DataFra
 
     Returns (vocab ``(token, id, count)``, stats ``(n_tokens, max_len)``).
     """
-    toks = df.select(X.char_tokens(F.col(text)).alias("t"))
-    counts = toks.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    # sanitised texts hold single spaces only: count words first, then the
+    # characters of each distinct word weighted by its count; spaces are
+    # counted arithmetically (words - 1 per non-empty text)
+    t = df.select(X.sanitize_text(F.col(text)).alias("t"))
+    words = t.filter(F.length("t") > 0).select(F.explode(F.split("t", " ")).alias("w")) \
+        .groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    chars = words.select(F.explode(F.split("w", "")).alias("token"), "c") \
+        .filter(F.col("token") != "").groupBy("token").agg(F.sum("c").alias("count"))
+    spaces = t.filter(F.length("t") > 0).agg(
+        F.sum(F.size(F.split("t", " ")) - 1).alias("count")).select(F.lit(X.WS_TOKEN).alias("token"), "count")
+    counts = chars.unionByName(spaces.filter(F.col("count") > 0))
     top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(size - 2)    # TakeOrdered
     w = Window.orderBy(F.col("count").desc(), F.col("token"))                         # <= size rows
     top = top.withColumn("id", (F.row_number().over(w) + 1).cast("int"))
@@ -209,7 +228,7 @@ def build_vocab(df: DataFrame, text: str, size: int) -> tuple[DataFrame, DataFra
                                     "token string, id int, count bigint")
     vocab = special.unionByName(top.select("token", "id", "count"))
     n_tokens = counts.select(F.count(F.lit(1))).scalar()
-    stats = toks.agg(F.max(F.size("t")).alias("max_len")).withColumn("n_tokens", n_tokens)
+    stats = t.agg(F.max(F.length("t")).alias("max_len")).withColumn("n_tokens", n_tokens)
     return vocab, stats
 
 
