@@ -2,8 +2,9 @@
 
 Codes are the reference's ``'1' + 8-bit`` binary strings (H3). A dictionary
 is a DataFrame ``(value, n, code)``; dense sequential numbers come from the
-bucketed position operator (no single-partition window over the values),
-and joins against the dictionary are broadcast only after a bounded count.
+bucketed position operator (no single-partition window over the values);
+joins against the dictionary are left to AQE, which broadcasts it from its
+measured size.
 """
 
 from __future__ import annotations
@@ -14,9 +15,6 @@ from pyspark.sql import types as T
 
 from cadence.functions.scalars import code_to_int, int_to_code
 from cadence.operators.runs import row_positions
-from cadence.plans.sizing import bounded_broadcast
-
-DICT_BROADCAST_ROWS = 2_000_000
 
 
 def _monotone_bucket(df: DataFrame, col: str) -> Column:
@@ -68,8 +66,8 @@ def encode(df: DataFrame, col: str, dictionary: DataFrame,
     nxt = dictionary.agg(F.coalesce(F.max("n") + 1, F.lit(0)).alias("m")).first()["m"]
     extra = build_dictionary(unseen, "value", offset=int(nxt))
     full = dictionary.select("value", "n", "code").unionByName(extra)
-    d = bounded_broadcast(full.select(F.col("value").alias("__v"), F.col("code").alias("__code")),
-                          DICT_BROADCAST_ROWS)
+    # the dictionary is derived data: AQE broadcasts it from its measured size
+    d = full.select(F.col("value").alias("__v"), F.col("code").alias("__code"))
     enc = df.join(d, F.col(col) == F.col("__v"), "left").drop("__v")
     enc = enc.drop(col).withColumnRenamed("__code", out) if out == col else \
         enc.withColumnRenamed("__code", out)
@@ -79,8 +77,7 @@ def encode(df: DataFrame, col: str, dictionary: DataFrame,
 def decode(df: DataFrame, col: str, dictionary: DataFrame, out: str | None = None) -> DataFrame:
     """I4: code (or decoded integer) back to the plain value."""
     out = out or col
-    d = bounded_broadcast(dictionary.select(F.col("code").alias("__c"), F.col("value").alias("__val")),
-                          DICT_BROADCAST_ROWS)
+    d = dictionary.select(F.col("code").alias("__c"), F.col("value").alias("__val"))
     dec = df.join(d, F.col(col) == F.col("__c"), "left").drop("__c")
     return dec.drop(col).withColumnRenamed("__val", out) if out == col else \
         dec.withColumnRenamed("__val", out)

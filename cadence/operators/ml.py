@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.cleaning import nan_to_num
-from cadence.plans.sizing import bounded_broadcast
 
 
 # ------------------------------------------------------------------ L2
@@ -212,7 +211,7 @@ def nearest_centroid(train: DataFrame, test: DataFrame, vec: str, label: str, id
     """
     tr = train.select(F.col(label).alias("lbl"), F.posexplode(vec).alias("pos", "v"))
     cent = tr.groupBy("lbl", "pos").agg(F.avg(F.col("v").cast("double")).alias("c"))
-    cent = bounded_broadcast(cent, 10_000_000)
+    # labels x dimensions rows: AQE broadcasts from the measured size
     te = test.select(F.col(id_col).alias("id"), F.posexplode(vec).alias("pos", "v"))
     d = te.join(cent, "pos").groupBy("id", "lbl").agg(
         F.sum((F.col("v").cast("double") - F.col("c")) ** 2).alias("d2"))

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadence.functions.features import compile_features
-from cadence.plans.sizing import bounded_broadcast
 
 _B = "__bucket"
 
@@ -46,7 +45,7 @@ def _bucket_expr(df: DataFrame, order_by, bucket) -> Column:
 
 
 def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
-            run_col: str = "run_id", max_broadcast_buckets: int = 1_000_000) -> DataFrame:
+            run_col: str = "run_id") -> DataFrame:
     """Add ``run_col`` (0-based consecutive-run number, per ``partition_by``).
 
     ``keys`` may be column names or Columns (a user grouping function, N4);
@@ -90,8 +89,8 @@ def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
     summ = summ.withColumn("__off", F.coalesce(F.sum(F.col("__n") - F.col("__m")).over(
         w_b.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("__m"))
     summ = summ.select(*parts, _B, "__off")
-    if not parts:
-        summ = bounded_broadcast(summ, max_broadcast_buckets)
+    # the summary has one row per bucket: AQE broadcasts it from its measured
+    # shuffle size (counting it up front would re-run the whole upstream plan)
     out = x.join(summ, on=[*parts, _B], how="inner")
     out = out.withColumn(run_col, (F.col("__off") + F.col("__local") - 1).cast("bigint"))
     return out.drop(_B, "__k", "__chg", "__local", "__off")
@@ -231,8 +230,6 @@ def shifted(df: DataFrame, value: str | Column, order_by, partition_by=None, buc
     wb = Window.partitionBy(*part_cols).orderBy(F.col(_B))
     nb = F.lag("__last").over(wb) if direction == "lag" else F.lead("__first").over(wb)
     summ = summ.select(*parts, _B, nb.alias("__nb"))
-    if not parts:
-        summ = bounded_broadcast(summ, 1_000_000)
     j = x.join(summ, on=[*parts, _B], how="inner")
     j = j.withColumn(out, F.coalesce(F.col("__loc"), F.col("__nb")).getField("v"))
     return j.drop(_B, "__v", "__loc", "__nb")
@@ -258,8 +255,6 @@ def suffix_any(df: DataFrame, cond: Column, order_by, partition_by=None, bucket=
     wb = Window.partitionBy(*part_cols).orderBy(F.col(_B).desc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*parts, _B, F.coalesce(F.max("__bc").over(wb), F.lit(0)).alias("__nb"))
-    if not parts:
-        summ = bounded_broadcast(summ, 1_000_000)
     j = x.join(summ, on=[*parts, _B], how="inner")
     j = j.withColumn(out, (F.greatest("__loc", "__nb") == 1))
     return j.drop(_B, "__c", "__loc", "__nb")
