@@ -339,3 +339,8 @@ def spec(type: str = "direct", name: str | None = None, key=None, **kw) -> dict:
     d = {"type": type, "name": name, "key": key}
     d.update(kw)
     return d
+
+
+def custom_feature_title(fn, title: str | None = None) -> str:
+    """A custom feature is named by its title, else by its function's name."""
+    return feature_title({"title": title or getattr(fn, "__name__", "custom")})

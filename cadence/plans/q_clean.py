@@ -309,3 +309,38 @@ def q_json_flatten(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "props")
     schema = T.StructType([T.StructField("k", T.LongType())])
     return S.flatten_json(e, "props", schema)
+
+
+@register("file_source_csv", """
+SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events
+""")
+def q_file_source_csv(spark, sf_dir):
+    """A14 -> A1: export the events to CSV (shared scratch folder), read them
+    back through the file source (schema inference, ±Inf -> null, drop rows
+    with nulls)."""
+    import uuid
+
+    from cadence.session import scratch_path
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex[:12]}")
+    sinks.export_csv(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), path)
+    back = readers.read_file(spark, path, fmt="csv")
+    return back.select(F.col("event_id").cast("bigint").alias("event_id"), F.col("user_id").cast("bigint").alias("user_id"),
+                       "event_type", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@register("collection_read", f"""
+SELECT event_id, user_id, tok, round(x, 6) AS x FROM {_DIRTY_SQL} d
+WHERE tok IS NOT NULL AND tok NOT IN ('NULL', 'null', '') AND x IS NOT NULL AND NOT isnan(x)
+  AND abs(x) != 'inf'::DOUBLE
+""")
+def q_collection_read(spark, sf_dir):
+    """A stored collection (written parquet) read with null-token
+    filtering on all fields, id dropped, ±Inf -> null and null rows dropped."""
+    import uuid
+
+    from cadence.session import scratch_path
+    path = scratch_path(spark, f"coll-{uuid.uuid4().hex[:12]}")
+    d = dirty_events(spark, sf_dir).select(F.col("event_id").alias("_id"), "event_id", "user_id", "tok", "x")
+    d.write.parquet(path)
+    back = readers.read_collection(spark, path)
+    return back.select("event_id", "user_id", "tok", F.round("x", 6).alias("x"))
