@@ -84,7 +84,9 @@ def asof_join(probe: DataFrame, build: DataFrame, keys: list[str], probe_t: Colu
     heads = B.withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_us))) \
         .groupBy(*kn, "__b").agg(F.min_by(F.struct(F.col("__t").alias("t"), F.col("__m").alias("m")),
                                           rank).alias("__h"))
-    need = L.filter(F.col("__loc").isNull()).select(*kn, "__b").distinct() \
+    # probe buckets come straight from the probe side (a narrow scan), so the
+    # big union window is evaluated once
+    need = P.select(*kn, F.floor(F.col("__t") / F.lit(bucket_us)).alias("__b")).distinct() \
         .withColumn("__h", F.lit(None).cast(heads.schema["__h"].dataType)).withColumn("__f", F.lit(1))
     S = heads.withColumn("__f", F.lit(0)).unionByName(need)
     ob = [F.col("__b").desc() if fwd else F.col("__b").asc(), F.col("__f").desc()]
