@@ -48,7 +48,7 @@ def word_counts(df: DataFrame, keys: list[str], text: str, detect: bool = False,
     profile trainer sees the raw text. Both then normalise characters (H15).
     """
     t = X.detection_text(F.col(text), max_chars) if detect else F.col(text)
-    t = X.normalize_ngram_chars(t)
+    t = X.normalize_ngram_chars(t, collapse=True)
     ws = df.select(*keys, F.split(t, " ").alias("__ws"))
     w = ws.select(*keys, F.explode(X.word_paddings("__ws")).alias("pw"))
     return w.groupBy(*keys, "pw").agg(F.count(F.lit(1)).alias("cnt"))
@@ -142,17 +142,25 @@ def detect_language(df: DataFrame, id_col: str, text: str, probs: DataFrame,
     # grams are generated once per DISTINCT padded word (not per document):
     # a word's score per language is the sum of its known grams' log terms,
     # and a document's score is the count-weighted sum of its words' scores
-    wc = word_counts(df, [id_col], text, detect=True, max_chars=max_chars)
+    # (document, word, count) feeds the distinct-word table and the scoring
+    # join: write it once to the shared checkpoint folder instead of running
+    # the regex pipeline for each consumer
+    wc = cut_lineage(word_counts(df, [id_col], text, detect=True, max_chars=max_chars))
     words = wc.select("pw").distinct()
     wg = words.select("pw", F.explode(X.padded_grams(F.col("pw"))).alias("gram"))
     P = bounded_broadcast(probs.select("gram", "lang", "p"), PROBS_BROADCAST_ROWS)
     known = bounded_broadcast(probs.select("gram").distinct(), PROBS_BROADCAST_ROWS)
     wk = wg.join(known, "gram", "left_semi")
-    w_known = wk.groupBy("pw").agg(F.count(F.lit(1)).alias("nk"))
+    # per word: the number of known grams (pseudo-language "") and, per
+    # language, the sum of its grams' log terms -- one table, one join
+    w_known = wk.groupBy("pw").agg(F.count(F.lit(1)).cast("double").alias("ws")) \
+        .select("pw", F.lit("").alias("lang"), "ws")
     w_score = wk.join(P, "gram").groupBy("pw", "lang").agg(
         F.sum(F.log(F.lit(w) + F.col("p")) - F.lit(lw)).alias("ws"))
-    tot = wc.join(w_known, "pw").groupBy(id_col).agg(F.sum(F.col("cnt") * F.col("nk")).alias("n_grams"))
-    contrib = wc.join(w_score, "pw").groupBy(id_col, "lang").agg(F.sum(F.col("cnt") * F.col("ws")).alias("s"))
+    sums = wc.join(w_score.unionByName(w_known), "pw").groupBy(id_col, "lang") \
+        .agg(F.sum(F.col("cnt") * F.col("ws")).alias("s"))
+    tot = sums.filter(F.col("lang") == "").select(id_col, F.col("s").cast("long").alias("n_grams"))
+    contrib = sums.filter(F.col("lang") != "")
     per = contrib.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lang", "s"))).alias("m"))
     base = df.select(id_col).join(tot, id_col, "left").join(per, id_col, "left")
     n = F.coalesce(F.col("n_grams"), F.lit(0))

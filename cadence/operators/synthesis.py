@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from cadence.operators import cleaning as B
 from cadence.operators.encodings import one_hot
 from cadence.operators.targets import split_targets
+from cadence.session import cut_lineage
 
 NUMERIC_AGGS = ("sum", "mean", "max", "min", "std", "count")
 _TS = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -83,7 +84,9 @@ def deep_features(entity: Entity, depth: int = 2, encode: list[str] | None = Non
                   top_n: int = 10) -> DataFrame:
     """L1 end to end: synthesise, one-hot frequent categories, drop all-null
     columns and mean-impute the rest."""
-    df = synthesize(entity, depth)
+    # the synthesised table (one row per parent) is read by the imputation
+    # statistics and by the output: materialise it once in the shared folder
+    df = cut_lineage(synthesize(entity, depth))
     for c in encode or []:
         df = one_hot(df, c, top_n=top_n)
     return B.impute_mean(df)
