@@ -45,14 +45,16 @@ def _bucket_expr(df: DataFrame, order_by, bucket) -> Column:
 
 
 def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
-            run_col: str = "run_id") -> DataFrame:
+            run_col: str = "run_id", flags: bool = False) -> DataFrame:
     """Add ``run_col`` (0-based consecutive-run number, per ``partition_by``).
 
     ``keys`` may be column names or Columns (a user grouping function, N4);
     an empty ``keys`` makes every row its own run (E2), so the run number is
     then the row's 0-based position in the order.
     ``order_by`` must be a total order inside a partition (add a unique
-    tie-break column).
+    tie-break column). ``flags=True`` also adds ``run_start``/``run_end``
+    booleans (first/last row of its run), computed in the same window pass
+    plus the neighbouring bucket's merge flag from the summary.
     """
     keys = _cols(keys)
     order = _cols(order_by)
@@ -73,6 +75,9 @@ def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
     x = x.withColumn("__chg", chg)
     x = x.withColumn("__local", F.sum("__chg").over(
         w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if flags:
+        x = x.withColumn("__bf", F.row_number().over(w_local) == 1) \
+             .withColumn("__nchg", F.lead("__chg").over(w_local))
 
     # one row per (partition, bucket)
     okey = F.struct(*order)
@@ -88,12 +93,20 @@ def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
     summ = summ.withColumn("__m", merge)
     summ = summ.withColumn("__off", F.coalesce(F.sum(F.col("__n") - F.col("__m")).over(
         w_b.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("__m"))
-    summ = summ.select(*parts, _B, "__off")
+    keep = ["__off"]
+    if flags:
+        summ = summ.withColumn("__nm", F.lead("__m").over(w_b))
+        keep += ["__m", "__nm"]
+    summ = summ.select(*parts, _B, *keep)
     # the summary has one row per bucket: AQE broadcasts it from its measured
     # shuffle size (counting it up front would re-run the whole upstream plan)
     out = x.join(summ, on=[*parts, _B], how="inner")
     out = out.withColumn(run_col, (F.col("__off") + F.col("__local") - 1).cast("bigint"))
-    return out.drop(_B, "__k", "__chg", "__local", "__off")
+    if flags:
+        out = out.withColumn("run_start", (F.col("__chg") == 1) & ~(F.col("__bf") & (F.col("__m") == 1))) \
+            .withColumn("run_end", F.when(F.col("__nchg").isNotNull(), F.col("__nchg") == 1)
+                        .otherwise(F.coalesce(F.col("__nm") != 1, F.lit(True))))
+    return out.drop(_B, "__k", "__chg", "__local", "__off", "__bf", "__nchg", "__m", "__nm")
 
 
 def row_positions(df: DataFrame, order_by, partition_by=None, bucket=None,
@@ -121,18 +134,23 @@ def features_by_run(df: DataFrame, specs: list[dict], keys, order_by, ts_col: st
     unbounded (a hot key's run is collected into one row).
     """
     parts = list(partition_by or [])
-    r = run_ids(df, keys, order_by, parts, bucket, run_col=run_col)
+    r = run_ids(df, keys, order_by, parts, bucket, run_col=run_col, flags=True)
     order = F.struct(*_cols(order_by))
     feats = compile_features(specs, df.schema, order=order)
+    # the run's key values are constant inside a run: grouping columns, not
+    # aggregates; start/end rows come from the run flags, so every aggregate
+    # here has a fixed-width buffer and Spark can hash-aggregate
     key_cols = [k for k in (keys or []) if isinstance(k, str)]
-    aggs = [F.min_by(F.col(k), order).alias(k) for k in key_cols]
-    aggs += [F.min_by(F.col(ts_col), order).alias("_ts"),
-             F.count(F.lit(1)).alias("n_elements"),
-             F.min_by(F.col(id_col), order).alias("first_id"),
-             F.max_by(F.col(id_col), order).alias("last_id")]
+    first = lambda c: F.max(F.when(F.col("run_start"), F.col(c)))
+    aggs = [first(ts_col).alias("_ts"),
+            F.count(F.lit(1)).alias("n_elements"),
+            first(id_col).alias("first_id"),
+            F.max(F.when(F.col("run_end"), F.col(id_col))).alias("last_id")]
     if member_ids:
         aggs.append(F.array_sort(F.collect_list(id_col)).alias("_did"))
-    return r.groupBy(*parts, run_col).agg(*aggs, *feats)
+    out = r.groupBy(*parts, run_col, *key_cols).agg(*aggs, *feats)
+    return out.select(*parts, run_col, *key_cols, *[c for c in out.columns
+                                                     if c not in set(parts) | {run_col} | set(key_cols)])
 
 
 def features_global(df: DataFrame, specs: list[dict], order_by=None) -> DataFrame:

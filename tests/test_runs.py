@@ -46,3 +46,14 @@ def test_chunks_lag_lead_suffix(spark):
     from pyspark.sql import functions as F
     got = _ids(suffix_any(df, F.col("k") == "z", ["ts", "id"], bucket="hour"), "later")
     assert got == [True, True, False, False, False]
+
+
+def test_run_flags_across_buckets(spark):
+    keys = ["a", "a", "a", "b", "b", "a"]
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=5 * i), k) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, k string")
+    r = run_ids(df, ["k"], ["ts", "id"], bucket="day", flags=True).orderBy("id").collect()
+    assert [x["run_start"] for x in r] == [True, False, False, True, False, True]
+    assert [x["run_end"] for x in r] == [False, False, True, False, True, True]
+    r2 = run_ids(df, [], ["ts", "id"], bucket="day", flags=True).collect()
+    assert all(x["run_start"] and x["run_end"] for x in r2)
