@@ -41,7 +41,7 @@ def user_days(df: DataFrame, user: str, ts: str, label: str, id_col: str) -> Dat
 
 
 def transition_probs(df: DataFrame, user: str, state: str, order_by: list[str],
-                     depth: int = 1, bucket: str = "day") -> DataFrame:
+                     depth: int = 1, bucket: str = "adaptive:day") -> DataFrame:
     """O3: P(node | parent) = visits(parent -> node) / visits(parent with a successor).
 
     A node is the path of the last ``depth + 1`` states; its parent the path
@@ -63,7 +63,7 @@ def transition_probs(df: DataFrame, user: str, state: str, order_by: list[str],
 
 
 def goal_probs(df: DataFrame, user: str, state: str, order_by: list[str], goal: str,
-               bucket: str = "day") -> DataFrame:
+               bucket: str = "adaptive:day") -> DataFrame:
     """For each state, the share of its visits after which the user reaches
     ``goal`` later on. Output ``(state, visits, reached, prob)``."""
     x = suffix_any(df, F.col(state) == F.lit(goal), order_by, partition_by=[user], bucket=bucket,
@@ -74,7 +74,7 @@ def goal_probs(df: DataFrame, user: str, state: str, order_by: list[str], goal:
 
 
 def best_next(df: DataFrame, user: str, state: str, order_by: list[str], goal: str,
-              bucket: str = "day") -> DataFrame:
+              bucket: str = "adaptive:day") -> DataFrame:
     """Per state, the observed next action with the highest goal
     probability (utility); ties by action name."""
     gp = goal_probs(df, user, state, order_by, goal, bucket) \

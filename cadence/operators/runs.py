@@ -44,6 +44,46 @@ def _bucket_expr(df: DataFrame, order_by, bucket) -> Column:
     raise ValueError("pass bucket=<Column monotone in the order> for this order column")
 
 
+_UNIT_US = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000,
+            "week": 7 * 86_400_000_000}
+
+
+def with_bucket(df: DataFrame, order_by, bucket, partition_by=None,
+                target_rows: int = 2_000_000) -> DataFrame:
+    """Attach the order-contiguous bucket column ``__bucket``.
+
+    ``bucket`` is a unit (``'hour'``, ``'day'``, ...), a Column monotone in
+    the order, or ``'adaptive:<unit>'``: buckets of that unit, except that a
+    HOT bucket of an entity (more than ``target_rows`` rows, e.g. one key
+    holding a third of the data) is cut into equal-width time slices sized
+    for ``target_rows`` rows. One partial aggregate counts rows per
+    (entity, bucket); the hot list has at most rows / ``target_rows`` entries,
+    is materialised in the shared folder and broadcast after a bounded count.
+    The bucket is then the struct (coarse, slice), still monotone in the order.
+    """
+    if not (isinstance(bucket, str) and bucket.startswith("adaptive")):
+        return df.withColumn(_B, _bucket_expr(df, order_by, bucket))
+    from cadence.functions.scalars import epoch_us
+    from cadence.plans.sizing import bounded_broadcast
+    from cadence.session import cut_lineage
+
+    unit = bucket.split(":", 1)[1] if ":" in bucket else "day"
+    width = _UNIT_US[unit]
+    parts = list(partition_by or [])
+    ts = order_by[0]
+    x = df.withColumn("__tus", epoch_us(ts)).withColumn("__cb", F.floor(F.col("__tus") / F.lit(width)))
+    hot = x.groupBy(*parts, "__cb").agg(F.count(F.lit(1)).alias("__n")) \
+        .filter(F.col("__n") > F.lit(target_rows)) \
+        .select(*parts, "__cb", F.greatest(F.floor(F.lit(width) * F.lit(target_rows) / F.col("__n")),
+                                           F.lit(1)).cast("bigint").alias("__w"))
+    hot = bounded_broadcast(cut_lineage(hot), 5_000_000)
+    x = x.join(hot, on=[*parts, "__cb"], how="left")
+    sub = F.when(F.col("__w").isNull(), F.lit(0)).otherwise(
+        F.floor((F.col("__tus") - F.col("__cb") * F.lit(width)) / F.col("__w")))
+    return x.withColumn(_B, F.struct(F.col("__cb").alias("c"), sub.cast("bigint").alias("s"))) \
+        .drop("__tus", "__cb", "__w")
+
+
 def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
             run_col: str = "run_id", flags: bool = False) -> DataFrame:
     """Add ``run_col`` (0-based consecutive-run number, per ``partition_by``).
@@ -60,10 +100,8 @@ def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
     order = _cols(order_by)
     parts = list(partition_by or [])
     part_cols = _cols(parts)
-    b = _bucket_expr(df, order_by, bucket)
-
     kstruct = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]) if keys else None
-    x = df.withColumn(_B, b)
+    x = with_bucket(df, order_by, bucket, parts)
     w_local = Window.partitionBy(*part_cols, F.col(_B)).orderBy(*order)
     if kstruct is None:
         chg = F.lit(1)
@@ -237,8 +275,7 @@ def shifted(df: DataFrame, value: str | Column, order_by, partition_by=None, buc
     part_cols = _cols(parts)
     order = _cols(order_by)
     v = F.col(value) if isinstance(value, str) else value
-    b = _bucket_expr(df, order_by, bucket)
-    x = df.withColumn(_B, b).withColumn("__v", F.struct(v.alias("v")))
+    x = with_bucket(df, order_by, bucket, parts).withColumn("__v", F.struct(v.alias("v")))
     w = Window.partitionBy(*part_cols, F.col(_B)).orderBy(*order)
     fn = F.lag if direction == "lag" else F.lead
     x = x.withColumn("__loc", fn("__v").over(w))
@@ -263,8 +300,7 @@ def suffix_any(df: DataFrame, cond: Column, order_by, partition_by=None, bucket=
     parts = list(partition_by or [])
     part_cols = _cols(parts)
     order = _cols(order_by)
-    b = _bucket_expr(df, order_by, bucket)
-    x = df.withColumn(_B, b).withColumn("__c", F.coalesce(cond, F.lit(False)).cast("int"))
+    x = with_bucket(df, order_by, bucket, parts).withColumn("__c", F.coalesce(cond, F.lit(False)).cast("int"))
     rev = [c.desc() for c in order]
     w = Window.partitionBy(*part_cols, F.col(_B)).orderBy(*rev) \
         .rowsBetween(Window.unboundedPreceding, -1)

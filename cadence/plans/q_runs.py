@@ -84,7 +84,8 @@ FROM e
 def q_run_groups(spark, sf_dir):
     """E1 per user: run number of every event."""
     ev = table(spark, sf_dir, "events")
-    r = runs.run_ids(ev, ["event_type"], ["ts", "event_id"], partition_by=["user_id"], bucket="day")
+    r = runs.run_ids(ev, ["event_type"], ["ts", "event_id"], partition_by=["user_id"],
+                     bucket="adaptive:day")
     return r.select("event_id", "user_id", "event_type", "run_id")
 
 

@@ -114,7 +114,8 @@ def q_feature_matrix(spark, sf_dir):
     """Per-user runs -> features + the as-of target of the run's first member."""
     ev = _ev(spark, sf_dir)
     feats = runs.features_by_run(ev, MATRIX_SPECS, keys=["event_type"], order_by=["ts", "event_id"],
-                                 ts_col="ts", id_col="event_id", partition_by=["user_id"], bucket="day")
+                                 ts_col="ts", id_col="event_id", partition_by=["user_id"],
+                                 bucket="adaptive:day")
     tv = targets.pick_targets(ev, [AFTER_1H], id_col="event_id") \
         .select(F.col("event_id").alias("first_id"), "target_value_value")
     out = feats.join(tv, on="first_id", how="left")

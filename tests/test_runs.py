@@ -57,3 +57,34 @@ def test_run_flags_across_buckets(spark):
     assert [x["run_end"] for x in r] == [False, False, True, False, True, True]
     r2 = run_ids(df, [], ["ts", "id"], bucket="day", flags=True).collect()
     assert all(x["run_start"] and x["run_end"] for x in r2)
+
+
+def test_adaptive_buckets_split_hot_entity(spark):
+    """One entity holds most rows: adaptive buckets cut its hot day into time
+    slices; run numbers, lags and 'later' flags equal the plain bucketing."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cadence.operators.runs import with_bucket
+    rnd = random.Random(3)
+    rows = []
+    for i in range(3000):
+        u = 1 if i % 10 else 2 + i % 3                   # user 1 is hot
+        rows.append((i, datetime(2024, 1, 1) + timedelta(seconds=20 * i), u, rnd.choice("ab")))
+    df = spark.createDataFrame(rows, "id long, ts timestamp, u long, k string")
+    plain = run_ids(df, ["k"], ["ts", "id"], partition_by=["u"], bucket="day")
+    adapt = run_ids(df, ["k"], ["ts", "id"], partition_by=["u"], bucket="adaptive:day")
+    a = {r["id"]: r["run_id"] for r in plain.collect()}
+    b = {r["id"]: r["run_id"] for r in adapt.collect()}
+    assert a == b
+    nb = with_bucket(df, ["ts", "id"], "adaptive:day", ["u"], target_rows=100) \
+        .filter(F.col("u") == 1).select("__bucket").distinct().count()
+    assert nb > 10                                       # the hot user-day was cut
+    lag_a = {r["id"]: r["prev"] for r in shifted(df, "k", ["ts", "id"], ["u"], "day").collect()}
+    lag_b = {r["id"]: r["prev"] for r in shifted(df, "k", ["ts", "id"], ["u"], "adaptive:hour").collect()}
+    assert lag_a == lag_b
+    s_a = {r["id"]: r["later"] for r in suffix_any(df, F.col("k") == "a", ["ts", "id"], ["u"], "day").collect()}
+    s_b = {r["id"]: r["later"] for r in suffix_any(df, F.col("k") == "a", ["ts", "id"], ["u"],
+                                                   "adaptive:hour").collect()}
+    assert s_a == s_b
