@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.scalars import epoch_us, target_column_name
+from cadence.plans.sizing import bounded_broadcast
+from cadence.session import cut_lineage
 
 DAY_US = 86_400 * 1_000_000
 
@@ -47,7 +49,8 @@ def shift_us(spec: dict) -> int:
 def asof_join(probe: DataFrame, build: DataFrame, keys: list[str], probe_t: Column,
               build_t: Column, build_tie: Column, payload: Column,
               direction: str = "forward", bucket_us: int = DAY_US,
-              hit_col: str = "__hit") -> DataFrame:
+              hit_col: str = "__hit", adaptive: bool = True,
+              target_rows: int = 2_000_000) -> DataFrame:
     """Attach to every probe row the nearest build row in time.
 
     ``probe_t``/``build_t`` are epoch-microsecond BIGINT columns; forward
@@ -55,6 +58,11 @@ def asof_join(probe: DataFrame, build: DataFrame, keys: list[str], probe_t: Colu
     with ``build_t <= probe_t``; among equal times the lowest ``build_tie``
     (numeric) wins. ``hit_col`` is a struct ``(t, m)`` with ``m`` = payload,
     or null when nothing matches. Probe columns are preserved.
+
+    ``adaptive`` slices a hot (keys, bucket) -- more than ``target_rows``
+    probe+build rows, e.g. one key holding a third of the data -- into
+    equal-width time slices; the bucket id is the struct (bucket, slice),
+    still monotone in time, so the stitching is unchanged.
     """
     fwd = direction == "forward"
     pcols = probe.columns
@@ -67,7 +75,21 @@ def asof_join(probe: DataFrame, build: DataFrame, keys: list[str], probe_t: Colu
                      build_tie.cast("double").alias("__tie"), payload.alias("__m"))
     P = P.withColumn("__m", F.lit(None).cast(B.schema["__m"].dataType))
     B = B.withColumn("__p", F.lit(None).cast(P.schema["__p"].dataType))
-    U = P.unionByName(B).withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_us)))
+    U = P.unionByName(B).withColumn("__cb", F.floor(F.col("__t") / F.lit(bucket_us)))
+    if adaptive:
+        hot = U.groupBy(*kn, "__cb").agg(F.count(F.lit(1)).alias("__n")) \
+            .filter(F.col("__n") > F.lit(target_rows)) \
+            .select(*kn, "__cb", F.greatest(F.floor(F.lit(bucket_us) * F.lit(target_rows) / F.col("__n")),
+                                            F.lit(1)).cast("bigint").alias("__w"))
+        # at most rows / target_rows entries: materialised, then a checked broadcast
+        hot = bounded_broadcast(cut_lineage(hot), 5_000_000)
+        U = U.join(hot, on=[*kn, "__cb"], how="left")
+        sub = F.when(F.col("__w").isNull(), F.lit(0)).otherwise(
+            F.floor((F.col("__t") - F.col("__cb") * F.lit(bucket_us)) / F.col("__w")))
+    else:
+        sub = F.lit(0)
+    U = U.withColumn("__b", F.struct(F.col("__cb").alias("c"), sub.cast("bigint").alias("s"))) \
+        .drop("__cb", "__w")
 
     # local match inside (keys, bucket)
     if fwd:
@@ -81,12 +103,12 @@ def asof_join(probe: DataFrame, build: DataFrame, keys: list[str], probe_t: Colu
 
     # head (forward: earliest) / tail (backward: latest) of each build bucket
     rank = F.struct((F.col("__t") if fwd else -F.col("__t")).alias("a"), F.col("__tie").alias("b"))
-    heads = B.withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_us))) \
+    heads = U.filter(F.col("__pr") == 0) \
         .groupBy(*kn, "__b").agg(F.min_by(F.struct(F.col("__t").alias("t"), F.col("__m").alias("m")),
                                           rank).alias("__h"))
-    # probe buckets come straight from the probe side (a narrow scan), so the
-    # big union window is evaluated once
-    need = P.select(*kn, F.floor(F.col("__t") / F.lit(bucket_us)).alias("__b")).distinct() \
+    # probe buckets come from the bucketed union without its window (scan +
+    # projection), so the big union window is evaluated once
+    need = U.filter(F.col("__pr") == 1).select(*kn, "__b").distinct() \
         .withColumn("__h", F.lit(None).cast(heads.schema["__h"].dataType)).withColumn("__f", F.lit(1))
     S = heads.withColumn("__f", F.lit(0)).unionByName(need)
     ob = [F.col("__b").desc() if fwd else F.col("__b").asc(), F.col("__f").desc()]

@@ -44,3 +44,23 @@ def test_key_only_and_missing_key(frame):
     assert got[4] == 1.0 and got[6] == 10.0
     with pytest.raises(ValueError):
         pick_targets(frame, [{"column": "value", "constraints": [{"key": "nope"}]}], "id")
+
+
+def test_asof_adaptive_slices_equal_plain(spark):
+    """A hot key's day is sliced; matches equal the unsliced as-of join."""
+    from pyspark.sql import functions as F
+
+    from cadence.functions.scalars import epoch_us
+    from cadence.operators.targets import asof_join
+    rows = [(i, T0 + timedelta(seconds=37 * i), "hot" if i % 5 else "cold", float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, k string, value double")
+    args = (df, df, ["k"], epoch_us("ts") + F.lit(600_000_000), epoch_us("ts"), F.col("id"),
+            F.struct(F.col("value").alias("v")))
+    a = {r["id"]: r["__hit"] for r in asof_join(*args, adaptive=False).collect()}
+    b = {r["id"]: r["__hit"] for r in asof_join(*args, adaptive=True, target_rows=50).collect()}
+    assert a == b and sum(v is not None for v in a.values()) > 1500
+    c = {r["id"]: r["__hit"] for r in asof_join(*args[:3], epoch_us("ts") - F.lit(600_000_000), *args[4:],
+                                                 direction="backward", adaptive=True, target_rows=50).collect()}
+    d = {r["id"]: r["__hit"] for r in asof_join(*args[:3], epoch_us("ts") - F.lit(600_000_000), *args[4:],
+                                                 direction="backward", adaptive=False).collect()}
+    assert c == d
