@@ -144,6 +144,40 @@ register("column_freq", _FREQ_SQL.format(tab="part", col="p_brand"))(_freq_q("pa
 register("column_freq_small", _FREQ_SQL.format(tab="orders", col="o_orderstatus"))(_freq_q("orders", "o_orderstatus"))
 
 
+_HIST_SQL = """
+WITH x AS (SELECT CAST({col} AS DOUBLE) AS v FROM {tab} WHERE {col} IS NOT NULL AND NOT isnan(CAST({col} AS DOUBLE))),
+s AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi,
+             quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM x),
+p AS (SELECT n, lo, hi, CASE WHEN iqr > 0 THEN CAST(ceil((hi - lo) / (2 * iqr * pow(n, -1.0 / 3))) AS BIGINT)
+                             ELSE 1 END AS nb FROM s),
+b AS (SELECT least(CAST(floor((v - lo) * (nb / (hi - lo))) AS BIGINT), nb - 1) AS i FROM x, p),
+c AS (SELECT i, count(*) AS c FROM b GROUP BY i)
+SELECT CAST(g.i AS BIGINT) AS bin, p.lo + g.i * ((p.hi - p.lo) / p.nb) AS "left",
+       coalesce(c.c, 0) / (p.n * ((p.hi - p.lo) / p.nb)) AS density
+FROM p, generate_series(0, (SELECT nb FROM p) - 1) AS g(i) LEFT JOIN c ON c.i = g.i
+"""
+
+_TT_EXPR = {"float": "CASE WHEN max(CASE WHEN {c} != floor({c}) THEN 1 ELSE 0 END) = 1 THEN 'continuous' "
+                     "WHEN count(DISTINCT {c}) > 2 THEN 'multiclass' ELSE 'binary' END",
+            "other": "CASE WHEN count(DISTINCT {c}) > 2 THEN 'multiclass' ELSE 'binary' END"}
+_PROFILE_COLS = [("c_custkey", "hist", "other"), ("c_name", "freq", "other"), ("c_nationkey", "hist", "other"),
+                 ("c_acctbal", "hist", "float"), ("c_mktsegment", "freq", "other")]
+
+
+def _profile_sql() -> str:
+    parts = []
+    for c, kind, tt in _PROFILE_COLS:
+        tts = f"(SELECT {_TT_EXPR[tt].format(c=c)} FROM customer)"
+        if kind == "hist":
+            parts.append(f"SELECT '{c}' AS \"column\", 'hist' AS kind, printf('%.6f', \"left\") AS key, "
+                         f"round(density, 9) AS value, {tts} AS target_type "
+                         f"FROM ({_HIST_SQL.format(col=c, tab='customer')})")
+        else:
+            parts.append(f"SELECT '{c}' AS \"column\", 'freq' AS kind, key, round(share, 9) AS value, "
+                         f"{tts} AS target_type FROM ({_FREQ_SQL.format(tab='customer', col=c)})")
+    return "\nUNION ALL\n".join(parts)
+
+
 @register("column_histogram", """
 WITH x AS (SELECT l_extendedprice AS v FROM lineitem WHERE l_extendedprice IS NOT NULL AND NOT isnan(l_extendedprice)),
 s AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi,
@@ -203,8 +237,8 @@ def q_task_types(spark, sf_dir):
     return _target_types(spark, sf_dir).select("column", J.task_type_col("target_type").alias("task_type"))
 
 
-@register("profile_table")
+@register("profile_table", _profile_sql())
 def q_profile_table(spark, sf_dir):
-    """J1 on customer: freq for text, histograms for numbers (rows-only check;
-    its parts are oracle-checked by column_freq / column_histogram)."""
-    return J.profile(table(spark, sf_dir, "customer"))
+    """J1 on customer: freq for text, histograms for numbers, target types."""
+    p = J.profile(table(spark, sf_dir, "customer"))
+    return p.select("column", "kind", "key", F.round("value", 9).alias("value"), "target_type")

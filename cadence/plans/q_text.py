@@ -299,8 +299,12 @@ def q_class_split(spark, sf_dir):
     return K.class_split(lab, "quality", "doc_id", test_size=50, seed=3).select("doc_id", "quality", "split")
 
 
-@register("char_scripts")
+@register("char_scripts", f"""
+WITH {_VOCAB_SQL}
+SELECT token, id, CASE WHEN token IN ('<unk>', '<pad>', '<ws>') THEN 'Others' WHEN regexp_full_match(token, '\\p{{Latin}}') THEN 'Latin' WHEN regexp_full_match(token, '\\p{{Greek}}') THEN 'Greek' WHEN regexp_full_match(token, '\\p{{Cyrillic}}') THEN 'Cyrillic' WHEN regexp_full_match(token, '\\p{{Arabic}}') THEN 'Arabic' WHEN regexp_full_match(token, '\\p{{Hebrew}}') THEN 'Hebrew' WHEN regexp_full_match(token, '\\p{{Han}}') THEN 'Han' WHEN regexp_full_match(token, '\\p{{Hiragana}}') THEN 'Hiragana' WHEN regexp_full_match(token, '\\p{{Katakana}}') THEN 'Katakana' WHEN regexp_full_match(token, '\\p{{Hangul}}') THEN 'Hangul' WHEN regexp_full_match(token, '\\p{{Devanagari}}') THEN 'Devanagari' WHEN regexp_full_match(token, '\\p{{Thai}}') THEN 'Thai' WHEN regexp_full_match(token, '\\p{{Armenian}}') THEN 'Armenian' WHEN regexp_full_match(token, '\\p{{Georgian}}') THEN 'Georgian'
+                       ELSE 'Others' END AS script FROM vocab
+""")
 def q_char_scripts(spark, sf_dir):
-    """K12 (no DuckDB script function: rows-only check)."""
+    """Script of every vocabulary character (oracle: RE2 script classes)."""
     v, _ = K.build_vocab(table(spark, sf_dir, "documents"), "text", _VOCAB)
     return K.char_scripts(v).select("token", "id", "script")
