@@ -7,7 +7,6 @@ aggregates; only one-row statistics reach the driver.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
@@ -139,7 +138,10 @@ def score_foreign(df: DataFrame, predict: Callable, feature_cols: list[str], out
                   out: str = "score", batch_rows: int = 1000) -> DataFrame:
     """L7 for a single-machine model object: ``predict(pandas.DataFrame) ->
     array-like`` applied to Arrow batches of ``batch_rows`` rows."""
+    from cadence.session import ship_package
+
     spark = df.sparkSession
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
 
     def run(it):
@@ -228,7 +230,3 @@ def vote_average(df: DataFrame, prob_cols: list[str], out: str = "probability")
     for a in arrays[1:]:
         summed = F.zip_with(summed, a, lambda x, y: x + y)
     return df.withColumn(out, F.transform(summed, lambda x: x / F.lit(float(n))))
-
-
-def log_safe(x: float) -> float:
-    return math.log(x) if x > 0 else float("-inf")

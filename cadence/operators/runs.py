@@ -223,10 +223,23 @@ def custom_run_features(df: DataFrame, fn, schema: str, keys, order_by,
     r = r.withColumn("__rg", F.floor(F.col(run_col) / F.lit(runs_per_group)))
 
     def _per_group(pdf):
-        pdf = pdf.drop(columns=["__rg"]).sort_values([run_col, *order_names], kind="mergesort")
-        outs = [fn(g.reset_index(drop=True)) for _, g in pdf.groupby(run_col, sort=False)]
+        import numpy as np
+
+        pdf = pdf.drop(columns=["__rg"]).sort_values([run_col, *order_names], kind="mergesort") \
+            .reset_index(drop=True)
+        rid = pdf[run_col].to_numpy()
+        cuts = np.flatnonzero(rid[1:] != rid[:-1]) + 1 if len(rid) else np.array([], dtype=int)
+        bounds = np.concatenate(([0], cuts, [len(rid)])) if len(rid) else np.array([0])
+        outs = [fn(pdf.iloc[a:b].reset_index(drop=True)) for a, b in zip(bounds[:-1], bounds[1:])]
         return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame()
 
+    from cadence.session import ship_package
+    ship_package(df.sparkSession)
+    # an explicit repartition on the grouping keys keeps the Python stage
+    # parallel (AQE would coalesce a small shuffle into a few serial tasks);
+    # the groupBy reuses this partitioning, so there is no second shuffle
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = r.repartition(n, *[F.col(p) for p in parts], F.col("__rg"))
     return r.groupBy(*parts, "__rg").applyInPandas(_per_group, schema=schema)
 
 

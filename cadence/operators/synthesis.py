@@ -21,7 +21,6 @@ from cadence.operators.encodings import one_hot
 from cadence.operators.targets import split_targets
 from cadence.session import cut_lineage
 
-NUMERIC_AGGS = ("sum", "mean", "max", "min", "std", "count")
 _TS = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
@@ -37,7 +36,7 @@ class Entity:
         return self
 
 
-def _agg_exprs(df: DataFrame, prefix: str, skip: set[str], max_unique_cols: int = 10):
+def _agg_exprs(df: DataFrame, prefix: str, skip: set[str]):
     out = []
     for f in df.schema.fields:
         if f.name in skip:

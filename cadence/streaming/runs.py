@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.session import scratch_path
+from cadence.session import scratch_path, ship_package
 
 STATE_SCHEMA = ("open_key string, run_id long, n long, s double, ss double, mx double, hsum double, "
                 "first_ts long, first_id long, last_id long, last_ts long, version long")
@@ -110,6 +110,7 @@ def stream_run_features(sdf: DataFrame, entity: str, key: str, ts: str, id_col:
                    F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"),
                    F.col(id_col).cast("long").alias("id"), F.col(value).cast("double").alias("value"),
                    F.hour(ts).cast("double").alias("hour"))
+    ship_package(sdf.sparkSession)
     return x.groupBy("entity").applyInPandasWithState(_update, OUT_SCHEMA, STATE_SCHEMA, "update",
                                                       "NoTimeout")
 
