@@ -9,6 +9,7 @@ is used where a side is small by construction.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadence.functions.scalars import epoch_us
@@ -95,25 +96,96 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_t: Column
                     (F.col("__rt") < F.col("__lt") - F.lit(lo_us))).drop("__bk")
 
 
+def _shr(c: Column, k: Column) -> Column:
+    return F.call_function("shiftright", c, k)
+
+
+def _pow2(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+
+
 def monitor_predictions(pred: DataFrame, act: DataFrame, keys: list[str], ts: str = "ts",
                         value: str = "value", id_col: str = "id", lo_hours: float = 1.0,
-                        hi_hours: float = 2.0, threshold: float = 400.0) -> DataFrame:
+                        hi_hours: float = 2.0, threshold: float = 400.0,
+                        leaf_bits: int = 20) -> DataFrame:
     """For each actual, the newest prediction strictly 1h-2h older whose
     squared error exceeds ``threshold`` (the first alert when scanning
     newest-first). Returns ``(act_id, pred_id, predicted, actual, score)``.
+
+    No (actual, prediction) pairs are formed inside the band. The band
+    (integer microseconds) is cut into two edge leaves of ``2**leaf_bits`` us
+    and a run of whole leaves; that run is covered by its canonical dyadic
+    blocks (at most two per level). Every prediction is filed under its block
+    at each level, and "newest prediction in a block with value above
+    ``actual + r`` (or below ``actual - r``)" is a running max over the block
+    ordered by value -- an as-of lookup on the value axis. Only the two edge
+    leaves are matched pairwise with the exact band filter, so the work is
+    linear in both sides times the number of levels, however dense a key is.
     """
-    a = act.select(*keys, F.col(id_col).alias("act_id"), F.col(ts).alias("__ats"),
-                   F.col(value).alias("actual"))
-    p = pred.select(*keys, F.col(id_col).alias("pred_id"), F.col(ts).alias("__pts"),
-                    F.col(value).alias("predicted"))
-    pairs = band_join(a, p, keys, epoch_us("__ats"), epoch_us("__pts"),
-                      int(lo_hours * HOUR_US), int(hi_hours * HOUR_US))
-    pairs = pairs.withColumn("score", (F.col("predicted") - F.col("actual")) ** 2) \
-        .filter(F.col("score") > F.lit(threshold))
-    newest = F.struct(F.col("__rt").alias("t"), F.col("pred_id").alias("i"))
-    best = pairs.groupBy("act_id").agg(
-        F.max_by(F.struct("pred_id", "predicted", "actual", "score"), newest).alias("b"))
-    return best.select("act_id", "b.pred_id", "b.predicted", "b.actual", "b.score")
+    lo_us, hi_us = int(lo_hours * HOUR_US), int(hi_hours * HOUR_US)
+    radius = float(threshold) ** 0.5
+    a = act.select(*keys, F.col(id_col).alias("act_id"), epoch_us(ts).cast("bigint").alias("__at"),
+                   F.col(value).cast("double").alias("actual"))
+    a = a.withColumn("__lo", F.col("__at") - F.lit(hi_us - 1)) \
+         .withColumn("__hi", F.col("__at") - F.lit(lo_us + 1))
+    p = pred.select(*keys, F.col(id_col).alias("pred_id"), epoch_us(ts).cast("bigint").alias("__pt"),
+                    F.col(value).cast("double").alias("predicted"))
+    cand = F.struct(F.col("__pt").alias("t"), F.col("pred_id").alias("i"), F.col("predicted").alias("v"))
+
+    # Edge leaves: exact band filter on pairs sharing a ~1 s leaf with a band end.
+    leaf = lambda c: F.shiftright(c, leaf_bits)
+    edges = a.withColumn("__leaf", F.explode(F.array_distinct(F.array(leaf(F.col("__lo")),
+                                                                      leaf(F.col("__hi"))))))
+    pe = p.withColumn("__leaf", leaf(F.col("__pt")))
+    edge_hits = edges.join(pe, on=[*keys, "__leaf"]) \
+        .filter(F.col("__pt").between(F.col("__lo"), F.col("__hi")) &
+                (((F.col("predicted") - F.col("actual")) ** 2) > F.lit(threshold))) \
+        .select("act_id", "actual", cand.alias("c"))
+
+    # Interior whole leaves [first, last] -> canonical dyadic blocks.
+    levels = max(1, (hi_us - lo_us).bit_length() - leaf_bits + 1)
+    first, last = leaf(F.col("__lo")) + 1, leaf(F.col("__hi")) - 1
+    probes = a.withColumn("__lv", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    k = F.col("__lv")
+    lft = _shr(F.col("__first") + _pow2(k) - 1, k)
+    rgt = _shr(F.col("__last") + 1, k) - 1
+    probes = probes.withColumn("__first", first).withColumn("__last", last) \
+        .withColumn("__blk", F.explode(F.array_distinct(F.array(lft, rgt)))) \
+        .filter(F.col("__blk").between(lft, rgt))
+    # keep a block only when its parent block is not wholly inside the run
+    k1 = k + 1
+    plft = _shr(F.col("__first") + _pow2(k1) - 1, k1)
+    prgt = _shr(F.col("__last") + 1, k1) - 1
+    parent = F.shiftright(F.col("__blk"), 1)
+    probes = probes.filter(~parent.between(plft, prgt) | (k == F.lit(levels)))
+    probes = probes.select(*keys, "act_id", "actual", "__lv", "__blk")
+
+    pl = p.withColumn("__lv", F.explode(F.sequence(F.lit(0), F.lit(levels)))) \
+        .withColumn("__blk", _shr(leaf(F.col("__pt")), F.col("__lv")))
+
+    # One shuffle of probes + filed predictions by block; two orders over it:
+    # value descending finds the newest with v > a + r, ascending v < a - r.
+    act_type = a.schema["act_id"].dataType.simpleString()
+    cand_type = p.select(cand.alias("c")).schema["c"].dataType.simpleString()
+    pr = probes.select(*keys, "__lv", "__blk", (F.col("actual") + F.lit(radius)).alias("__vu"),
+                       (F.col("actual") - F.lit(radius)).alias("__vd"), F.lit(1).alias("__q"),
+                       "act_id", "actual", F.lit(None).cast(cand_type).alias("c"))
+    pp = pl.select(*keys, "__lv", "__blk", F.col("predicted").alias("__vu"), F.col("predicted").alias("__vd"),
+                   F.lit(0).alias("__q"), F.lit(None).cast(act_type).alias("act_id"),
+                   F.lit(None).cast("double").alias("actual"), cand.alias("c"))
+    blk = Window.partitionBy(*keys, "__lv", "__blk")
+    run = (Window.unboundedPreceding, Window.currentRow)
+    up = blk.orderBy(F.col("__vu").desc(), F.col("__q").desc()).rowsBetween(*run)
+    dn = blk.orderBy(F.col("__vd").asc(), F.col("__q").desc()).rowsBetween(*run)
+    found = pr.unionByName(pp) \
+        .withColumn("__cu", F.max("c").over(up)).withColumn("__cd", F.max("c").over(dn)) \
+        .filter(F.col("__q") == 1) \
+        .select("act_id", "actual", F.greatest("__cu", "__cd").alias("c")).filter(F.col("c").isNotNull())
+    hits = edge_hits.unionByName(found)
+    best = hits.groupBy("act_id").agg(F.max("c").alias("c"), F.max("actual").alias("actual"))
+    out = best.select("act_id", F.col("c.i").alias("pred_id"), F.col("c.v").alias("predicted"), "actual")
+    out = out.withColumn("score", (F.col("predicted") - F.col("actual")) ** 2)
+    return out.filter(F.col("score") > F.lit(threshold))
 
 
 def relate(parent: DataFrame, child_agg: DataFrame, pk: str, fk: str, how: str = "left") -> DataFrame:
