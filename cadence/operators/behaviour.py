@@ -14,26 +14,34 @@ from cadence.functions.scalars import epoch_us
 from cadence.operators.runs import shifted, suffix_any
 
 
-def session_durations(df: DataFrame, user: str, ts: str, id_col: str) -> DataFrame:
+def session_durations(df: DataFrame, user: str, ts: str, id_col: str,
+                      bucket="adaptive:hour") -> DataFrame:
     """Each event is a session lasting until the user's next event the same
-    day (the day's last event lasts 0 s). Adds ``day`` and ``duration_s``."""
+    day (the day's last event lasts 0 s). Adds ``day`` and ``duration_s``.
+
+    The next event comes from the bucketed ``shifted`` operator, so a hot
+    user-day is spread over (hour, slice) buckets instead of one window task.
+    """
     x = df.withColumn("day", F.to_date(ts))
-    w = Window.partitionBy(user, "day").orderBy(ts, id_col)
-    nxt = F.lead(epoch_us(ts)).over(w)
-    return x.withColumn("duration_s", F.coalesce((nxt - epoch_us(ts)) / 1e6, F.lit(0.0)))
+    x = shifted(x, epoch_us(ts), [ts, id_col], partition_by=[user, "day"], bucket=bucket,
+                direction="lead", out="__nxt")
+    return x.withColumn("duration_s", F.coalesce((F.col("__nxt") - epoch_us(ts)) / 1e6, F.lit(0.0))) \
+        .drop("__nxt")
 
 
-def label_time(df: DataFrame, user: str, ts: str, label: str, id_col: str) -> DataFrame:
+def label_time(df: DataFrame, user: str, ts: str, label: str, id_col: str,
+               bucket="adaptive:hour") -> DataFrame:
     """O2: seconds spent per label (domain) per user-day."""
-    s = session_durations(df, user, ts, id_col)
+    s = session_durations(df, user, ts, id_col, bucket)
     return s.groupBy(user, "day", label).agg(F.sum("duration_s").alias("seconds"))
 
 
-def user_days(df: DataFrame, user: str, ts: str, label: str, id_col: str) -> DataFrame:
+def user_days(df: DataFrame, user: str, ts: str, label: str, id_col: str,
+              bucket="adaptive:hour") -> DataFrame:
     """O1: per user the number of active days and the list of daily session
     summaries ``(day, n_sessions, seconds)``. The list has one entry per day
     (bounded by the calendar, not by the user's event count)."""
-    s = session_durations(df, user, ts, id_col)
+    s = session_durations(df, user, ts, id_col, bucket)
     d = s.groupBy(user, "day").agg(F.count(F.lit(1)).alias("n_sessions"),
                                    F.sum("duration_s").alias("seconds"))
     return d.groupBy(user).agg(F.count(F.lit(1)).alias("n_days"),
