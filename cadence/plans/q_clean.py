@@ -328,6 +328,50 @@ def q_file_source_csv(spark, sf_dir):
                        "event_type", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
+@register("object_store_json", """
+SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events
+""")
+def q_object_store_json(spark, sf_dir):
+    """A2: the object-store source on a JSON object written to the shared
+    folder (the URI scheme is whatever that folder uses: s3a://, hdfs://,
+    file:); JSON objects are read whole, then ±Inf -> null and null rows drop."""
+    import uuid
+
+    from cadence.session import scratch_path
+    uri = scratch_path(spark, f"objects-{uuid.uuid4().hex[:12]}.json")
+    table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value") \
+        .write.mode("overwrite").json(uri)
+    back = readers.read_object_store(spark, uri)
+    return back.select(F.col("event_id").cast("bigint").alias("event_id"),
+                       F.col("user_id").cast("bigint").alias("user_id"),
+                       "event_type", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@register("raw_append", """
+SELECT event_id, event_type, round(value, 6) AS value, 1 AS batch_ids FROM events
+""")
+def q_raw_append(spark, sf_dir):
+    """Raw records appended in two writes (purchases, then the rest) to a
+    store partitioned by type; each write assigns ids to records without one.
+    Returns every stored record with the number of distinct ids its write
+    gave that id (1 = unique within the write)."""
+    import uuid
+
+    from cadence.session import scratch_path
+    path = scratch_path(spark, f"raw-{uuid.uuid4().hex[:12]}")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    for i, part in enumerate((e.filter(F.col("event_type") == "purchase"),
+                              e.filter(~(F.col("event_type") == "purchase") | F.col("event_type").isNull()))):
+        sinks.append_raw(part.withColumn("batch", F.lit(i)), path, id_col="_id", partition_by=["batch"])
+    back = spark.read.parquet(path)
+    # ids are unique per write: count rows sharing (batch, _id) with a
+    # grouped count joined back (no window over a whole batch)
+    dup = back.groupBy("batch", "_id").agg(F.count(F.lit(1)).alias("batch_ids"))
+    out = back.join(dup, ["batch", "_id"])
+    return out.select("event_id", "event_type", F.round("value", 6).alias("value"),
+                      F.col("batch_ids").cast("int").alias("batch_ids"))
+
+
 @register("collection_read", f"""
 SELECT event_id, user_id, tok, round(x, 6) AS x FROM {_DIRTY_SQL} d
 WHERE tok IS NOT NULL AND tok NOT IN ('NULL', 'null', '') AND x IS NOT NULL AND NOT isnan(x)
