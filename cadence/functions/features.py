@@ -199,11 +199,17 @@ class FeatureCompiler:
 
     ``order`` is a Column (usually ``struct(ts, id)``) ordering the elements
     of a group; it must be unique within a group for ``first``/``last``.
+    ``edges`` -- boolean Columns true on exactly the first / last row of each
+    group (e.g. run start/end flags) -- lets ``first``/``last`` pick with a
+    fixed-width ``max(when(flag, x))`` instead of ``min_by``/``max_by`` over
+    the order struct, so Spark can hash-aggregate.
     """
 
-    def __init__(self, schema: T.StructType, order: Column | None = None):
+    def __init__(self, schema: T.StructType, order: Column | None = None,
+                 edges: tuple[Column, Column] | None = None):
         self.schema = schema
         self.order = order
+        self.edges = edges
 
     def _field(self, name: str) -> tuple[Column, str]:
         try:
@@ -236,10 +242,14 @@ class FeatureCompiler:
         x, kind = self._field(key)
         idx = spec.get("index")
         if idx in ("first", "last"):
-            if self.order is None:
+            if self.edges is not None:
+                flag = self.edges[0] if idx == "first" else self.edges[1]
+                x1 = F.max(F.when(flag, x))
+            elif self.order is None:
                 raise ValueError("index first/last needs a group order")
-            pick = F.min_by if idx == "first" else F.max_by
-            x1 = pick(x, self.order)
+            else:
+                pick = F.min_by if idx == "first" else F.max_by
+                x1 = pick(x, self.order)
             if op in ELEM_OPS:
                 col, k = _elem(op, x1, kind)
                 return _Compiled(col, True, k)
@@ -296,9 +306,10 @@ class FeatureCompiler:
 
 
 def compile_features(specs: list[dict], schema: T.StructType,
-                     order: Column | None = None) -> list[Column]:
+                     order: Column | None = None,
+                     edges: tuple[Column, Column] | None = None) -> list[Column]:
     """Compile many definitions; duplicate titles are computed once."""
-    comp = FeatureCompiler(schema, order)
+    comp = FeatureCompiler(schema, order, edges)
     seen: dict[str, Column] = {}
     for s in specs:
         title = feature_title(normalize_spec(s))

@@ -174,7 +174,8 @@ def features_by_run(df: DataFrame, specs: list[dict], keys, order_by, ts_col: st
     parts = list(partition_by or [])
     r = run_ids(df, keys, order_by, parts, bucket, run_col=run_col, flags=True)
     order = F.struct(*_cols(order_by))
-    feats = compile_features(specs, df.schema, order=order)
+    feats = compile_features(specs, df.schema, order=order,
+                             edges=(F.col("run_start"), F.col("run_end")))
     # the run's key values are constant inside a run: grouping columns, not
     # aggregates; start/end rows come from the run flags, so every aggregate
     # here has a fixed-width buffer and Spark can hash-aggregate

@@ -2,7 +2,8 @@
 
 from datetime import datetime, timedelta
 
-from cadence.operators.runs import chunk_ids, run_ids, shifted, suffix_any
+from cadence.functions.features import spec
+from cadence.operators.runs import chunk_ids, features_by_run, run_ids, shifted, suffix_any
 
 
 def _ids(df, col="run_id"):
@@ -88,3 +89,27 @@ def test_adaptive_buckets_split_hot_entity(spark):
     s_b = {r["id"]: r["later"] for r in suffix_any(df, F.col("k") == "a", ["ts", "id"], ["u"],
                                                    "adaptive:hour").collect()}
     assert s_a == s_b
+
+
+def test_run_first_last_from_flags_equal_order_pick(spark):
+    """index first/last inside runs (picked with the run start/end flags)
+    equal ``min_by``/``max_by`` over the order, including null edge values."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cadence.functions.features import compile_features
+    rnd = random.Random(11)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=rnd.randrange(0, 50_000)), 1 + i % 4,
+             rnd.choice("ab"), None if rnd.random() < 0.3 else float(rnd.randrange(100)), rnd.choice(["x", None]))
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, u long, k string, v double, s string")
+    specs = [spec("direct", "field", "v", index="first", title="fv"),
+             spec("direct", "field", "v", index="last", title="lv"),
+             spec("direct", "hour", "ts", index="last", title="lh"),
+             spec("predicate", "in", spec("direct", "field", "s", index="first"), in_values=["x"], title="fs")]
+    got = features_by_run(df, specs, ["k"], ["ts", "id"], "ts", "id", partition_by=["u"], bucket="hour")
+    r = run_ids(df, ["k"], ["ts", "id"], partition_by=["u"], bucket="hour")
+    ref = r.groupBy("u", "run_id").agg(*compile_features(specs, df.schema, order=F.struct("ts", "id")))
+    cols = ["u", "run_id", "fv", "lv", "lh", "fs"]
+    assert sorted(got.select(cols).collect()) == sorted(ref.select(cols).collect())
