@@ -219,14 +219,26 @@ def build_vocab(df: DataFrame, text: str, size: int) -> tuple[DataFrame, DataFra
     """
     # sanitised texts hold single spaces only: count words first, then the
     # characters of each distinct word weighted by its count; spaces are
-    # counted arithmetically (words - 1 per non-empty text)
+    # counted arithmetically (words - 1 per non-empty text). One scan of the
+    # texts yields the distinct words plus one summary row (w = null: texts,
+    # spaces, longest text); that small table is written to the shared
+    # checkpoint folder so the regex pipeline runs once.
     t = df.select(X.sanitize_text(F.col(text)).alias("t"))
-    words = t.filter(F.length("t") > 0).select(F.explode(F.split("t", " ")).alias("w")) \
-        .groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    chars = words.select(F.explode(F.split("w", "")).alias("token"), "c") \
+    ws = F.split("t", " ")
+    entry = lambda w, sp, ln: F.struct(w.alias("w"), sp.cast("bigint").alias("sp"),
+                                       ln.cast("int").alias("len"))
+    summary = F.array(entry(F.lit(None).cast("string"),
+                            F.when(F.length("t") > 0, F.size(ws) - 1).otherwise(F.lit(0)), F.length("t")))
+    per_text = F.when(F.length("t") > 0, F.concat(
+        F.transform(ws, lambda w: entry(w, F.lit(0), F.lit(0))), summary)).otherwise(summary)
+    words = cut_lineage(t.select(F.explode(per_text).alias("r")).select("r.*")
+                        .groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.sum("sp").alias("sp"),
+                                          F.max("len").alias("len")))
+    chars = words.filter(F.col("w").isNotNull()) \
+        .select(F.explode(F.split("w", "")).alias("token"), "c") \
         .filter(F.col("token") != "").groupBy("token").agg(F.sum("c").alias("count"))
-    spaces = t.filter(F.length("t") > 0).agg(
-        F.sum(F.size(F.split("t", " ")) - 1).alias("count")).select(F.lit(X.WS_TOKEN).alias("token"), "count")
+    summ = words.filter(F.col("w").isNull())
+    spaces = summ.select(F.lit(X.WS_TOKEN).alias("token"), F.col("sp").alias("count"))
     counts = chars.unionByName(spaces.filter(F.col("count") > 0))
     top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(size - 2)    # TakeOrdered
     w = Window.orderBy(F.col("count").desc(), F.col("token"))                         # <= size rows
@@ -236,7 +248,7 @@ def build_vocab(df: DataFrame, text: str, size: int) -> tuple[DataFrame, DataFra
                                     "token string, id int, count bigint")
     vocab = special.unionByName(top.select("token", "id", "count"))
     n_tokens = counts.select(F.count(F.lit(1))).scalar()
-    stats = t.agg(F.max(F.length("t")).alias("max_len")).withColumn("n_tokens", n_tokens)
+    stats = summ.agg(F.max("len").alias("max_len")).withColumn("n_tokens", n_tokens)
     return vocab, stats
 
 
