@@ -17,6 +17,8 @@ How it is distributed:
 * The answer holds, in the order of the block's keys, the new ranks, 0 for
   positions that are now known to be unique. A block replays the earlier
   answers over its own text, so no table of positions is ever kept.
+* ``base`` 25 reaches 50 bytes with one doubling, and costs least; any smaller
+  one takes more rounds to the same result.
 * Before the first round, two answers leave out what is known to be unique or
   settled. Of equal whole texts all but the first are removed as they are. And
   a window can only be shared if the smallest of its hashed ``threshold // 2``
@@ -47,11 +49,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm._bytes import U64, binary_column, chunks, window_hashes
+from cadence.llm._bytes import U64, binary_column, chunks, slice_hashes, window_hashes
 from cadence.llm._tables import new_path, ready, shuffle_partitions
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _NULL_ID = np.iinfo(np.int64).max
 _INDEX_BITS = U64(40)
 _HALF = U64(32)
@@ -134,22 +136,22 @@ class Block:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, base: int, threshold: int):
         self.data, self.offsets, self.ids, self.threshold = data, offsets, ids, threshold
         self.lengths = lengths(base, threshold)
-        size = np.diff(offsets)
-        self.doc = np.repeat(np.arange(len(ids)), size)
-        self.end = np.repeat(offsets[1:], size)
+        self.size = np.diff(offsets)
+        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), self.size)
 
     def digests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places of documents that are long enough, their digest's two parts)."""
-        long = np.flatnonzero(np.diff(self.offsets) >= self.threshold)
+        long = np.flatnonzero(self.size >= self.threshold)
         h = b"".join(hashlib.blake2b(self.data[self.offsets[i]:self.offsets[i + 1]], digest_size=16).digest() for i in long)
         h = np.frombuffer(h, U64).reshape(-1, 2)
         return long, h[:, 0] >> U64(16), h[:, 1].copy()
 
     def windows(self, copies: np.ndarray) -> np.ndarray:
         """Starts of the windows of documents that are no copies."""
-        ok = np.arange(len(self.data)) + self.threshold <= self.end
-        ok &= ~copies[self.doc]
-        return np.flatnonzero(ok)
+        tail = np.minimum(self.size, self.threshold - 1)
+        runs = np.stack([self.size - tail, tail], axis=1).reshape(-1)
+        flags = np.stack([~copies, np.zeros(len(copies), bool)], axis=1).reshape(-1)
+        return np.flatnonzero(np.repeat(flags, runs))
 
     def minima(self, at: np.ndarray) -> np.ndarray:
         k = max(self.threshold // 2, 1)
@@ -192,38 +194,44 @@ class Replay:
     def __init__(self, b: Block, buckets: int):
         self.b, self.buckets = b, buckets
 
-    def rounds(self):
+    def rounds(self, state: bytes | None = None):
         """A coroutine: yields (bucket, key 1, key 2, extra) of each round and
-        is sent that round's answer, aligned with the keys."""
+        is sent that round's answer, aligned with the keys. With the state that
+        the first two rounds left, it begins after them."""
         b = self.b
-        long, h1, h2 = b.digests()
-        # round 0: equal whole texts
-        order = np.lexsort((h2, h1))
-        s1, s2 = h1[order], h2[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        low = _smallest(b, place, long, int(new.sum()))
-        earlier = yield bucket_of_hash(s1[new], 48, self.buckets), s1[new], s2[new], low
-        copies = np.zeros(len(b.ids), bool)
-        if len(long):
+        if state is None:
+            # round 0: equal whole texts
+            long, h1, h2 = b.digests()
+            order = np.lexsort((h2, h1))
+            s1, s2 = h1[order], h2[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+            place = np.empty(len(order), np.int64)
+            place[order] = np.cumsum(new) - 1
+            low = _smallest(b, place, long, int(new.sum()))
+            earlier = yield bucket_of_hash(s1[new], 48, self.buckets), s1[new], s2[new], low
+            copies = np.zeros(len(b.ids), bool)
             copies[long] = earlier.astype(bool)[place] | (b.ids[long] > low[place])
+            # round 1: windows that can be shared
+            at = b.windows(copies)
+            key, doc = b.minima(at), b.doc[at]
+            run = np.ones(len(key), bool)
+            run[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            keys, place, _, several = distinct(key[run], doc[run])
+            shared = yield bucket_of_hash(keys, 40, self.buckets), keys, None, several.astype(U64)
+            at = at[shared.astype(bool)[place][np.cumsum(run) - 1]] if len(at) else at
+        else:
+            size = int.from_bytes(state[:8], "little")
+            copies = np.zeros(len(b.ids), bool)
+            copies[unpack_sorted(state[8:8 + size]).astype(np.int64)] = True
+            at = _positions(state[8 + size:])
         self.copies = copies
-        # round 1: windows that can be shared
-        at = b.windows(copies)
-        key = b.minima(at)
-        doc = b.doc[at]
-        run = np.ones(len(key), bool)
-        run[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        keys, place, _, several = distinct(key[run], doc[run])
-        shared = yield bucket_of_hash(keys, 40, self.buckets), keys, None, several.astype(U64)
-        if len(at):
-            at = at[shared.astype(bool)[place][np.cumsum(run) - 1]]
+        gone = pack_sorted(np.flatnonzero(copies).astype(U64))
+        self.state = len(gone).to_bytes(8, "little") + gone + _stretches(at)
         # base ranks, then pairs of ranks
         need = b.needed(at)
         where = np.flatnonzero(need[0])
-        hashes = window_hashes(b.data, b.lengths[0])[where] >> U64(16) if len(where) else np.zeros(0, U64)
+        hashes = slice_hashes(b.data, where, where + b.lengths[0]) >> U64(16) if len(where) else np.zeros(0, U64)
         keys, place, _, several = distinct(hashes, b.doc[where])
         last = len(b.lengths) == 1
         extra = _smallest(b, place, b.doc[where], len(keys)) if last else several.astype(U64)
@@ -231,7 +239,7 @@ class Replay:
         for level in range(1, len(b.lengths)):
             last = level == len(b.lengths) - 1
             off = b.lengths[level] - b.lengths[level - 1]
-            local = np.full(len(b.data), -1, np.int64)
+            local = np.full(len(b.data), -1, np.int32)
             known = answer[place] > 0
             local[where[known]] = place[known]
             where = np.flatnonzero(need[level])
@@ -242,15 +250,12 @@ class Replay:
             k1, k2 = ranks[(keys >> _HALF).astype(np.int64)], ranks[(keys & _LOW).astype(np.int64)]
             extra = _smallest(b, place, b.doc[where], len(keys)) if last else several.astype(U64)
             answer = yield bucket_of_rank(k1), k1, k2, extra
-        mask = np.zeros(len(b.data), bool)
-        if len(where):
-            hit = answer.astype(bool)[place] | (b.ids[b.doc[where]] > extra[place])
-            mask[where[hit]] = True
-        self.starts = mask
+        hit = answer.astype(bool)[place] | (b.ids[b.doc[where]] > extra[place]) if len(where) else np.zeros(0, bool)
+        self.starts = where[hit]
 
-    def send(self, answers: list[np.ndarray]):
+    def send(self, answers: list[np.ndarray], state: bytes | None = None):
         """The message of the round after ``answers``; None once all are in."""
-        co = self.rounds()
+        co = self.rounds(state)
         try:
             message = next(co)
             for a in answers:
@@ -262,11 +267,27 @@ class Replay:
     def removed(self) -> np.ndarray:
         """Whether each byte goes."""
         b = self.b
-        cover = np.zeros(len(b.data) + 1, np.int64)
-        at = np.flatnonzero(self.starts)
-        cover[at] += 1
-        np.subtract.at(cover, at + b.threshold, 1)
-        return (np.cumsum(cover[:-1]) > 0) | self.copies[b.doc]
+        edge = np.zeros(len(b.data) + 1, np.int32)
+        edge[self.starts] += 1
+        edge[self.starts + b.threshold] -= 1
+        return (np.cumsum(edge[:-1]) > 0) | np.repeat(self.copies, b.size)
+
+
+def _stretches(at: np.ndarray) -> bytes:
+    """Ascending positions as packed runs."""
+    if not len(at):
+        return b""
+    cut = np.flatnonzero(np.diff(at) != 1) + 1
+    begin, end = at[np.append(0, cut)], at[np.append(cut, len(at)) - 1] + 1
+    return pack_sorted(np.stack([begin, end], axis=1).reshape(-1).astype(U64))
+
+
+def _positions(b: bytes) -> np.ndarray:
+    if not b:
+        return np.zeros(0, np.int64)
+    edges = unpack_sorted(b).astype(np.int64).reshape(-1, 2)
+    size = edges[:, 1] - edges[:, 0]
+    return np.repeat(edges[:, 0] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
 
 
 # --- the rounds on Spark --------------------------------------------------------------------------
@@ -316,28 +337,34 @@ def _replays(batches: Iterator[pa.RecordBatch], rounds: int, base: int, threshol
             data = np.frombuffer(get("data"), np.uint8)
             offsets = np.frombuffer(get("offsets"), np.int64)
             ids = np.frombuffer(get("ids"), np.int64)
-            answers = []
-            for r in range(rounds):
+            answers, state = [], None
+            for r in range(2 if rounds > 2 else 0, rounds):
                 parts = sorted(get(f"a{r}") or [], key=lambda x: x["bucket"])
+                if r == 2:  # the state of the first rounds came along with this answer
+                    state = parts.pop(0)["blob"]
                 rank = 2 <= r < 1 + len(lengths(base, threshold))
                 answers.append(np.concatenate([unpack_answer(x["blob"], x["bucket"], rank) for x in parts]) if parts else np.zeros(0, U64))
             replay = Replay(Block(data, offsets, ids, base, threshold), buckets)
-            yield get, replay, replay.send(answers)
+            yield get, replay, replay.send(answers, state)
 
 
 def _messages(t: DataFrame, rounds: int, base: int, threshold: int, buckets: int) -> DataFrame:
+    """What each block has for each range of keys. After the first two rounds
+    the block also sends itself its state, under a number below all ranges."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for get, _, (bucket, k1, k2, extra) in _replays(batches, rounds, base, threshold, buckets):
-            cols: list[list] = [[], [], [], [], []]
+        for get, replay, (bucket, k1, k2, extra) in _replays(batches, rounds, base, threshold, buckets):
+            block, cols = get("block"), [[], [], [], [], []]
             for k, s in _by_bucket(bucket):
-                for c, v in zip(cols, (k, get("block"), pack_sorted(k1[s]), None if k2 is None else pack(k2[s]),
-                                       pack(extra[s].astype(U64)))):
+                for c, v in zip(cols, (k, block, pack_sorted(k1[s]), None if k2 is None else pack(k2[s]), pack(extra[s].astype(U64)))):
+                    c.append(v)
+            if rounds == 2:
+                for c, v in zip(cols, (-1 - block, block, None, None, replay.state)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]],
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]],
                 names=["bucket", "block", "k1", "k2", "extra"])
 
-    return t.mapInArrow(run, "bucket int, block bigint, k1 binary, k2 binary, extra binary")
+    return t.mapInArrow(run, "bucket bigint, block bigint, k1 binary, k2 binary, extra binary")
 
 
 def pack_answer(a: np.ndarray) -> bytes:
@@ -362,6 +389,8 @@ def _answer(kind: str) -> Callable[[pa.Table], pa.Table]:
     that several documents have, 0 for the others; ``shared``: whether several
     have them; ``earlier``: whether a smaller id than the block's own has it."""
     def run(t: pa.Table) -> pa.Table:
+        if t["bucket"][0].as_py() < 0:
+            return pa.table({"block": t["block"], "bucket": t["bucket"], "blob": t["extra"]})
         k1s = [unpack_sorted(x.as_py()) for x in t["k1"]]
         extra = np.concatenate([unpack(x.as_py()) for x in t["extra"]])
         k1 = np.concatenate(k1s)
@@ -403,13 +432,15 @@ def _rounds(docs: DataFrame, threshold: int, base: int, id_col: str, text_col: s
     kinds = ["earlier", "shared", *["rank"] * (len(lengths(base, threshold)) - 1), "earlier"]
     for r, kind in enumerate(kinds):
         answers = (_messages(t, r, base, threshold, buckets).groupBy("bucket")
-                   .applyInArrow(_answer(kind), "block bigint, bucket int, blob binary")
+                   .applyInArrow(_answer(kind), "block bigint, bucket bigint, blob binary")
                    .groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias(f"a{r}")))
         t = t.join(_co_located(answers, f"answers{r}", n), "block", "left")
+        if r == 2:
+            t = t.drop("a0", "a1")
     return t, len(kinds), buckets
 
 
-def repeated_spans(docs: DataFrame, threshold: int = 50, base: int = 13, id_col: str = "doc_id",
+def repeated_spans(docs: DataFrame, threshold: int = 50, base: int = 25, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
     t, rounds, buckets = _rounds(docs, threshold, base, id_col, text_col)
@@ -431,7 +462,7 @@ def repeated_spans(docs: DataFrame, threshold: int = 50, base: int = 13, id_col:
     return t.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def drop_repeats(docs: DataFrame, threshold: int = 50, base: int = 13, id_col: str = "doc_id", text_col: str = "text",
+def drop_repeats(docs: DataFrame, threshold: int = 50, base: int = 25, id_col: str = "doc_id", text_col: str = "text",
                  chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the repeated bytes cut out of the text, and ``chars_col``
     counted anew. Where a cut leaves part of a character, that part goes too;
