@@ -7,10 +7,14 @@ set, so two permutations make all coordinates. Bands of equal coordinates
 propose candidates, and a link holds only if the full sets meet the threshold.
 
 No bucket is expanded into all its pairs. Equal sets form one class first. In
-each bucket every class is verified against the bucket's smallest class; most
-of a group of near copies is then one component. Only classes of one bucket
-that are still in different components are compared with each other, as no
-link between them may be missed and no link inside a component can change it.
+each bucket every class is verified against the bucket's class with the smallest
+id; most of a group of near copies is then one component. Classes of one bucket
+that are still in different components must not miss a link either. They are
+joined on rare shingles: shingles that only one component has come first, then
+by rising frequency, so that of two sets that meet the threshold the first
+common shingle lies among the first fifth of both, and what can still follow it
+must suffice. A class whose own component alone has a fifth of its shingles
+meets nobody; no pair within a component is ever formed.
 
 Defined results: null and empty texts, and texts without words, have an empty
 set and link with nothing; with fewer words than a shingle the whole sequence
@@ -145,6 +149,39 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, s, label) -> the pairs (a, b) of different labels that can meet the threshold."""
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, s, label in zip(*[batch.column(c) for c in ("node", "s", "label")]):
+                x = np.frombuffer(s.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(x), node.as_py())), pa.array(np.full(len(x), label.as_py())), pa.array(x)],
+                    names=["node", "label", "token"])
+
+    def prefix(t: pa.Table) -> pa.Table:
+        order = np.lexsort((t["token"], t["often"], np.asarray(t["alone"]) == 0))
+        n = len(order)
+        reach = n - -(-percent * n // 100) + 1
+        place = np.arange(n, dtype=np.int32)
+        keep = np.flatnonzero((np.asarray(t["alone"])[order] == 0) & (place < reach))
+        return pa.table({"node": t["node"].take(order[keep]), "label": t["label"].take(order[keep]),
+                         "token": t["token"].take(order[keep]), "place": pa.array(place[keep]),
+                         "n": pa.array(np.full(len(keep), n, np.int32))})
+
+    tokens = stored(sets.select("node", "s", "label").mapInArrow(shingles, "node bigint, label bigint, token bigint"), "tokens")
+    counts = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+                    .select("token", "often", (F.col("lo") == F.col("hi")).cast("int").alias("alone")), "token-counts")
+    first = stored(tokens.join(counts, "token").groupBy("node").applyInArrow(
+        prefix, "node bigint, label bigint, token bigint, place int, n int"), "prefixes")
+    discard(tokens, counts)
+    x, y = first.alias("x"), first.alias("y")
+    # 100 * both >= percent * union, so both >= percent * (n + n) / (100 + percent)
+    can = (f"x.token = y.token AND x.node > y.node AND x.label != y.label "
+           f"AND least(x.n - x.place, y.n - y.place) * {100 + percent} >= {percent} * (x.n + y.n)")
+    return x.join(y, F.expr(can)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, kept``, and ``text_hash`` to tell rows of one id apart."""
@@ -156,10 +193,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = stored(sig.filter("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
         .select(F.xxhash64("digest").alias("node"), "digest", "first_id", "bands", "n"), "classes")
-    exploded = classes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = stored(exploded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"))
-                     .filter("leader != other").select("key", "leader"), "buckets")
-    members = stored(exploded.join(buckets, "key"), "members")
+    exploded = classes.select("node", "first_id", F.explode("bands").alias("key"))
+    buckets = stored(exploded.groupBy("key").agg(F.min(F.struct("first_id", "node")).alias("l"), F.min("node").alias("lo"),
+                                                 F.max("node").alias("hi"))
+                     .filter("lo != hi").select("key", F.col("l.node").alias("leader")), "buckets")
+    members = stored(exploded.join(buckets, "key").select("key", "node", "leader"), "members")
     # the text of one row of each class that shares a bucket
     wanted = members.select("node").distinct().join(classes.select("node", "digest"), "node")
     holders = (sig.select("digest", "doc_id", "text_hash").join(wanted, "digest").groupBy("node")
@@ -170,25 +208,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     stars = stored(stars, "stars")
     links = stored(_links(stars, sets, percent), "links")
     labels = components(links)
-    # classes of one bucket in different components: compare those not compared yet
-    placed = stored(members.join(labels, "node", "left").select(
-        "key", "node", "n", F.coalesce("label", "node").alias("label")), "placed")
+    # classes of one bucket in different components
+    placed = stored(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
     keys = stored(placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                   .filter("lo != hi").select("key"), "open-keys")
-    open_ = stored(placed.join(keys, "key"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = (x.join(y, F.expr(f"x.key = y.key AND x.node < y.node AND x.label != y.label "
-                               f"AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-              .select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
-              .join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    more = stored(_links(stored(across, "across"), sets, percent), "links")
+    open_ = placed.join(keys, "key").select("node", "label").distinct()
+    across = stored(_rare_pairs(sets.join(open_, "node"), percent), "across")
+    more = stored(_links(across, sets, percent), "more-links")
     if more.limit(1).count():
         labels = components(links.union(more))
     named = (classes.select("node", "digest", "first_id").join(labels, "node", "left")
              .withColumn("label", F.coalesce("label", "node")))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     answer = stored(named.join(smallest, "label").select("digest", "component_id"), "answer")
-    discard(members, sets, placed, open_, buckets)
+    discard(members, sets, placed, keys, buckets, across)
     out = sig.select("doc_id", "text_hash", "n_shingles", "digest").join(answer, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
