@@ -2,15 +2,14 @@
 
 A pre-token is a doubly linked list of its bytes. Every adjacent pair that the
 vocabulary can merge stands in the bucket of its merge rank; a bitmap over the
-ranks, with a bitmap over its non-zero words above it and so on up to a single
-word, finds the lowest occupied rank by a few find-first-set steps. Popping a
+ranks, with a bitmap of its non-zero words above it, finds the lowest occupied
+rank by two find-first-set steps. Popping a
 bucket takes its positions from left to right; entries whose pair has changed
 since are skipped. Each merge pushes at most two new pairs, so a pre-token of
 n bytes costs O(n) queue steps whatever its length.
 
-Texts are cut at the vocabulary's pattern; equal segments between white space
-are encoded once per worker (a cut before white space that follows other
-characters never changes the pattern's matches), kept up to ``CACHE`` of them.
+Texts are cut at the vocabulary's pattern; equal pre-tokens are encoded once
+per worker, which remembers up to ``CACHE`` of them.
 
 Defined results: null and empty texts have no tokens and decode to nothing;
 a text of any length is encoded whole; rows are independent of each other, so
@@ -21,9 +20,10 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -32,26 +32,22 @@ from pyspark.sql import functions as F
 
 from cadence.llm._tables import ready
 
-#: White space of the Unicode property that ``\\s`` of the patterns means.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Segments and pre-tokens that a worker remembers before it starts anew.
-CACHE = 400_000
+#: Pre-tokens that a worker remembers before it starts anew.
+CACHE = 1_200_000
 #: Remembered strings are at most this long.
 CACHE_CHARS = 64
 
 
 class RankQueue:
-    """Buckets of positions by rank under a hierarchy of 64-bit words."""
+    """Buckets of positions by rank under a bitmap of ``WIDTH``-bit words and a
+    word over the words (one more level would serve 2**24 ranks and more)."""
+
+    WIDTH = 8
+    BITS = [1 << i for i in range(1 << WIDTH)]
 
     def __init__(self, n_ranks: int):
-        self.levels: list[list[int]] = []
-        n = max(n_ranks, 1)
-        while True:
-            n = (n + 63) >> 6
-            self.levels.append([0] * n)
-            if n == 1:
-                break
+        self.words = [0] * ((n_ranks >> self.WIDTH) + 1)
+        self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
@@ -60,30 +56,21 @@ class RankQueue:
             bucket.append(position)
             return
         self.buckets[rank] = [position]
-        i = rank
-        for words in self.levels:
-            w, bit = i >> 6, 1 << (i & 63)
-            old = words[w]
-            words[w] = old | bit
-            if old:
-                return
-            i = w
-
-    def pop(self) -> tuple[int, list[int]] | None:
-        """The lowest occupied rank and its positions."""
-        if not self.buckets:
-            return None
-        i = 0
-        for words in reversed(self.levels):
-            w = words[i]
-            i = (i << 6) | ((w & -w).bit_length() - 1)
-        rank = i
-        for words in self.levels:
-            w = i >> 6
-            words[w] &= ~(1 << (i & 63))
-            if words[w]:
-                break
-            i = w
+        w = rank >> 8
+        word = self.words[w]
+        if not word:
+            self.top |= 1 << w
+        self.words[w] = word | self.BITS[rank & 255]
+
+    def pop(self) -> tuple[int, list[int]]:
+        """The lowest occupied rank and its positions, by two find-first-set steps."""
+        w = (self.top & -self.top).bit_length() - 1
+        word = self.words[w]
+        low = word & -word
+        self.words[w] = word = word ^ low
+        if not word:
+            self.top ^= 1 << w
+        rank = (w << 8) | (low.bit_length() - 1)
         return rank, self.buckets.pop(rank)
 
 
@@ -95,84 +82,63 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        # the rank of each pair of tokens that makes a token
+        self.pairs = {(x, y): r for t, r in ranks.items() for i in range(1, len(t))
+                      if (x := ranks.get(t[:i])) is not None and (y := ranks.get(t[i:])) is not None}
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.pretokens: dict[str, tuple[int, ...]] = {}
-        self.segments: dict[str, tuple[int, ...]] = {}
-
-    def merged(self, a: int, b: int) -> int:
-        """The id that the pair merges to, -1 if none."""
-        r = self.pairs.get((a, b))
-        if r is None:
-            if len(self.pairs) > 4 * CACHE:
-                self.pairs.clear()
-            r = self.pairs[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-        return r
 
     def encode_bytes(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        single, merged, queue = self.single, self.merged, self.queue
-        ids = [single[b] for b in piece]
+        pairs, queue = self.pairs, self.queue
+        push, pop = queue.push, queue.pop
+        ids = [self.single[b] for b in piece]
         n = len(ids)
-        if n < 2:
-            return tuple(ids)
         right = list(range(1, n + 1))
         left = list(range(-1, n - 1))
-        for i in range(n - 1):
-            r = merged(ids[i], ids[i + 1])
-            if r >= 0:
-                queue.push(r, i)
-        while (got := queue.pop()) is not None:
-            rank, positions = got
-            positions.sort()
+        for i, pair in enumerate(zip(ids, ids[1:])):
+            r = pairs.get(pair)
+            if r is not None:
+                push(r, i)
+        while queue.top:
+            rank, positions = pop()
+            if len(positions) > 1:
+                positions.sort()
             for i in positions:
                 j = right[i]
-                if j >= n or ids[i] < 0 or merged(ids[i], ids[j]) != rank:
+                if j >= n or pairs.get((ids[i], ids[j])) != rank:
                     continue  # stale: one of the two has been merged since
                 ids[i], ids[j] = rank, -1
                 k = right[i] = right[j]
                 if k < n:
                     left[k] = i
-                    r = merged(rank, ids[k])
-                    if r >= 0:
-                        queue.push(r, i)
+                    r = pairs.get((rank, ids[k]))
+                    if r is not None:
+                        push(r, i)
                 h = left[i]
                 if h >= 0:
-                    r = merged(ids[h], rank)
-                    if r >= 0:
-                        queue.push(r, h)
+                    r = pairs.get((ids[h], rank))
+                    if r is not None:
+                        push(r, h)
         return tuple([x for x in ids if x >= 0])
 
-    def encode_segment(self, text: str) -> tuple[int, ...]:
-        out: list[int] = []
-        known = self.pretokens
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.encode_bytes(piece.encode())
-                if len(piece) <= CACHE_CHARS:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[piece] = ids
-            out.extend(ids)
-        return tuple(out)
-
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, extend = self.segments, out.extend
-        for s in SEGMENT.findall(text):
-            ids = known.get(s)
-            if ids is None:
-                ids = self.encode_segment(s)
-                if len(s) <= CACHE_CHARS:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[s] = ids
-            extend(ids)
-        return out
+        pieces = self.pattern.findall(text)
+        known = self.pretokens
+        if len(known) > CACHE:
+            known.clear()
+        long = []
+        for piece in set(pieces).difference(known):
+            known[piece] = self.encode_bytes(piece.encode())
+            if len(piece) > CACHE_CHARS:
+                long.append(piece)
+        ids = list(chain.from_iterable(map(known.__getitem__, pieces)))
+        for piece in long:
+            del known[piece]
+        return ids
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -209,6 +175,7 @@ def encode(docs: DataFrame, vocab: str = "byte_bpe_50k.tiktoken", pattern: str |
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the remembered tuples hold no cycles; walking them again and again costs as much as encoding
         v = vocabulary(vocab, pattern)
         digits = {i: str(i) for i in v.bytes_of}
         for batch in batches:

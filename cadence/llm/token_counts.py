@@ -15,6 +15,7 @@ empty result; extra columns are never read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -24,7 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.llm._tables import new_path, ready, stored
-from cadence.llm.encoding import CACHE, CACHE_CHARS, SEGMENT
+
+#: White space of the Unicode property that ``\\s`` of the pattern means.
+WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Segments that a worker remembers before it starts anew, and their longest length.
+CACHE, CACHE_CHARS = 1_200_000, 64
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
 
@@ -84,7 +90,7 @@ class Counter:
         if not self.additive:
             return self.count_all(texts)
         known = self.known
-        if len(known) > 3 * CACHE:
+        if len(known) > CACHE:
             known.clear()
         out = []
         for text in texts:
@@ -117,6 +123,7 @@ def _counter(name: str) -> Counter:
 
 def _count_misses(misses: DataFrame, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the remembered counts hold no cycles
         count = _counter(name)
         for b in batches:
             for at in range(0, b.num_rows, 64):
