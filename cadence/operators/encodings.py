@@ -49,8 +49,11 @@ def build_dictionary(df: DataFrame, col: str, offset: int = 0,
     return pos.select("value", n.alias("n"), int_to_code(n).alias("code"))
 
 
-def expand_bits(df: DataFrame, col: str, width: int = 8) -> DataFrame:
-    """``<f>0..<f>7`` = the code's bits after the leading '1'; drop ``<f>``."""
+def expand_bits(df: DataFrame, col: str, width: int | None = None) -> DataFrame:
+    """``<f>0..`` = the code's bits after the leading '1'; drop ``<f>``.
+    Without a ``width`` the longest code gives it (8 at least), so that no bit is lost."""
+    if width is None:
+        width = max(8, (df.agg(F.max(F.length(col))).first()[0] or 0) - 1)
     bits = {f"{col}{i}": F.substring(F.col(col), i + 2, 1).try_cast("int") for i in range(width)}
     return df.withColumns(bits).drop(col)
 

@@ -252,17 +252,19 @@ def build_vocab(df: DataFrame, text: str, size: int) -> tuple[DataFrame, DataFra
     return vocab, stats
 
 
-def text_to_ids(df: DataFrame, text: str, vocab: DataFrame, max_len: int,
-                auto_trim: bool = True, out: str = "ids") -> DataFrame:
+def text_to_ids(df: DataFrame, text: str, vocab: DataFrame, max_len: int | None = None,
+                auto_trim: bool = False, out: str = "ids") -> DataFrame:
     """Token ids with centred padding (left floor, right ceil, pad = 1),
-    unknown -> 0; longer texts are cut to ``max_len`` (``auto_trim``) or
-    dropped (training mode). The vocabulary (bounded by its size parameter)
+    unknown -> 0; ``max_len`` is the longest text unless the caller sets it,
+    and then longer texts are dropped (training mode) or cut (``auto_trim``). The vocabulary (bounded by its size parameter)
     becomes a literal map, so the whole operator is a narrow projection."""
     pairs = [(r["token"], r["id"]) for r in vocab.collect()]
     m = F.create_map(*[x for t, i in pairs for x in (F.lit(t), F.lit(i))])
     toks = X.char_tokens(F.col(text))
     x = df.withColumn("__t", toks)
-    if not auto_trim:
+    if max_len is None:
+        max_len = x.agg(F.max(F.size("__t"))).first()[0] or 0
+    elif not auto_trim:
         x = x.filter(F.size("__t") <= max_len)
     x = x.withColumn("__t", F.slice("__t", 1, max_len))
     ids = F.transform("__t", lambda t: F.coalesce(F.element_at(m, t), F.lit(0)))

@@ -97,13 +97,10 @@ def estimator(name: str, features: str = "features", label: str = "label", **par
 
 # ------------------------------------------------------------------ L4
 def search_model(df: DataFrame, feature_cols: list[str], label: str, family: str,
-                 grid: dict[str, list], task: str, id_col: str, pilot: int = 500, seed: int = 7):
-    """L4: choose params on the first ``pilot`` rows (by id), refit on all rows.
-
-    Requires more than ``pilot`` rows. Returns (fitted pipeline model, best params).
+                 grid: dict[str, list], task: str, id_col: str, pilot: int | None = None, seed: int = 7):
+    """L4: choose params on all rows, or on the first ``pilot`` rows by id if the
+    caller sets it, and refit on all rows. Returns (fitted pipeline model, best params).
     """
-    if df.limit(pilot + 1).count() <= pilot:
-        raise ValueError(f"model search needs more than {pilot} rows")
     asm = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="skip")
     est = estimator(family, label=label)
     pg = ParamGridBuilder()
@@ -111,7 +108,7 @@ def search_model(df: DataFrame, feature_cols: list[str], label: str, family: str
         pg = pg.addGrid(est.getParam(k), vals)
     tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=pg.build(),
                                evaluator=evaluator(task, label), trainRatio=0.8, seed=seed)
-    pilot_df = asm.transform(df.orderBy(id_col).limit(pilot))
+    pilot_df = asm.transform(df if pilot is None else df.orderBy(id_col).limit(pilot))
     best = tvs.fit(pilot_df)
     bm = best.bestModel
     params = {p.name: bm.getOrDefault(p) for p in est.params if p.name in grid}

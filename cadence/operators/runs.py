@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from cadence.functions.features import compile_features
 
 _B = "__bucket"
+_PK = "__pk"
 
 
 def _cols(names) -> list[Column]:
@@ -84,6 +85,15 @@ def with_bucket(df: DataFrame, order_by, bucket, partition_by=None,
         .drop("__tus", "__cb", "__w")
 
 
+def _keyed(df: DataFrame, parts: list[str]) -> DataFrame:
+    """Add the (partition, bucket) key as one struct. A struct is never null
+    itself and its null fields equal each other, so a plain equi-join on it
+    keeps rows with a null partition key or a null time (they stand in buckets
+    of their own), and the window's partitioning serves the join as well."""
+    p = F.struct(F.lit(0).alias("z"), *[F.col(c).alias(f"p{i}") for i, c in enumerate(parts)])
+    return df.withColumn(_PK, F.struct(p.alias("p"), F.col(_B).alias("b")))
+
+
 def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
             run_col: str = "run_id", flags: bool = False) -> DataFrame:
     """Add ``run_col`` (0-based consecutive-run number, per ``partition_by``).
@@ -99,10 +109,9 @@ def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
     keys = _cols(keys)
     order = _cols(order_by)
     parts = list(partition_by or [])
-    part_cols = _cols(parts)
     kstruct = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]) if keys else None
-    x = with_bucket(df, order_by, bucket, parts)
-    w_local = Window.partitionBy(*part_cols, F.col(_B)).orderBy(*order)
+    x = _keyed(with_bucket(df, order_by, bucket, parts), parts)
+    w_local = Window.partitionBy(_PK).orderBy(*order)
     if kstruct is None:
         chg = F.lit(1)
     else:
@@ -122,8 +131,8 @@ def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
     aggs = [F.max("__local").alias("__n")]
     if kstruct is not None:
         aggs += [F.min_by("__k", okey).alias("__first"), F.max_by("__k", okey).alias("__last")]
-    summ = x.groupBy(*parts, _B).agg(*aggs)
-    w_b = Window.partitionBy(*part_cols).orderBy(F.col(_B))
+    summ = x.groupBy(_PK).agg(*aggs)
+    w_b = Window.partitionBy(f"{_PK}.p").orderBy(f"{_PK}.b")
     if kstruct is None:
         merge = F.lit(0)
     else:
@@ -135,16 +144,16 @@ def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
     if flags:
         summ = summ.withColumn("__nm", F.lead("__m").over(w_b))
         keep += ["__m", "__nm"]
-    summ = summ.select(*parts, _B, *keep)
+    summ = summ.select(_PK, *keep)
     # the summary has one row per bucket: AQE broadcasts it from its measured
     # shuffle size (counting it up front would re-run the whole upstream plan)
-    out = x.join(summ, on=[*parts, _B], how="inner")
+    out = x.join(summ, on=_PK, how="inner")
     out = out.withColumn(run_col, (F.col("__off") + F.col("__local") - 1).cast("bigint"))
     if flags:
         out = out.withColumn("run_start", (F.col("__chg") == 1) & ~(F.col("__bf") & (F.col("__m") == 1))) \
             .withColumn("run_end", F.when(F.col("__nchg").isNotNull(), F.col("__nchg") == 1)
                         .otherwise(F.coalesce(F.col("__nm") != 1, F.lit(True))))
-    return out.drop(_B, "__k", "__chg", "__local", "__off", "__bf", "__nchg", "__m", "__nm")
+    return out.drop(_B, _PK, "__k", "__chg", "__local", "__off", "__bf", "__nchg", "__m", "__nm")
 
 
 def row_positions(df: DataFrame, order_by, partition_by=None, bucket=None,
@@ -286,22 +295,20 @@ def shifted(df: DataFrame, value: str | Column, order_by, partition_by=None, buc
     summary. Null when there is no neighbour.
     """
     parts = list(partition_by or [])
-    part_cols = _cols(parts)
     order = _cols(order_by)
     v = F.col(value) if isinstance(value, str) else value
-    x = with_bucket(df, order_by, bucket, parts).withColumn("__v", F.struct(v.alias("v")))
-    w = Window.partitionBy(*part_cols, F.col(_B)).orderBy(*order)
+    x = _keyed(with_bucket(df, order_by, bucket, parts), parts).withColumn("__v", F.struct(v.alias("v")))
+    w = Window.partitionBy(_PK).orderBy(*order)
     fn = F.lag if direction == "lag" else F.lead
     x = x.withColumn("__loc", fn("__v").over(w))
     okey = F.struct(*order)
-    summ = x.groupBy(*parts, _B).agg(F.max_by("__v", okey).alias("__last"),
-                                     F.min_by("__v", okey).alias("__first"))
-    wb = Window.partitionBy(*part_cols).orderBy(F.col(_B))
+    summ = x.groupBy(_PK).agg(F.max_by("__v", okey).alias("__last"), F.min_by("__v", okey).alias("__first"))
+    wb = Window.partitionBy(f"{_PK}.p").orderBy(f"{_PK}.b")
     nb = F.lag("__last").over(wb) if direction == "lag" else F.lead("__first").over(wb)
-    summ = summ.select(*parts, _B, nb.alias("__nb"))
-    j = x.join(summ, on=[*parts, _B], how="inner")
+    summ = summ.select(_PK, nb.alias("__nb"))
+    j = x.join(summ, on=_PK, how="inner")
     j = j.withColumn(out, F.coalesce(F.col("__loc"), F.col("__nb")).getField("v"))
-    return j.drop(_B, "__v", "__loc", "__nb")
+    return j.drop(_B, _PK, "__v", "__loc", "__nb")
 
 
 def suffix_any(df: DataFrame, cond: Column, order_by, partition_by=None, bucket=None,
@@ -312,17 +319,16 @@ def suffix_any(df: DataFrame, cond: Column, order_by, partition_by=None, bucket=
     "any later bucket" from a per-bucket summary.
     """
     parts = list(partition_by or [])
-    part_cols = _cols(parts)
     order = _cols(order_by)
-    x = with_bucket(df, order_by, bucket, parts).withColumn("__c", F.coalesce(cond, F.lit(False)).cast("int"))
+    x = _keyed(with_bucket(df, order_by, bucket, parts), parts).withColumn("__c", F.coalesce(cond, F.lit(False)).cast("int"))
     rev = [c.desc() for c in order]
-    w = Window.partitionBy(*part_cols, F.col(_B)).orderBy(*rev) \
+    w = Window.partitionBy(_PK).orderBy(*rev) \
         .rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("__loc", F.coalesce(F.max("__c").over(w), F.lit(0)))
-    summ = x.groupBy(*parts, _B).agg(F.max("__c").alias("__bc"))
-    wb = Window.partitionBy(*part_cols).orderBy(F.col(_B).desc()) \
+    summ = x.groupBy(_PK).agg(F.max("__c").alias("__bc"))
+    wb = Window.partitionBy(f"{_PK}.p").orderBy(F.col(f"{_PK}.b").desc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select(*parts, _B, F.coalesce(F.max("__bc").over(wb), F.lit(0)).alias("__nb"))
-    j = x.join(summ, on=[*parts, _B], how="inner")
+    summ = summ.select(_PK, F.coalesce(F.max("__bc").over(wb), F.lit(0)).alias("__nb"))
+    j = x.join(summ, on=_PK, how="inner")
     j = j.withColumn(out, (F.greatest("__loc", "__nb") == 1))
-    return j.drop(_B, "__c", "__loc", "__nb")
+    return j.drop(_B, _PK, "__c", "__loc", "__nb")

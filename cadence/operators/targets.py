@@ -56,8 +56,10 @@ def asof_join(probe: DataFrame, build: DataFrame, keys: list[str], probe_t: Colu
     ``probe_t``/``build_t`` are epoch-microsecond BIGINT columns; forward
     finds the first build row with ``build_t >= probe_t``, backward the last
     with ``build_t <= probe_t``; among equal times the lowest ``build_tie``
-    (numeric) wins. ``hit_col`` is a struct ``(t, m)`` with ``m`` = payload,
-    or null when nothing matches. Probe columns are preserved.
+    wins, compared in its own type. ``hit_col`` is a struct ``(t, m)`` with ``m`` = payload,
+    or null when nothing matches (a probe without a time matches nothing, a
+    build row without one is never matched; null keys equal each other). Probe
+    columns are preserved.
 
     ``adaptive`` slices a hot (keys, bucket) -- more than ``target_rows``
     probe+build rows, e.g. one key holding a third of the data -- into
@@ -68,11 +70,13 @@ def asof_join(probe: DataFrame, build: DataFrame, keys: list[str], probe_t: Colu
     pcols = probe.columns
     kexpr = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     kn = [f"__k{i}" for i in range(len(keys))]
+    # one struct of all keys: its null fields equal each other, so null keys match across buckets too
+    whole = F.struct(F.lit(0).alias("z"), *kn)
     P = probe.select(*kexpr, probe_t.cast("bigint").alias("__t"), F.lit(1).alias("__pr"),
-                     F.lit(None).cast("double").alias("__tie"),
                      F.struct(*[F.col(f"`{c}`") for c in pcols]).alias("__p"))
     B = build.select(*kexpr, build_t.cast("bigint").alias("__t"), F.lit(0).alias("__pr"),
-                     build_tie.cast("double").alias("__tie"), payload.alias("__m"))
+                     build_tie.alias("__tie"), payload.alias("__m")).filter("__t IS NOT NULL")
+    P = P.withColumn("__tie", F.lit(None).cast(B.schema["__tie"].dataType))
     P = P.withColumn("__m", F.lit(None).cast(B.schema["__m"].dataType))
     B = B.withColumn("__p", F.lit(None).cast(P.schema["__p"].dataType))
     U = P.unionByName(B).withColumn("__cb", F.floor(F.col("__t") / F.lit(bucket_us)))
@@ -89,14 +93,14 @@ def asof_join(probe: DataFrame, build: DataFrame, keys: list[str], probe_t: Colu
     else:
         sub = F.lit(0)
     U = U.withColumn("__b", F.struct(F.col("__cb").alias("c"), sub.cast("bigint").alias("s"))) \
-        .drop("__cb", "__w")
+        .withColumn("__kk", whole).drop("__cb", "__w", *kn)
 
     # local match inside (keys, bucket)
     if fwd:
         order = [F.col("__t").desc(), F.col("__pr").asc(), F.col("__tie").desc()]
     else:
         order = [F.col("__t").asc(), F.col("__pr").asc(), F.col("__tie").desc()]
-    w = Window.partitionBy(*kn, "__b").orderBy(*order) \
+    w = Window.partitionBy("__kk", "__b").orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = F.when(F.col("__pr") == 0, F.struct(F.col("__t").alias("t"), F.col("__m").alias("m")))
     L = U.withColumn("__loc", F.last(hit, ignorenulls=True).over(w)).filter(F.col("__pr") == 1)
@@ -104,20 +108,20 @@ def asof_join(probe: DataFrame, build: DataFrame, keys: list[str], probe_t: Colu
     # head (forward: earliest) / tail (backward: latest) of each build bucket
     rank = F.struct((F.col("__t") if fwd else -F.col("__t")).alias("a"), F.col("__tie").alias("b"))
     heads = U.filter(F.col("__pr") == 0) \
-        .groupBy(*kn, "__b").agg(F.min_by(F.struct(F.col("__t").alias("t"), F.col("__m").alias("m")),
+        .groupBy("__kk", "__b").agg(F.min_by(F.struct(F.col("__t").alias("t"), F.col("__m").alias("m")),
                                           rank).alias("__h"))
     # probe buckets come from the bucketed union without its window (scan +
     # projection), so the big union window is evaluated once
-    need = U.filter(F.col("__pr") == 1).select(*kn, "__b").distinct() \
+    need = U.filter(F.col("__pr") == 1).select("__kk", "__b").distinct() \
         .withColumn("__h", F.lit(None).cast(heads.schema["__h"].dataType)).withColumn("__f", F.lit(1))
     S = heads.withColumn("__f", F.lit(0)).unionByName(need)
     ob = [F.col("__b").desc() if fwd else F.col("__b").asc(), F.col("__f").desc()]
-    wb = Window.partitionBy(*kn).orderBy(*ob).rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy("__kk").orderBy(*ob).rowsBetween(Window.unboundedPreceding, -1)
     nxt = S.withColumn("__nx", F.last("__h", ignorenulls=True).over(wb)) \
-        .filter(F.col("__f") == 1).select(*kn, "__b", "__nx")
+        .filter(F.col("__f") == 1).select("__kk", "__b", "__nx")
 
-    J = L.join(nxt, on=[*kn, "__b"], how="left")
-    J = J.withColumn(hit_col, F.coalesce(F.col("__loc"), F.col("__nx")))
+    J = L.join(nxt, on=["__kk", "__b"], how="left")
+    J = J.withColumn(hit_col, F.when(F.col("__t").isNotNull(), F.coalesce(F.col("__loc"), F.col("__nx"))))
     return J.select(*[F.col("__p").getField(c).alias(c) for c in pcols], hit_col)
 
 

@@ -55,7 +55,7 @@ def q_time_range(spark, sf_dir):
 SELECT user_id, tok FROM {_DIRTY_SQL} d
 WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20'
   AND tok IS NOT NULL AND tok NOT IN ('NULL', 'null', '')
-ORDER BY (event_id * 2654435761 + 7) % 4294967291, event_id
+ORDER BY CAST('0x' || substr(md5(concat(event_id, ':7')), 1, 15) AS BIGINT), event_id
 LIMIT 500
 """)
 def q_bounded_read(spark, sf_dir):
@@ -69,7 +69,7 @@ def q_bounded_read(spark, sf_dir):
 @register("sample_rows", """
 SELECT o_orderkey, o_orderpriority FROM orders
 WHERE o_orderpriority IS NOT NULL AND o_orderpriority NOT IN ('NULL', 'null', '')
-ORDER BY (o_orderkey * 2654435761 + 0) % 4294967291, o_orderkey LIMIT 100
+ORDER BY CAST('0x' || substr(md5(concat(o_orderkey, ':0')), 1, 15) AS BIGINT), o_orderkey LIMIT 100
 """)
 def q_sample_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -388,3 +388,12 @@ def q_collection_read(spark, sf_dir):
     d.write.parquet(path)
     back = readers.read_collection(spark, path)
     return back.select("event_id", "user_id", "tok", F.round("x", 6).alias("x"))
+
+
+@register("sample_rows_text_id", """
+SELECT 'c-' || c_custkey AS id, c_name FROM customer
+ORDER BY CAST('0x' || substr(md5(concat('c-' || c_custkey, ':4')), 1, 15) AS BIGINT), 'c-' || c_custkey LIMIT 50
+""")
+def q_sample_rows_text_id(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c-"), F.col("c_custkey")).alias("id"), "c_name")
+    return readers.sample_rows(c, ["c_name"], n=50, id_col="id", seed=4)

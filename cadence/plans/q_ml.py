@@ -186,7 +186,7 @@ def _fit(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", *_FEATS) \
         .withColumn("rid", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     model, params = L.search_model(li, _FEATS, "l_extendedprice", "LinearRegression",
-                                   {"regParam": [0.0, 0.1, 1.0]}, "regression", "rid", pilot=500)
+                                   {"regParam": [0.0, 0.1, 1.0]}, "regression", "rid")
     return li, model, params
 
 

@@ -271,3 +271,31 @@ def q_custom_run_features(spark, sf_dir):
                                    keys=["event_type"], order_by=["ts", "event_id"],
                                    partition_by=["user_id"], bucket="day")
     return out.select("user_id", "run_id", F.round("value_range", 6).alias("value_range"), "first_type")
+
+
+# every fifth user and every eleventh time are null: all rows must be accounted for
+_EV_GAPS = """(SELECT event_id, value, event_type, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END AS user_id,
+                      CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS ts FROM events)"""
+
+
+def events_with_gaps(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "value", "event_type", F.expr("CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END").alias("user_id"),
+                    F.expr("CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END").alias("ts"))
+
+
+@register("run_features_nulls", f"""
+WITH c AS (
+  SELECT *, CASE WHEN row_number() OVER w > 1 AND event_type IS NOT DISTINCT FROM lag(event_type) OVER w THEN 0 ELSE 1 END AS chg
+  FROM {_EV_GAPS} WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id)),
+r AS (
+  SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id ROWS UNBOUNDED PRECEDING) - 1 AS run_id FROM c)
+SELECT user_id, CAST(run_id AS BIGINT) AS run_id, event_type, CAST(count(*) AS BIGINT) AS n_elements,
+       round(sum(coalesce(value, 0)), 6) AS total_value
+FROM r GROUP BY user_id, run_id, event_type
+""")
+def q_run_features_nulls(spark, sf_dir):
+    out = runs.features_by_run(events_with_gaps(spark, sf_dir), [spec("direct", "sum", "value", title="total_value")],
+                               keys=["event_type"], order_by=["ts", "event_id"], ts_col="ts", id_col="event_id",
+                               partition_by=["user_id"], bucket="adaptive:day")
+    return out.select("user_id", "run_id", "event_type", "n_elements", F.round("total_value", 6).alias("total_value"))

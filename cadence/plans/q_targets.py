@@ -137,3 +137,16 @@ def q_split_targets(spark, sf_dir):
     assert "target_value_o_orderstatus" in feats.columns
     return o.select("o_orderkey", "o_custkey",
                     F.round("target_value_o_totalprice", 6).alias("target_value_o_totalprice"))
+
+
+@register("target_after_nulls", """
+WITH e AS (SELECT event_id, ts, value, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END AS user_id FROM events),
+k AS (SELECT *, coalesce(user_id, -1) AS k FROM e)
+SELECT e.event_id, round(CASE WHEN r.event_id IS NULL THEN e.value ELSE r.value END, 6) AS target_value_value
+FROM k e ASOF LEFT JOIN k r ON e.k = r.k AND e.ts + INTERVAL 1 HOUR <= r.ts
+""")
+def q_target_after_nulls(spark, sf_dir):
+    e = _ev(spark, sf_dir)
+    e = e.withColumn("user_id", F.expr("CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END"))
+    out = targets.pick_targets(e, [AFTER_1H], id_col="event_id")
+    return out.select("event_id", F.round("target_value_value", 6).alias("target_value_value"))

@@ -263,34 +263,32 @@ def q_vocab_stats(spark, sf_dir):
     return st.select(F.col("max_len").cast("int").alias("max_len"), F.col("n_tokens").cast("bigint").alias("n_tokens"))
 
 
-_MAXLEN = 64
-
-
 @register("text_ids", f"""
 WITH {_VOCAB_SQL},
 b AS (SELECT item_id, {_d_sanitize('text')} AS t FROM benchmark),
 tk AS (SELECT item_id, unnest(string_split(t, '')) AS c, unnest(generate_series(1, length(t))) AS pos
        FROM b WHERE length(t) > 0),
 j AS (SELECT tk.item_id, tk.pos, coalesce(v.id, 0) AS id FROM tk
-      LEFT JOIN vocab v ON v.token = CASE WHEN tk.c = ' ' THEN '<ws>' ELSE tk.c END WHERE tk.pos <= {_MAXLEN}),
+      LEFT JOIN vocab v ON v.token = CASE WHEN tk.c = ' ' THEN '<ws>' ELSE tk.c END ),
+m AS (SELECT max(length(t)) AS n FROM b),
 agg AS (SELECT b.item_id, coalesce(string_agg(CAST(j.id AS VARCHAR), ',' ORDER BY j.pos), '') AS s,
                count(j.pos) AS n FROM b LEFT JOIN j USING (item_id) GROUP BY b.item_id)
 SELECT item_id,
        array_to_string(list_concat(list_concat(
-           CAST(list_transform(generate_series(1, ({_MAXLEN} - n) // 2), lambda x: 1) AS INTEGER[]),
-           CASE WHEN n = 0 THEN CAST([] AS INTEGER[]) ELSE CAST(string_split(s, ',') AS INTEGER[]) END),
-           CAST(list_transform(generate_series(1, {_MAXLEN} - n - ({_MAXLEN} - n) // 2), lambda x: 1) AS INTEGER[])), ',') AS ids
+           CAST(list_transform(generate_series(1, ((SELECT m.n FROM m) - agg.n) // 2), lambda x: 1) AS INTEGER[]),
+           CASE WHEN agg.n = 0 THEN CAST([] AS INTEGER[]) ELSE CAST(string_split(s, ',') AS INTEGER[]) END),
+           CAST(list_transform(generate_series(1, (SELECT m.n FROM m) - agg.n - ((SELECT m.n FROM m) - agg.n) // 2), lambda x: 1) AS INTEGER[])), ',') AS ids
 FROM agg
 """)
 def q_text_ids(spark, sf_dir):
     v, _ = K.build_vocab(table(spark, sf_dir, "documents"), "text", _VOCAB)
     b = table(spark, sf_dir, "benchmark")
-    out = K.text_to_ids(b, "text", v, _MAXLEN)
+    out = K.text_to_ids(b, "text", v)
     return out.select("item_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @register("class_split", """
-WITH x AS (SELECT doc_id, quality, (doc_id * 2654435761 + 3) % 4294967291 AS h FROM labels),
+WITH x AS (SELECT doc_id, quality, CAST('0x' || substr(md5(concat(doc_id, ':3')), 1, 15) AS BIGINT) AS h FROM labels),
 r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY h DESC, doc_id DESC) AS rn FROM x)
 SELECT doc_id, quality, CASE WHEN rn <= 50 THEN 'test' ELSE 'train' END AS split FROM r
 """)

@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 
 from cadence.operators.cleaning import drop_null_tokens, dropna_any, inf_to_null, time_range
 
-OBJECT_STORE_CSV_ROWS = 10_000    # fixed value: object-store CSV reads keep this many rows
-
 
 def read_file(spark: SparkSession, path: str, fmt: str | None = None,
               schema: T.StructType | str | None = None) -> DataFrame:
@@ -33,14 +31,15 @@ def read_file(spark: SparkSession, path: str, fmt: str | None = None,
     return dropna_any(inf_to_null(df))
 
 
-def read_object_store(spark: SparkSession, uri: str, max_rows: int = OBJECT_STORE_CSV_ROWS,
+def read_object_store(spark: SparkSession, uri: str, max_rows: int | None = None,
                       schema=None) -> DataFrame:
-    """A2: ``s3a://``-style source: CSV keeps its first ``max_rows`` rows
-    (the source's documented behaviour), JSON is read whole; same cleaning."""
+    """A2: ``s3a://``-style source: CSV and JSON are read whole, unless the
+    caller sets ``max_rows`` for a CSV; same cleaning."""
     fmt = uri.rsplit(".", 1)[-1].lower()
     r = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
-        df = r.option("header", True).option("inferSchema", schema is None).csv(uri).limit(max_rows)
+        df = r.option("header", True).option("inferSchema", schema is None).csv(uri)
+        df = df if max_rows is None else df.limit(max_rows)
     else:
         df = r.json(uri)
     return dropna_any(inf_to_null(df))
@@ -53,7 +52,8 @@ def read_collection(spark: SparkSession, name_or_path: str, fields: list[str] |
     Rows with a null token in any (declared) field are dropped, the id column
     is removed, then ±Inf -> null and rows with nulls dropped.
     """
-    if "/" in name_or_path or "." in name_or_path.rsplit("/", 1)[-1]:
+    # a path has a slash or a scheme; anything else, dots included, is a catalog name
+    if "/" in name_or_path or ":" in name_or_path:
         df = spark.read.format(fmt).load(name_or_path)
     else:
         df = spark.table(name_or_path)
@@ -87,21 +87,12 @@ def read_source(spark: SparkSession, kind: str, target, **opts) -> DataFrame:
     return SOURCES[kind](spark, target, **opts)
 
 
-# Multiplicative hash used for reproducible pseudo-random row order
-_HASH_MULT = 2654435761
-_HASH_MOD = 4294967291
-
-
-def sample_key(id_col: str | Column, seed: int = 0, numeric: bool = True) -> Column:
-    """Deterministic pseudo-random order key of a row id.
-
-    Integer ids use ``(id * 2654435761 + seed) mod 4294967291`` (portable
-    across engines); other ids use ``xxhash64(id, seed)``.
-    """
+def sample_key(id_col: str | Column, seed: int = 0) -> Column:
+    """Deterministic pseudo-random order key of a row id of any type: the first
+    60 bits of ``md5(id ':' seed)``, which other engines compute as well."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    if numeric:
-        return F.pmod(c.cast("bigint") * F.lit(_HASH_MULT) + F.lit(seed), F.lit(_HASH_MOD))
-    return F.xxhash64(c, F.lit(seed))
+    digest = F.md5(F.concat(c.cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def bounded_read(df: DataFrame, fields: list[str] | None = None, ts: str | None = None,

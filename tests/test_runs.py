@@ -113,3 +113,16 @@ def test_run_first_last_from_flags_equal_order_pick(spark):
     ref = r.groupBy("u", "run_id").agg(*compile_features(specs, df.schema, order=F.struct("ts", "id")))
     cols = ["u", "run_id", "fv", "lv", "lh", "fs"]
     assert sorted(got.select(cols).collect()) == sorted(ref.select(cols).collect())
+
+
+def test_null_partitions_and_times_keep_their_rows(spark):
+    rows = [(1, None, "u", "a"), (2, datetime(2024, 1, 1), None, "a"), (3, datetime(2024, 1, 2), None, "a"),
+            (4, datetime(2024, 1, 1), "u", "a"), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, u string, k string")
+    for bucket in ("day", "adaptive:day", None):
+        got = {r.id: r.run_id for r in run_ids(df, ["k"], ["ts", "id"], ["u"], bucket).collect()}
+        assert got == {1: 0, 4: 0, 5: 0, 2: 1, 3: 1}
+        assert shifted(df, "id", ["ts", "id"], ["u"], bucket).count() == 5
+        assert suffix_any(df, df.k == "a", ["ts", "id"], ["u"], bucket).count() == 5
+    f = features_by_run(df, [spec("direct", "count", "id", title="n")], ["k"], ["ts", "id"], "ts", "id", ["u"], "day")
+    assert sum(r.n_elements for r in f.collect()) == 5

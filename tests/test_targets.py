@@ -64,3 +64,20 @@ def test_asof_adaptive_slices_equal_plain(spark):
     d = {r["id"]: r["__hit"] for r in asof_join(*args[:3], epoch_us("ts") - F.lit(600_000_000), *args[4:],
                                                  direction="backward", adaptive=False).collect()}
     assert c == d
+
+
+def test_asof_ties_keep_their_type_and_null_keys_match(spark):
+    from datetime import datetime
+
+    from cadence.operators.targets import pick_targets
+
+    day = [datetime(2024, 1, d) for d in (1, 2, 5)]
+    big = 2 ** 53
+    rows = [(1, day[0], "u", 1.0), (big + 1, day[1], "u", 20.0), (big, day[1], "u", 10.0),
+            (2, day[0], None, 2.0), (3, day[2], None, 30.0)]
+    t = [{"column": "v", "constraints": [{"type": "time", "key": "ts", "after": {"hours": 1}}, {"key": "k"}]}]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "id long, ts timestamp, k string, v double")
+        df = df.withColumn("id", df.id.cast(kind))
+        got = {int(r.id): r.target_value_v for r in pick_targets(df, t, id_col="id").collect()}
+        assert got[1] == 10.0 and got[2] == 30.0
