@@ -64,7 +64,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, piece_words: int = PIECE_WORDS
 
 def _cells_of(digest: np.ndarray, cells: int) -> list[np.ndarray]:
     width = cells // _ROWS
-    h = [mix(digest + U64(0x9E3779B97F4A7C15) * U64(cells * _ROWS + j + 1)) for j in range(_ROWS)]
+    h = [mix(digest + U64(0x9E3779B97F4A7C15 * (cells * _ROWS + j + 1) % (1 << 64))) for j in range(_ROWS)]
     return [(x % U64(width)).astype(np.int64) + j * width for j, x in enumerate(h)]
 
 

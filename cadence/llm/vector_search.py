@@ -50,7 +50,7 @@ def whole_numbers(col, scale: int = 256):
 
 
 def _matrix(col: pa.Array, width: int) -> np.ndarray:
-    return np.asarray(col.flatten(), np.float64).reshape(-1, width)
+    return np.asarray(col.flatten(), np.float64).reshape(len(col), width)
 
 
 def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def _ask(blocks: DataFrame, root: Root, reach: dict[tuple[int, int], tuple[int,
             for row in range(b.num_rows):
                 get = lambda c: b.column(c)[row].as_py()
                 w, q = get("width"), np.frombuffer(get("q_v"), np.float64)
-                q = q.reshape(-1, w) if w else np.zeros((len(get("q_ids")) // 8, 0))
+                q = q.reshape(len(get("q_ids")) // 8, w)
                 d = root.to_entries(q, np.zeros(len(q)))
                 bound = np.full(len(q), np.inf)
                 if bounded:
@@ -312,7 +312,8 @@ def top_k(table: DataFrame, queries, k: int = 5, scale: int = 256, pivots: int =
     # entries: of the vectors in each of ``pivots`` hash slots, the one with the smallest hash
     slot = F.pmod(F.xxhash64("v", F.lit(7)), F.lit(pivots))
     chosen = vecs.groupBy("width", slot.alias("slot")).agg(F.min_by("v", F.xxhash64("v", F.lit(11))).alias("v")).collect()
-    root = Root({w: np.array([r.v for r in chosen if r.width == w], np.float64).reshape(-1, w) for w in longest}, longest)
+    mine = {w: [r.v for r in chosen if r.width == w] for w in longest}
+    root = Root({w: np.array(v, np.float64).reshape(len(v), w) for w, v in mine.items()}, longest)
     pages = _pages(vecs.select("vec_id", "width", "v"), root, n, page)
     reach = {(r.width, r.entry): (r.seed, r.low, r.high) for r in pages.groupBy("width", "entry").agg(
         F.min("page").alias("seed"), F.min("low").alias("low"), F.max("high").alias("high")).collect()}
