@@ -7,10 +7,9 @@ Scale design
   weighted by the word count. Natural-language word frequencies are Zipfian,
   so this shrinks the exploded gram volume by orders of magnitude and the
   remaining aggregation is partial (map-side).
-* Language probabilities form a table ``(gram, lang, p)`` bounded by the
-  profile size; the per-document scores are one join + one aggregation, and
-  the (bounded) list of languages is folded into an array expression instead
-  of a documents x languages cross product.
+* Language probabilities are packed into one row per gram with a column per
+  (bounded) language, so the joins to words and to documents have multiplicity
+  one whatever the number of languages.
 * Detection is deterministic: every gram occurrence contributes
   ``ln(alpha/BASE_FREQ + p(gram|lang))`` (the reference samples grams at
   random and perturbs alpha; the expected ranking is the same).
@@ -33,7 +32,8 @@ MINIMUM_FREQ = 2            # fixed value: minimum kept gram count
 ROMAN_CHAR = r"^[A-Za-z]$"     # fixed value
 ROMAN_SUBSTR = r".*[A-Za-z].*"  # fixed value
 
-PROBS_BROADCAST_ROWS = 5_000_000
+PROBS_BROADCAST_BYTES = 100 << 20
+GRAM_BYTES = 64     # a gram of at most three characters and its place in a hash table
 
 
 def _c(x) -> Column:
@@ -140,7 +140,7 @@ def detect_language(df: DataFrame, id_col: str, text: str, probs: DataFrame,
     w = alpha / X.BASE_FREQ
     lw = math.log(w)
     # grams are generated once per DISTINCT padded word (not per document):
-    # a word's score per language is the sum of its known grams' log terms,
+    # a word's scores are the sums of its known grams' log terms,
     # and a document's score is the count-weighted sum of its words' scores
     # (document, word, count) feeds the distinct-word table and the scoring
     # join: write it once to the shared checkpoint folder instead of running
@@ -148,25 +148,23 @@ def detect_language(df: DataFrame, id_col: str, text: str, probs: DataFrame,
     wc = cut_lineage(word_counts(df, [id_col], text, detect=True, max_chars=max_chars))
     words = wc.select("pw").distinct()
     wg = words.select("pw", F.explode(X.padded_grams(F.col("pw"))).alias("gram"))
-    P = bounded_broadcast(probs.select("gram", "lang", "p"), PROBS_BROADCAST_ROWS)
-    known = bounded_broadcast(probs.select("gram").distinct(), PROBS_BROADCAST_ROWS)
-    wk = wg.join(known, "gram", "left_semi")
-    # per word: the number of known grams (pseudo-language "") and, per
-    # language, the sum of its grams' log terms -- one table, one join
-    w_known = wk.groupBy("pw").agg(F.count(F.lit(1)).cast("double").alias("ws")) \
-        .select("pw", F.lit("").alias("lang"), "ws")
-    w_score = wk.join(P, "gram").groupBy("pw", "lang").agg(
-        F.sum(F.log(F.lit(w) + F.col("p")) - F.lit(lw)).alias("ws"))
-    sums = wc.join(w_score.unionByName(w_known), "pw").groupBy(id_col, "lang") \
-        .agg(F.sum(F.col("cnt") * F.col("ws")).alias("s"))
-    tot = sums.filter(F.col("lang") == "").select(id_col, F.col("s").cast("long").alias("n_grams"))
-    contrib = sums.filter(F.col("lang") != "")
-    per = contrib.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lang", "s"))).alias("m"))
-    base = df.select(id_col).join(tot, id_col, "left").join(per, id_col, "left")
+    # one row per known gram with a term per language (the languages are
+    # bounded), so a word and a (document, word) row meet exactly one match
+    term = F.log(F.lit(w) + F.col("p")) - F.lit(lw)
+    cols = [f"s{i}" for i in range(len(langs))]
+    packed = probs.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == lg, term).otherwise(0.0)).alias(c)
+                                         for lg, c in zip(langs, cols)])
+    packed = bounded_broadcast(packed, PROBS_BROADCAST_BYTES // (GRAM_BYTES + 8 * len(langs)))
+    per_word = wg.join(packed, "gram").groupBy("pw").agg(
+        F.count(F.lit(1)).alias("known"), *[F.sum(c).alias(c) for c in cols])
+    sums = wc.join(per_word, "pw").groupBy(id_col).agg(
+        F.sum(F.col("cnt") * F.col("known")).alias("n_grams"),
+        *[F.sum(F.col("cnt") * F.col(c)).alias(c) for c in cols])
+    base = df.select(id_col).join(sums, id_col, "left")
     n = F.coalesce(F.col("n_grams"), F.lit(0))
-    scores = F.array(*[F.coalesce(F.element_at("m", F.lit(lg)), F.lit(0.0)) + n * F.lit(lw) + F.lit(logp[lg])
-                       for lg in langs])
-    x = base.withColumn("sc", scores)
+    scores = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) + n * F.lit(lw) + F.lit(logp[lg])
+                       for lg, c in zip(langs, cols)])
+    x = base.select(id_col, "n_grams", scores.alias("sc"))
     mx = F.array_max("sc")
     ex = F.transform("sc", lambda v: F.exp(v - mx))
     z = F.aggregate(ex, F.lit(0.0), lambda a, v: a + v)

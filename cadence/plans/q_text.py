@@ -82,7 +82,7 @@ tot3 AS (SELECT tot2.lang, tot2.n, tot2.total - coalesce(rm2.rm, 0) AS total FRO
 probs AS (SELECT gram, lang, count / total AS p FROM final JOIN tot3 USING (lang, n))"""
 
 
-def _d_detect(src: str, key: str, text: str) -> str:
+def _d_detect(src: str, key: str, text: str, log_prior: str = "-ln((SELECT nl FROM nl))") -> str:
     """CTEs: ``det(k, lang, n_grams)`` for texts of ``src`` (after _d_profiles)."""
     lw = "ln(0.5 / 10000)"
     return _d_grams(src, key, _d_detect_text(text), "dt_") + f""",
@@ -92,7 +92,7 @@ gk AS (SELECT * FROM dt_grams WHERE gram IN (SELECT gram FROM probs)),
 tot AS (SELECT k, sum(count) AS n_grams FROM gk GROUP BY k),
 contrib AS (SELECT k, lang, sum(count * (ln(0.5 / 10000 + p) - {lw})) AS s FROM gk JOIN probs USING (gram) GROUP BY ALL),
 ids AS (SELECT DISTINCT {key} AS k FROM {src}),
-sc AS (SELECT ids.k, langs.lang, coalesce(contrib.s, 0) + coalesce(tot.n_grams, 0) * {lw} - ln((SELECT nl FROM nl)) AS sc,
+sc AS (SELECT ids.k, langs.lang, coalesce(contrib.s, 0) + coalesce(tot.n_grams, 0) * {lw} + {log_prior} AS sc,
               coalesce(tot.n_grams, 0) AS n_grams
        FROM ids CROSS JOIN langs LEFT JOIN contrib ON contrib.k = ids.k AND contrib.lang = langs.lang
        LEFT JOIN tot ON tot.k = ids.k),
@@ -193,6 +193,18 @@ def q_detect_language(spark, sf_dir):
     return d.select("doc_id", "lang", F.col("n_grams").cast("bigint").alias("n_grams"))
 
 
+# K6: unequal priors; a language without one cannot win
+@register("detect_language_prior", "WITH " + _d_profiles() + "," + _d_detect("documents", "doc_id", "text", """
+    CASE langs.lang WHEN 'en' THEN ln(0.5) WHEN 'de' THEN ln(0.25) WHEN 'fr' THEN ln(0.25) ELSE CAST('-inf' AS DOUBLE) END
+""") + """
+SELECT k AS doc_id, lang, n_grams FROM det
+""")
+def q_detect_language_prior(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = K.detect_language(docs, "doc_id", "text", _probs(spark, sf_dir), prior={"en": 2.0, "de": 1.0, "fr": 1.0})
+    return d.select("doc_id", "lang", F.col("n_grams").cast("bigint").alias("n_grams"))
+
+
 @register("detect_accuracy", "WITH " + _d_profiles() + "," + _d_detect("documents", "doc_id", "text") + """
 SELECT d.lang AS lang, CAST(count(*) AS BIGINT) AS n,
        CAST(sum(CASE WHEN det.lang = d.lang THEN 1 ELSE 0 END) AS BIGINT) AS correct
