@@ -9,7 +9,8 @@ since are skipped. Each merge pushes at most two new pairs, so a pre-token of
 n bytes costs O(n) queue steps whatever its length.
 
 Texts are cut at the vocabulary's pattern; equal pre-tokens are encoded once
-per worker, which remembers up to ``CACHE`` of them.
+per worker, which remembers up to ``CACHE`` of them until a task of another
+operator starts there.
 
 Defined results: null and empty texts have no tokens and decode to nothing;
 a text of any length is encoded whole; rows are independent of each other, so
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm._tables import ready
+from cadence.llm._worker import begin, keeps
 
 #: Pre-tokens that a worker remembers before it starts anew.
 CACHE = 1_200_000
@@ -150,6 +152,7 @@ def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
 
 
 _loaded: dict[tuple[str, str], Vocabulary] = {}
+keeps("encoding", _loaded.clear)
 
 
 def vocabulary(name: str, pattern: str | None = None) -> Vocabulary:
@@ -175,28 +178,32 @@ def encode(docs: DataFrame, vocab: str = "byte_bpe_50k.tiktoken", pattern: str |
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("encoding")
         gc.disable()  # the remembered tuples hold no cycles; walking them again and again costs as much as encoding
-        v = vocabulary(vocab, pattern)
-        digits = {i: str(i) for i in v.bytes_of}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                counts, ids_sum, text_sum, lists = [], [], [], []
-                for text in part.column("t"):
-                    text = text.as_py()
-                    ids = v.encode(text) if text else []
-                    counts.append(len(ids))
-                    ids_sum.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                    text_sum.append(hashlib.sha256(v.decode(ids)).hexdigest())
+        try:
+            v = vocabulary(vocab, pattern)
+            digits = {i: str(i) for i in v.bytes_of}
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    counts, ids_sum, text_sum, lists = [], [], [], []
+                    for text in part.column("t"):
+                        text = text.as_py()
+                        ids = v.encode(text) if text else []
+                        counts.append(len(ids))
+                        ids_sum.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                        text_sum.append(hashlib.sha256(v.decode(ids)).hexdigest())
+                        if with_ids:
+                            lists.append(ids)
+                    cols = [part.column("d"), pa.array(counts, pa.int64()), pa.array(ids_sum, pa.string()),
+                            pa.array(text_sum, pa.string())]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                     if with_ids:
-                        lists.append(ids)
-                cols = [part.column("d"), pa.array(counts, pa.int64()), pa.array(ids_sum, pa.string()),
-                        pa.array(text_sum, pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    cols.append(pa.array(lists, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                        cols.append(pa.array(lists, pa.list_(pa.int32())))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+        finally:
+            gc.enable()
 
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(run, schema)

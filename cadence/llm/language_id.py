@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.llm._tables import ready
+from cadence.llm._worker import begin
 
 BLOCK = 256
 TABLE_CELLS = 32_000_000
@@ -214,6 +215,7 @@ def identify(model: Model, text):
     """Column of (lang, score) for a text column."""
     @F.arrow_udf("lang string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("language_id")
         for texts in batches:
             langs, scores = [], []
             for at in range(0, len(texts), 1024):

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm._bytes import LOWER, U64, binary_column, chunks, mix, slice_hashes, word_bounds
 from cadence.llm._tables import discard, ready, stored
+from cadence.llm._worker import begin
 from cadence.llm.components import components
 
 #: 32 bands of 4 coordinates: a pair at similarity 0.8 shares no band with probability 5e-8.
@@ -100,6 +101,7 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 def _signatures(texts: DataFrame, k: int, bands: int, rows: int, id_type: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near_dedup")
         for batch in batches:
             data, offsets = binary_column(batch.column("t"))
             for i, j in chunks(offsets):
@@ -119,6 +121,7 @@ def _signatures(texts: DataFrame, k: int, bands: int, rows: int, id_type: str) -
 def _sets(texts: DataFrame, k: int) -> DataFrame:
     """(node, t) -> (node, s): the set as packed hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near_dedup")
         for batch in batches:
             data, offsets = binary_column(batch.column("t"))
             for i, j in chunks(offsets):

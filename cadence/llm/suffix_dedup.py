@@ -51,6 +51,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm._bytes import U64, binary_column, chunks, slice_hashes, window_hashes
 from cadence.llm._tables import new_path, ready, shuffle_partitions
+from cadence.llm._worker import begin
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 2 << 20
@@ -308,6 +309,7 @@ def _write_blocks(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
     src = docs.select(F.col(text_col).alias("t"), F.col(id_col).cast("long").alias("d"), F.struct(*rest).alias("rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("suffix_dedup")
         for batch in batches:
             data, offsets = binary_column(batch.column("t"))
             ids = batch.column("d").fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
@@ -352,6 +354,7 @@ def _messages(t: DataFrame, rounds: int, base: int, threshold: int, buckets: int
     """What each block has for each range of keys. After the first two rounds
     the block also sends itself its state, under a number below all ranges."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("suffix_dedup")
         for get, replay, (bucket, k1, k2, extra) in _replays(batches, rounds, base, threshold, buckets):
             block, cols = get("block"), [[], [], [], [], []]
             for k, s in _by_bucket(bucket):

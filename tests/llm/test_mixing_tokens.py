@@ -113,3 +113,14 @@ def test_rank_queue_pops_in_order():
             x = (R.randrange(50_000), R.randrange(99))
             q.push(*x)
             held.append(x)
+
+
+def test_worker_forgets_what_another_operator_keeps():
+    from cadence.llm import _worker, encoding
+
+    v = encoding.vocabulary("byte_bpe_50k.tiktoken")
+    _worker.begin("encoding")
+    assert encoding.vocabulary("byte_bpe_50k.tiktoken") is v
+    _worker.begin("language_id")
+    assert not encoding._loaded
+    assert encoding.vocabulary("byte_bpe_50k.tiktoken").encode("a b") == v.encode("a b")
