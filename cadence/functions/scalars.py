@@ -65,6 +65,11 @@ def epoch_by_digits(v) -> Column:
     return F.timestamp_micros(q * F.lit(1_000_000) + frac)
 
 
+def date_struct_to_ts(v) -> Column:
+    """H7: a struct ``{"$date": milliseconds}`` -> timestamp."""
+    return epoch_ms_to_ts(_c(v).getField("$date"))
+
+
 def escape_feature_name(name: str) -> str:
     """H9: dots in feature names become fullwidth dots."""
     return name.replace(".", "．")

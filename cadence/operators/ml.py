@@ -19,7 +19,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.cleaning import nan_to_num
+from cadence.operators.cleaning import cleanup_na, missing_columns, nan_to_num, tail_rows
 
 
 # ------------------------------------------------------------------ L2
@@ -116,6 +116,42 @@ def search_model(df: DataFrame, feature_cols: list[str], label: str, family: str
     return final, params
 
 
+# ------------------------------------------------------------------ L8
+def fit_targets(df: DataFrame, feature_cols: list[str], targets: list[str], family: str = "LinearRegression",
+                **params) -> tuple[dict, dict[str, tuple[float, float]]]:
+    """One scaled model per target, and the ranges that scale features and targets.
+
+    The ranges of all columns come from one pass; a row whose target is null
+    does not train that target's model.
+    """
+    ranges = fit_minmax(df, [*feature_cols, *targets])
+    x = minmax_scale(cleanup_na(df, feature_cols), ranges)
+    asm = VectorAssembler(inputCols=feature_cols, outputCol="features")
+    models = {t: Pipeline(stages=[asm, estimator(family, label=t, **params)]).fit(x.filter(F.col(t).isNotNull()))
+              for t in targets}
+    return models, ranges
+
+
+def predict_all(df: DataFrame, models: dict, ranges: dict[str, tuple[float, float]], feature_cols: list[str],
+                last: int | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """``predicted_<target>`` beside every row of ``df`` (or its ``last`` rows
+    by ``order_by``): columns checked, tokens cleaned, features scaled by the
+    fitted ranges, predictions scaled back by the target's.
+    """
+    missing = missing_columns(df, feature_cols)
+    if missing:
+        raise ValueError(f"missing columns {missing}")
+    rows = df if last is None else tail_rows(df, last, order_by)
+    # the row's own columns travel in a struct: scaling and the models only see the features
+    x = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), *feature_cols)
+    x = minmax_scale(cleanup_na(x, feature_cols), {c: ranges[c] for c in feature_cols})
+    for t, model in models.items():
+        lo, hi = ranges[t]
+        x = model.transform(x).withColumn(f"predicted_{t}", F.col("prediction") * F.lit(hi - lo) + F.lit(lo)) \
+            .select("__row", *feature_cols, *[f"predicted_{k}" for k in models if k == t or f"predicted_{k}" in x.columns])
+    return x.select("__row.*", *[f"predicted_{t}" for t in models])
+
+
 # ------------------------------------------------------------------ L7
 def score(df: DataFrame, model, kind: str = "predict", out: str = "score") -> DataFrame:
     """``predict`` / ``proba`` (positive class) / ``log_proba`` with a

@@ -104,13 +104,13 @@ def hist(df: DataFrame, col: str, bins: str | int = "fd") -> DataFrame:
     """Density histogram with numpy's bin edges; ``bins='fd'`` uses the
     Freedman–Diaconis width ``2·IQR·n^(-1/3)`` (IQR 0 -> one bin).
 
-    Returns ``(bin int, left double, density double)`` for every bin.
+    Returns ``(bin bigint, left double, density double)`` for every bin.
     """
     spark = df.sparkSession
     (q75, q25), st = exact_quantiles(df, col, [0.75, 0.25])
     n, lo, hi = st["n"], st["min"], st["max"]
     if n == 0:
-        return spark.createDataFrame([], "bin int, left double, density double")
+        return spark.createDataFrame([], "bin bigint, left double, density double")
     first, last = float(lo), float(hi)
     if first == last:
         first, last = first - 0.5, last + 0.5
@@ -121,10 +121,10 @@ def hist(df: DataFrame, col: str, bins: str | int = "fd") -> DataFrame:
         nb = int(math.ceil((last - first) / width)) if width > 0 else 1
     step = (last - first) / nb
     edges = spark.range(nb + 1).select(
-        F.col("id").cast("int").alias("i"),
+        F.col("id").alias("i"),
         F.when(F.col("id") == nb, F.lit(last)).otherwise(F.col("id") * F.lit(step) + F.lit(first)).alias("e"))
     norm = nb / (last - first)
-    idx = F.floor((F.col("v") - F.lit(first)) * F.lit(norm)).cast("int")
+    idx = F.floor((F.col("v") - F.lit(first)) * F.lit(norm)).cast("bigint")
     idx = F.when(idx >= nb, nb - 1).otherwise(idx)
     x = df.select(F.col(col).cast("double").alias("v")) \
         .filter(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("i", idx)
@@ -148,18 +148,36 @@ def ts_range(df: DataFrame, col: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ J6 / J7
+def _column_flags(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row for all ``cols``, from two scans whatever their number: ``more{i}``
+    (a third distinct value: one that is neither the least nor the greatest),
+    ``frac{i}`` (a fractional part or NaN), ``inf{i}``, ``some{i}`` (a value
+    other than null and NaN)."""
+    x = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
+    ends = x.agg(*[f(f"c{i}").alias(f"{n}{i}") for i in range(len(cols)) for n, f in (("lo", F.min), ("hi", F.max))])
+    out = []
+    for i, c in enumerate(cols):
+        v, flag = F.col(f"c{i}"), {}
+        flag["more"] = (v != F.col(f"lo{i}")) & (v != F.col(f"hi{i}"))
+        flag["some"] = v.isNotNull()
+        if isinstance(df.schema[c].dataType, T.FractionalType):
+            d = v.cast("double")
+            flag["some"] = v.isNotNull() & ~F.isnan(d)
+            flag["frac"] = F.isnan(d) | (d != F.floor(d))
+            flag["inf"] = F.abs(d) == F.lit(math.inf)
+        out += [F.coalesce(F.bool_or(flag.get(n, F.lit(False))), F.lit(False)).alias(f"{n}{i}")
+                for n in ("more", "some", "frac", "inf")]
+    return x.crossJoin(F.broadcast(ends)).agg(*out)        # ends is one row
+
+
+def _target_type(i: int):
+    return F.when(F.col(f"frac{i}"), "continuous").when(F.col(f"more{i}"), "multiclass").otherwise("binary")
+
+
 def target_type_col(df: DataFrame, col: str) -> DataFrame:
     """``binary`` (<=2 distinct), ``multiclass``, or ``continuous`` (a float
     column holding a value with a fractional part) — one-row result."""
-    dt = df.schema[col].dataType
-    c = F.col(col)
-    nd = F.count_distinct(c)
-    if isinstance(dt, T.FractionalType):
-        frac = F.max(F.when(c.isNotNull() & ((c != F.floor(c)) | F.isnan(c)), 1).otherwise(0)) == 1
-        tt = F.when(frac, "continuous").when(nd > 2, "multiclass").otherwise("binary")
-    else:
-        tt = F.when(nd > 2, "multiclass").otherwise("binary")
-    return df.agg(tt.alias("target_type"))
+    return _column_flags(df, [col]).select(_target_type(0).alias("target_type"))
 
 
 def task_type(target_type: str, explicit: str | None = None, backend: str = "default") -> str:
@@ -188,14 +206,22 @@ def profile(df: DataFrame, formats: dict | None = None, topn: int = 5) -> DataFr
 
     ``kind`` is ``freq`` (text/bool: key = value, value = share), ``range``
     (datetime: key min/max, value epoch seconds) or ``hist`` (numbers:
-    key = bin left edge as text, value = density). One Spark job per column
-    family; the union is lazy.
+    key = bin left edge as text, value = density). A number column that holds
+    an infinity has no bin width and is profiled by ``freq``; one without any
+    value has a single row with null key and value. Types and kinds of all
+    columns come from one job; the union is lazy.
     """
     scheme = resolve_types(df.schema, formats)
     parts = []
-    for c, t in scheme.items():
-        tt = target_type_col(df, c).first()["target_type"]
-        if t in ("str", "bool"):
+    flags = _column_flags(df, df.columns)
+    flags = flags.select("*", *[_target_type(i).alias(f"tt{i}") for i in range(len(df.columns))]).first()
+    for i, (c, t) in enumerate(scheme.items()):
+        tt = flags[f"tt{i}"]
+        if t in ("int", "float") and not flags[f"some{i}"]:
+            part = df.sparkSession.range(1).select(F.lit(c).alias("column"), F.lit("hist").alias("kind"),
+                                                   F.lit(None).cast("string").alias("key"),
+                                                   F.lit(None).cast("double").alias("value"))
+        elif t in ("str", "bool") or flags[f"inf{i}"]:
             f = freq(df, c, topn)
             part = f.select(F.lit(c).alias("column"), F.lit("freq").alias("kind"), "key",
                             F.col("share").alias("value"))
@@ -226,5 +252,5 @@ def text_columns(df: DataFrame, formats: dict | None = None) -> list[str]:
     cand = [c for c, t in scheme.items() if t == "str"]
     if not cand:
         return []
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cand]).first()
-    return [c for c in cand if row[c] > 2]
+    row = _column_flags(df, cand).first()
+    return [c for i, c in enumerate(cand) if row[f"more{i}"]]

@@ -16,6 +16,7 @@ _MODULES = [
     "cadence.plans.q_text",
     "cadence.plans.q_ml",
     "cadence.plans.q_stream",
+    "cadence.plans.q_checks",
 ]
 
 _loaded = False

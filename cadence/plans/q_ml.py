@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadence.operators import cleaning as B
 from cadence.operators import ml as L
 from cadence.operators import synthesis as S
 from cadence.plans.registry import register, table
-from cadence.sources import sinks
 
 _DEEP = {
     "sum_qty": "SUM(lineitem.l_quantity)",
@@ -218,18 +216,19 @@ def q_feature_importance(spark, sf_dir):
     return spark.createDataFrame([(n, float(v)) for n, v in imp], "feature string, importance double")
 
 
-@register("predict_all")
+@register("predict_all", """
+WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b1, regr_intercept(l_extendedprice, l_quantity) AS a1,
+                  regr_slope(l_tax, l_quantity) AS b2, regr_intercept(l_tax, l_quantity) AS a2 FROM lineitem)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(a1 + b1 * l_quantity, 4) AS predicted_l_extendedprice,
+       round(a2 + b2 * l_quantity, 6) AS predicted_l_tax
+FROM lineitem, s
+""")
 def q_predict_all(spark, sf_dir):
-    """Validate columns, clean, scale, predict, unscale, upsert into a
-    keyed prediction store (rows-only check)."""
-    li, model, _ = _fit(spark, sf_dir)
-    missing = B.missing_columns(li, _FEATS)
-    if missing:
-        raise ValueError(f"missing columns {missing}")
-    clean = B.cleanup_na(li, _FEATS)
-    pred = L.score(clean, model).select("l_orderkey", "l_linenumber", F.col("score").alias("predicted"))
-    params = L.fit_minmax(pred, ["predicted"])
-    back = L.minmax_unscale(L.minmax_scale(pred, params), params)
-    base = back.limit(0)
-    return sinks.upsert_latest(base, back, ["l_orderkey", "l_linenumber"]) \
-        .select("l_orderkey", "l_linenumber", F.round("predicted", 4).alias("predicted"))
+    """Two targets from one scaled feature, a row per line; least squares has a closed form."""
+    li = table(spark, sf_dir, "lineitem")
+    both = ["l_extendedprice", "l_tax"]
+    models, ranges = L.fit_targets(li.select("l_quantity", *both), ["l_quantity"], both)
+    out = L.predict_all(li.select("l_orderkey", "l_linenumber", "l_quantity"), models, ranges, ["l_quantity"])
+    return out.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"),
+                      F.round("predicted_l_extendedprice", 4).alias("predicted_l_extendedprice"),
+                      F.round("predicted_l_tax", 6).alias("predicted_l_tax"))
