@@ -16,8 +16,10 @@ its low bits: a step is one lookup.
 
 The fit takes a bounded sample: at most ``sample_rows`` rows per language, at
 most ``row_chars`` characters of each and ``sample_chars`` symbols in all, and
-no more than lets all tables stay within ``TABLE_CELLS`` cells. The choice of
-rows goes by the hash of their text over all labelled rows.
+no more than lets all tables stay within ``TABLE_CELLS`` cells. Rows are
+chosen by the hash of what would be learned from them, over all labelled rows;
+equal hashes count once, so copies take one place and no language that has a
+labelled text is left without a sample.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0, as is everything if no row is labelled; rows without text or label are not
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.llm._tables import ready
+from cadence.llm._tables import discard, ready, stored
 from cadence.llm._worker import begin
 
 BLOCK = 256
@@ -198,13 +200,22 @@ def fit(docs: DataFrame, train, sample_rows: int = 64, row_chars: int = 8192, sa
         text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows where ``train`` holds and text and label are there."""
     ready(docs.sparkSession)
+    part = F.substring(text_col, 1, row_chars)
     t = docs.filter(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, row_chars).alias("t"))
-    counts = t.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # of a language with many rows, only hashes in a share that holds about twice the sample go on to the window
-    near = t.join(counts, "lang").filter(F.pmod("h", F.lit(1 << 30)) * F.col("n") <= F.lit(2.0 * sample_rows * (1 << 30)))
-    first = Window.partitionBy("lang").orderBy("h", "t")
-    rows = near.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample_rows).select("lang", "k", "t").collect()
+        F.col(lang_col).alias("lang"), F.xxhash64(part).alias("h"), part.alias("t"))
+    place = F.pmod("h", F.lit(1 << 30))
+    texts = stored(t.select("lang", "h").distinct().withColumn("place", place), "sample-hashes")
+    counts = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
+    # counts has a row per language, of which the driver gets sample_rows rows each; broadcast, it leaves the hashes
+    # where they are, and of a language with many texts only a share of hashes that holds about twice the sample goes
+    # on to the window
+    share = (F.col("place") * F.col("n") <= F.lit(2.0 * sample_rows * (1 << 30))) | (F.col("place") == F.col("least"))
+    first = Window.partitionBy("lang").orderBy("place", "h")
+    chosen = (texts.join(F.broadcast(counts), "lang").filter(share).withColumn("k", F.row_number().over(first))
+              .filter(F.col("k") <= sample_rows).select("lang", "h", "k"))
+    # no more rows than the sample that is collected below
+    rows = t.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "k").agg(F.min("t").alias("t")).collect()
+    discard(texts)
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.k)):
         samples.setdefault(r.lang, []).append(r.t)

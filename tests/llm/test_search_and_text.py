@@ -138,6 +138,30 @@ def test_language_id_accuracy_and_odd_rows(spark):
     assert {r.p.lang for r in odd.select(language_id.identify(untrained, F.col("text")).alias("p")).collect()} == {"und"}
 
 
+def test_language_sample_holds_distinct_texts(spark):
+    R = random.Random(2)
+    words = {"en": ["the", "and", "house", "of", "was"], "de": ["der", "und", "haus", "von", "war"]}
+    few = [" ".join(R.choice(words["en"]) for _ in range(9)) for _ in range(3)]
+    rows = [(i, few[i % 3], "en") for i in range(30_000)]  # a share of rows would expect 0.01 of the three texts
+    rows += [(100_000 + i, "ein text und noch ein text", "de") for i in range(3000)]
+    rows += [(200_000 + i, f"{'x' * (i + 1)} " + " ".join(R.choice(words["de"]) for _ in range(9)), "de") for i in range(300)]
+    model = language_id.fit(frame(spark, rows), F.lit(True))
+    assert model.langs == ["de", "en"]
+    sizes = {k: len(v) for k, v in model.samples.items()}
+    assert sizes["en"] == len(language_id.code_points(sorted(set(few)))[0])
+    assert model.predict(["the house and", "das haus und der"])[0] == ["en", "de"]
+    small = language_id.fit(frame(spark, rows), F.lit(True), sample_rows=2)
+    assert small.langs == ["de", "en"]
+
+
+def test_copies_take_one_place_of_the_sample(spark):
+    copy = "gleicher text " * 20
+    rows = [(i, copy, "de") for i in range(50)] + [(100 + i, f"{chr(97 + i) * 3} wort", "de") for i in range(20)]
+    model = language_id.fit(frame(spark, rows), F.lit(True))
+    exp = language_id.code_points(sorted({t for _, t, _ in rows}))[0]
+    assert len(model.samples["de"]) == len(exp) and sorted(model.samples["de"]) == sorted(model.coded(exp))
+
+
 def test_license_scan(spark):
     mit = licenses.KNOWN["MIT"].replace("<year> <copyright holders>", "2031 Someone Else").replace("\n\n", "\n \n  ").replace('"', "'")
     rows = [(1, mit.upper(), "en"), (2, "Some text\nReleased under the MIT licence!!\nmore", "en"), (3, None, "en"), (4, "", None),
