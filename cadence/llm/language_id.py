@@ -25,7 +25,8 @@ Defined results: null texts and texts without a letter are ``und`` with score
 0, as is everything if no row is labelled; rows without text or label are not
 learned from; texts of any length are parsed whole; repeated rows get equal
 answers; a null id is not held out; an empty table gives an empty result;
-extra columns are kept by ``drop_unidentified`` and never read.
+extra columns are kept by ``drop_unidentified`` and never read, and if no
+language was learned it drops only rows without a letter.
 """
 
 from __future__ import annotations
@@ -58,6 +59,10 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
+def lettered(text: str) -> bool:
+    return bool(letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, offsets): letters in lower case, one 0 for each run of others."""
     low = [t.lower() for t in texts]
@@ -188,7 +193,7 @@ class Model:
             bits = found * np.log2([max(len(self.samples[k]), 2) for k in self.langs])
             best = bits.argmin(axis=1)
             for row, i in enumerate(some):
-                if letters()[np.frombuffer(texts[i].lower().encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+                if lettered(texts[i]):
                     b = bits[row]
                     rest = np.delete(b, best[row])
                     langs[i] = self.langs[best[row]]
@@ -243,6 +248,19 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def has_letter(text):
+    """Column: whether a text column holds a letter."""
+    @F.arrow_udf("boolean")
+    def some(texts: pa.Array) -> pa.Array:
+        begin("language_id")
+        return pa.array([bool(t) and lettered(t) for t in texts.to_pylist()], pa.bool_())
+
+    return some(text)
+
+
 def drop_unidentified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is undetermined."""
+    """``docs`` without the rows whose language is undetermined. A model that has
+    learned no language is no verdict: then only rows without a letter go."""
+    if not model.langs:
+        return docs.filter(has_letter(F.col(text_col)))
     return docs.filter(identify(model, F.col(text_col))["lang"] != UNDETERMINED)

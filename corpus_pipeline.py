@@ -18,7 +18,7 @@ from cadence.llm._tables import stored
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents whose language is undetermined (no text, no letter) go."""
+    """Language ID: documents whose language is undetermined (no text, no letter) go; only these, also if no row has a label."""
     return language_id.drop_unidentified(docs, language_id.fit(docs, ~language_id.held_out()))
 
 

@@ -47,3 +47,9 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_table_without_labels_passes_the_first_stage(spark):
+    rows = [(1, "one text of words", None, "a", 17), (2, "12 !", None, "a", 4), (3, None, None, None, None), (5, "zwei", None, "b", 4)]
+    out = corpus_pipeline.keep_identified(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 5]

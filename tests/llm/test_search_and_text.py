@@ -162,6 +162,16 @@ def test_copies_take_one_place_of_the_sample(spark):
     assert len(model.samples["de"]) == len(exp) and sorted(model.samples["de"]) == sorted(model.coded(exp))
 
 
+def test_no_label_is_no_verdict(spark):
+    rows = [(1, "words in a text", None), (2, None, "en"), (3, "12 !", None), (4, "", None), (None, "É", None), (2, "held out", "en")]
+    docs = frame(spark, rows)
+    model = language_id.fit(docs, ~language_id.held_out() & F.col("lang").isNull())
+    assert model.langs == []
+    kept = language_id.drop_unidentified(docs, model)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.text) for r in kept.collect()) == ["held out", "words in a text", "É"]
+
+
 def test_license_scan(spark):
     mit = licenses.KNOWN["MIT"].replace("<year> <copyright holders>", "2031 Someone Else").replace("\n\n", "\n \n  ").replace('"', "'")
     rows = [(1, mit.upper(), "en"), (2, "Some text\nReleased under the MIT licence!!\nmore", "en"), (3, None, "en"), (4, "", None),
