@@ -186,16 +186,18 @@ def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", one_row: bool = False) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, kept``, and ``text_hash`` to tell rows of one id apart."""
     spark = docs.sparkSession
     ready(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
-    sig = stored(_signatures(texts, shingle_words, bands, rows, id_type), "signatures")
+    sig = stored(_signatures(texts, shingle_words, bands, rows, id_type)
+                 .withColumn("row", F.monotonically_increasing_id()), "signatures")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row"))
     classes = stored(sig.filter("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-        .select(F.xxhash64("digest").alias("node"), "digest", "first_id", "bands", "n"), "classes")
+        first_row.alias("first"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+        .select(F.xxhash64("digest").alias("node"), "digest", F.col("first.doc_id").alias("first_id"), "first", "bands", "n"), "classes")
     exploded = classes.select("node", "first_id", F.explode("bands").alias("key"))
     buckets = stored(exploded.groupBy("key").agg(F.min(F.struct("first_id", "node")).alias("l"), F.min("node").alias("lo"),
                                                  F.max("node").alias("hi"))
@@ -206,7 +208,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     holders = (sig.select("digest", "doc_id", "text_hash").join(wanted, "digest").groupBy("node")
                .agg(F.min(F.struct("doc_id", "text_hash")).alias("h")).select("node", "h.doc_id", "h.text_hash"))
     held = texts.join(holders, texts.doc_id.eqNullSafe(holders.doc_id) & (texts.text_hash == holders.text_hash))
-    sets = stored(_sets(held, shingle_words), "sets")
+    # repeated rows of a holder are one node
+    sets = stored(_sets(held.groupBy("node").agg(F.min("t").alias("t")), shingle_words), "sets")
     stars = members.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     stars = stored(stars, "stars")
     links = stored(_links(stars, sets, percent), "links")
@@ -220,23 +223,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     more = stored(_links(across, sets, percent), "more-links")
     if more.limit(1).count():
         labels = components(links.union(more))
-    named = (classes.select("node", "digest", "first_id").join(labels, "node", "left")
+    named = (classes.select("node", "digest", "first").join(labels, "node", "left")
              .withColumn("label", F.coalesce("label", "node")))
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    answer = stored(named.join(smallest, "label").select("digest", "component_id"), "answer")
+    smallest = named.groupBy("label").agg(F.min("first").alias("first"))
+    answer = stored(named.drop("first").join(smallest, "label").select(
+        "digest", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")), "answer")
     discard(members, sets, placed, keys, buckets, across)
-    out = sig.select("doc_id", "text_hash", "n_shingles", "digest").join(answer, "digest", "left")
+    out = sig.select("doc_id", "text_hash", "n_shingles", "digest", "row").join(answer, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+    kept = F.col("doc_id").eqNullSafe(component)
+    if one_row:
+        wordless = sig.filter("digest IS NULL").groupBy("doc_id", "text_hash").agg(F.min("row").alias("row"))
+        out = out.join(wordless.select("row", F.lit(True).alias("lone")), "row", "left")
+        kept = F.coalesce(F.col("row") == F.col("first_row"), F.col("lone"), F.lit(False))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps: one document of each group."""
+    """The rows of ``docs`` that ``near_duplicates`` keeps: one document of each group, with ``one_row`` in one row."""
     found = near_duplicates(docs, **options)
-    id_col = options.get("id_col", "doc_id")
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     keep = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"),
-                        F.xxhash64(options.get("text_col", "text")).alias("hash"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
     both = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
-    return keyed.join(keep, both, "left_semi").select("row.*")
+    rows = keyed.join(keep, both, "left_semi")
+    if options.get("one_row"):
+        # of rows with one id and text the one whose other columns come first
+        rest = F.to_json(F.struct(F.lit(1).alias("_"), *[F.col("row")[c].alias(c) for c in docs.columns if c not in (id_col, text_col)]))
+        rows = rows.groupBy("id", "hash").agg(F.min_by("row", rest).alias("row"))
+    return rows.select("row.*")

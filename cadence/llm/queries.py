@@ -51,7 +51,7 @@ def op2(spark, sf_dir):
 
 @register("op3_near_dedup")
 def op3(spark, sf_dir):
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80).drop("text_hash")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80, one_row=True).drop("text_hash")
 
 
 @register("op5_suffix_dedup")

@@ -23,8 +23,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: one document of each group stays."""
-    return near_dedup.drop_near_duplicates(docs)
+    """MinHash near-dedup: one row of each group stays."""
+    return near_dedup.drop_near_duplicates(docs, one_row=True)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

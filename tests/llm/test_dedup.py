@@ -83,6 +83,43 @@ def test_components_find_links_between_stars(spark):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(texts, 5, 80))
 
 
+def linked_past_the_leader(base):
+    """Three texts: the first is the leader of a bucket; the other two link with each other and not with it."""
+    def but(*places):
+        return [f"{w}-" if i in places else w for i, w in enumerate(base)]
+
+    return [" ".join(but(*range(0, 30, 10))), " ".join(but(45, 46, 47, 60)), " ".join(but(45, 46, 47, 60, 90))]
+
+
+def test_repeated_rows_keep_their_links(spark):
+    R, once, often = random.Random(21), [], []
+    for g in range(30):  # one band of one coordinate: where the three share it, only rare shingles can link the last two
+        first, second, third = linked_past_the_leader([f"g{g}w{R.randrange(10 ** 6)}" for _ in range(120)])
+        rows = [(10 * g, first), (10 * g + 1, second), (10 * g + 2, third)]
+        once += rows
+        often += rows[:1] + rows[1:2] * 3 + rows[2:] * 2
+    found = [{(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(
+        frame(spark, t), shingle_words=4, bands=1, rows=1).collect()} for t in (once, often)]
+    assert found[0] == found[1] and sum(i != c for i, c in found[0]) > 20
+
+
+def test_one_row_of_each_component(spark):
+    word = "one two three four five six"
+    texts = [(7, word)] * 3 + [(9, word), (7, "other words of this id here"), (7, "other words of this id here now"),
+             (None, "no id at all here"), (None, "no id at all here"), (None, "No id at all here"), (None, None), (None, None),
+             (5, ""), (5, ""), (6, "?"), (None, "no words in common with any")]
+    docs = frame(spark, texts)
+    got = near_dedup.near_duplicates(docs, shingle_words=2, one_row=True).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(str, brute_components(texts, 2, 80)))
+    kept = sorted((str(r.doc_id), str(r.text).lower()) for r in
+                  near_dedup.drop_near_duplicates(docs, shingle_words=2, one_row=True).collect())
+    assert sum(r.kept for r in got) == len(kept)
+    late = [k for k in kept if k[1].startswith("other words")]
+    assert len(late) == 1
+    assert [k for k in kept if k not in late] == sorted([("7", word), ("None", "no id at all here"), ("None", "none"), ("5", ""),
+                                                         ("6", "?"), ("None", "no words in common with any")])
+
+
 def brute_spans(texts, size):
     first = {}
     order = {i: (1 << 62 if d is None else d) for i, (d, _) in enumerate(texts)}
