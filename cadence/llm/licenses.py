@@ -1,11 +1,14 @@
 """Licence scans by canonical digest lookup.
 
 A text is brought to a canonical form: lower case, lines that state a copyright
-left out, every run of other characters than letters and digits one blank,
-equivalent spellings written alike. The digests of the whole canonical text
-and of each of its lines are hash-joined to the digests of known licence texts
-and notices, which went through the same expressions. Everything is a built-in
-function; the known table is a fixed list, so broadcasting it is bounded.
+left out (copyright before a year, (c), a placeholder or a holder's name, but not
+a wrapped "copyright notice and ..."), every run of other characters than letters
+and digits one blank, equivalent spellings written alike. The digests of the
+whole canonical text and of each of its lines are hash-joined to the digests of
+known licence texts and notices, which went through the same expressions.
+Everything is a built-in function. The known licences are a table that ``scan``
+takes; the one it has by itself is ``known_texts()``, a fixed list, so
+broadcasting it is bounded.
 
 Defined results: null and empty texts, and texts of punctuation alone, have the
 digest of the empty text and match nothing; texts of any length are digested
@@ -15,12 +18,15 @@ an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm._tables import stored
 
-#: Public licence texts and notices, by SPDX name.
+#: Public licence texts and notices, by SPDX name; ``license_texts`` has the longer ones.
 KNOWN = {
     "MIT": (
         "MIT License\n\nCopyright (c) <year> <copyright holders>\n\n"
@@ -69,11 +75,66 @@ EQUIVALENT = (
     ("copyright owner", "copyright holder"), ("and or", "and or"),
 )
 
+#: A line that states a copyright: the word before (c), a year, a placeholder or a name, or a sign before a year.
+STATEMENT = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:"
+    r"(?i:copyright)[ \t:,.]*(?:(?i:\(c\)|&copy;)|©|[<\[{]|\(?(?:19|20)\d\d)"
+    r"|(?i:copyright)[ \t]+(?:(?i:by)[ \t]+)?(?:(?i:the)[ \t]+)?(?!(?i:notices?|holders?|owners?|laws?|licen[cs]es?|statements?|acts?|"
+    r"rights?|interests?|and|or|in|of|is|to|on|for|as|protection|treat(?:y|ies)|infringements?|claims?|information|disclaimers?|"
+    r"permissions?|terms?|status|years?)\b)\p{Lu}"
+    r"|©|(?i:\(c\)[ \t]*copyright)|(?i:\(c\))[ \t]*(?:©|[<\[{]|(?:19|20)\d\d|[^\n]*(?:19|20)\d\d[^\p{L}\p{N}\n]*$))[^\n]*")
+
+#: Titles under which a text is published, none among them, and the number of title lines that the file has.
+TITLES = {
+    "MIT": (0, "", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": (0, "", "ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": (0, "", "Zero-Clause BSD", "BSD Zero Clause License", "0BSD", "BSD Zero-Clause License"),
+    "BSD-2-Clause": (0, "", "BSD 2-Clause License", "The 2-Clause BSD License", "BSD License", "The BSD License",
+                     "Simplified BSD License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": (0, "", "BSD 3-Clause License", "The 3-Clause BSD License", "BSD License", "The BSD License",
+                     "New BSD License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Unlicense": (0, "", "The Unlicense", "Unlicense", "The Unlicense (Unlicense)"),
+    "Apache-2.0": (3, ""), "MPL-2.0": (2, ""), "GPL-2.0": (2, ""), "GPL-3.0": (2, ""), "LGPL-2.1": (2, ""), "LGPL-3.0": (2, ""),
+    "CC0-1.0": (2, "", "CC0 1.0 Universal"),
+}
+
+
+def _without_lines(text: str, n: int) -> str:
+    """``text`` without its first ``n`` lines that are not blank."""
+    rows = text.split("\n")
+    for _ in range(n):
+        rows = rows[next(i for i, x in enumerate(rows) if x.strip()) + 1:]
+    return "\n".join(rows)
+
+
+def variants(name: str, text: str) -> set[str]:
+    """The text with and without its titles, appendix, list numbers and ``All rights reserved``, with either kind of URL."""
+    n, *titles = TITLES[name]
+    if name in ("MIT", "ISC"):
+        n = 1  # KNOWN has them with one
+    body = _without_lines(text, n)
+    out = {text} | {f"{t}\n\n{body}" for t in titles}
+    if "END OF TERMS AND CONDITIONS" in text:
+        out |= {t.split("END OF TERMS AND CONDITIONS")[0] + end for t in out for end in ("", "END OF TERMS AND CONDITIONS")}
+    if name.startswith("BSD"):
+        out |= {t.replace("All rights reserved.", "") for t in out}
+        out |= {re.sub(r"(?m)^\d\. ", "* ", t) for t in out}
+    return out | {t.replace("http://", "https://") for t in out} | {t.replace("https://", "http://") for t in out}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text): the notices of ``KNOWN``, and its texts and those of ``license_texts`` in all variants."""
+    folder = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+    texts = dict(KNOWN)
+    for f in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, f), encoding="utf-8") as file:
+            texts[f.removesuffix(".txt")] = file.read()
+    return sorted((k, v) for k, t in texts.items() for v in (variants(k, t) if k in TITLES else {t}))
+
 
 def canonical_lines(text: Column) -> Column:
     """The canonical text, line by line (lines joined by a line feed)."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*", "")
+    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), STATEMENT, ""))
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
     t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
     for a, b in EQUIVALENT:
@@ -90,19 +151,27 @@ def digest(t: Column) -> Column:
     return F.sha2(t.cast("binary"), 256)
 
 
-def scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: dict[str, str] | DataFrame | None = None, id_col: str = "doc_id",
+         text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, canonical_digest, license_id`` (of the whole text, else
-    null) and ``line_licenses``, the sorted names of what its lines are."""
+    null) and ``line_licenses``, the sorted names of what its lines are.
+    ``known`` is a table with ``license_id`` and ``text``, any number of texts a
+    name; of several names for one text the smallest is the ``license_id``."""
     spark = docs.sparkSession
-    names = spark.createDataFrame(sorted((known or KNOWN).items()), "license_id string, text string")
-    names = F.broadcast(names.select(digest(whole(canonical_lines(F.col("text")))).alias("digest"), "license_id"))
+    fixed = not isinstance(known, DataFrame)
+    if fixed:
+        known = spark.createDataFrame(sorted(known.items()) if known else known_texts(), "license_id string, text string")
+    names = known.select("license_id", whole(canonical_lines(F.col("text"))).alias("c")).filter("c != '' AND license_id IS NOT NULL")
+    every = stored(names.select(digest(F.col("c")).alias("digest"), "license_id").distinct(), "licenses")
+    bounded = F.broadcast if fixed else (lambda x: x)
+    names = bounded(every.groupBy("digest").agg(F.min("license_id").alias("license_id")))
     lines = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("c"))
     # 16 bytes of a line's digest are enough to look it up
     rows = lines.select("doc_id", digest(whole(F.col("c"))).alias("digest"),
                         F.array_distinct(F.transform(F.split("c", "\n"), lambda x: F.unhex(F.substring(digest(F.trim(x)), 1, 32)))).alias("keys"))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "license-rows")
-    keyed = names.select(F.unhex(F.substring("digest", 1, 32)).alias("key"), F.col("license_id").alias("name"))
-    hits = (rows.select("row", F.explode("keys").alias("key")).join(F.broadcast(keyed), "key")
+    keyed = every.select(F.unhex(F.substring("digest", 1, 32)).alias("key"), F.col("license_id").alias("name"))
+    hits = (rows.select("row", F.explode("keys").alias("key")).join(bounded(keyed), "key")
             .groupBy("row").agg(F.concat_ws(",", F.sort_array(F.collect_set("name"))).alias("line_licenses")))
     return (rows.join(names, "digest", "left").join(hits, "row", "left")
             .select("doc_id", F.col("digest").alias("canonical_digest"), "license_id",

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -182,3 +183,30 @@ def test_license_scan(spark):
                           (6, "notice:CC-BY-NC-4.0", "notice:CC-BY-NC-4.0"), (6, "notice:CC-BY-NC-4.0", "notice:CC-BY-NC-4.0"),
                           (0, None, ""), (7, None, "")], key=str)
     assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def test_license_texts_with_and_without_title(spark):
+    def wrapped(text, width):
+        return "\n".join(textwrap.fill(x, width) for x in text.split("\n\n"))
+
+    mit = licenses.KNOWN["MIT"].replace("<year> <copyright holders>", "2031 Someone Else")
+    bare = mit.split("\n\n", 1)[1]
+    texts = dict(licenses.known_texts())
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense",
+            "CC0-1.0"} <= set(texts)
+    rows = [("MIT", bare), ("MIT", "The MIT License (MIT)\n\n" + bare), ("MIT", bare.replace("(c) 2031 Someone Else", "The Foo Authors"))]
+    rows += [("MIT", wrapped(mit, w)) for w in range(32, 90)]
+    rows += [(k, t) for k, t in licenses.known_texts() if ":" not in k]
+    rows += [(k, "\n".join(" ".join(p.split()) for p in t.split("\n\n"))) for k, t in licenses.known_texts() if k in ("MPL-2.0", "Unlicense")]
+    rows += [(None, "copyright notice and this permission notice"), (None, "Copyright 2020 Someone")]
+    got = licenses.scan(frame(spark, [(i, t, "en") for i, (_, t) in enumerate(rows)])).collect()
+    assert len(got) == len(rows) and {(rows[r.doc_id][0], r.license_id) for r in got if r.license_id != rows[r.doc_id][0]} == set()
+    digests = {r.doc_id: r.canonical_digest for r in got}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert digests[len(rows) - 1] == empty != digests[len(rows) - 2]
+
+
+def test_known_licenses_are_a_table(spark):
+    known = spark.createDataFrame([("b", "My terms"), ("a", "my  TERMS."), ("c", "Other terms"), ("d", "!!")], "license_id string, text string")
+    got = licenses.scan(frame(spark, [(1, "MY TERMS", "en"), (2, "x\nother terms", "en"), (3, "", "en")]), known).collect()
+    assert sorted((r.doc_id, r.license_id, r.line_licenses) for r in got) == [(1, "a", "a,b"), (2, None, "c"), (3, None, "")]
