@@ -181,6 +181,11 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(bucket[i]), slice(i, j)
 
 
+def _unsigned(ids: np.ndarray) -> np.ndarray:
+    """Ids as unsigned numbers of the same order."""
+    return ids.view(U64) ^ U64(1 << 63)
+
+
 def _smallest(b: Block, place: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """The smallest document id of each distinct key."""
     low = np.full(n, _NULL_ID, np.int64)
@@ -210,7 +215,7 @@ class Replay:
             place = np.empty(len(order), np.int64)
             place[order] = np.cumsum(new) - 1
             low = _smallest(b, place, long, int(new.sum()))
-            earlier = yield bucket_of_hash(s1[new], 48, self.buckets), s1[new], s2[new], low
+            earlier = yield bucket_of_hash(s1[new], 48, self.buckets), s1[new], s2[new], _unsigned(low)
             copies = np.zeros(len(b.ids), bool)
             copies[long] = earlier.astype(bool)[place] | (b.ids[long] > low[place])
             # round 1: windows that can be shared
@@ -236,7 +241,7 @@ class Replay:
         keys, place, _, several = distinct(hashes, b.doc[where])
         last = len(b.lengths) == 1
         extra = _smallest(b, place, b.doc[where], len(keys)) if last else several.astype(U64)
-        answer = yield bucket_of_hash(keys, 48, self.buckets), keys, None, extra
+        answer = yield bucket_of_hash(keys, 48, self.buckets), keys, None, _unsigned(extra) if last else extra
         for level in range(1, len(b.lengths)):
             last = level == len(b.lengths) - 1
             off = b.lengths[level] - b.lengths[level - 1]
@@ -250,7 +255,7 @@ class Replay:
             keys, place, _, several = distinct(code, b.doc[where])
             k1, k2 = ranks[(keys >> _HALF).astype(np.int64)], ranks[(keys & _LOW).astype(np.int64)]
             extra = _smallest(b, place, b.doc[where], len(keys)) if last else several.astype(U64)
-            answer = yield bucket_of_rank(k1), k1, k2, extra
+            answer = yield bucket_of_rank(k1), k1, k2, _unsigned(extra) if last else extra
         hit = answer.astype(bool)[place] | (b.ids[b.doc[where]] > extra[place]) if len(where) else np.zeros(0, bool)
         self.starts = where[hit]
 

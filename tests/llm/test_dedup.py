@@ -162,6 +162,15 @@ def test_spans_against_brute_force(spark, passages, size, base):
         str(e[:5]) for e in exp)
 
 
+@pytest.mark.parametrize(("size", "base"), [(50, 25), (12, 12)])
+def test_spans_of_negative_ids_in_several_blocks(spark, passages, size, base):
+    texts = [(None if i is None else i - 45, t) for i, t in passages]
+    exp = sorted(str(e[:5]) for e in brute_spans(texts, size))
+    for parts in (1, 7):
+        got = suffix_dedup.repeated_spans(frame(spark, texts).repartition(parts), threshold=size, base=base).collect()
+        assert sorted(map(str, ((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got))) == exp
+
+
 def test_drop_repeats_keeps_columns(spark, passages):
     docs = frame(spark, passages)
     out = suffix_dedup.drop_repeats(docs)
