@@ -49,12 +49,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm._bytes import U64, binary_column, chunks, slice_hashes, window_hashes
+from cadence.llm._bytes import U64, binary_column, chunks, mix, slice_hashes, window_hashes
 from cadence.llm._tables import new_path, ready, shuffle_partitions
 from cadence.llm._worker import begin
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 2 << 20
+#: Bytes of text for which there is a range of keys at least.
+RANGE_BYTES = 16 << 20
 _NULL_ID = np.iinfo(np.int64).max
 _INDEX_BITS = U64(40)
 _HALF = U64(32)
@@ -158,7 +160,8 @@ class Block:
         k = max(self.threshold // 2, 1)
         if not len(at):
             return np.zeros(0, U64)
-        return sliding_min(window_hashes(self.data, k), self.threshold - k + 1)[at] >> U64(24)
+        # minima crowd at small hashes; mixed again they spread over all ranges
+        return mix(sliding_min(window_hashes(self.data, k), self.threshold - k + 1)[at]) >> U64(24)
 
     def needed(self, at: np.ndarray) -> list[np.ndarray]:
         """For each length, the positions whose ranks the windows need."""
@@ -435,11 +438,14 @@ def _rounds(docs: DataFrame, threshold: int, base: int, id_col: str, text_col: s
     spark = docs.sparkSession
     ready(spark)
     n = shuffle_partitions(spark)
-    buckets = 2 * n
     t = _write_blocks(docs, id_col, text_col, n)
+    buckets = max(2 * n, t.select("block").count() * BLOCK_BYTES // RANGE_BYTES)
     kinds = ["earlier", "shared", *["rank"] * (len(lengths(base, threshold)) - 1), "earlier"]
     for r, kind in enumerate(kinds):
-        answers = (_messages(t, r, base, threshold, buckets).groupBy("bucket")
+        sent = _messages(t, r, base, threshold, buckets)
+        if buckets > 2 * n:  # more ranges, so more tasks
+            sent = sent.repartition(buckets // 2, "bucket")
+        answers = (sent.groupBy("bucket")
                    .applyInArrow(_answer(kind), "block bigint, bucket bigint, blob binary")
                    .groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias(f"a{r}")))
         t = t.join(_co_located(answers, f"answers{r}", n), "block", "left")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cadence.llm import near_dedup, suffix_dedup
@@ -171,6 +172,20 @@ def test_spans_of_negative_ids_in_several_blocks(spark, passages, size, base):
         assert sorted(map(str, ((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got))) == exp
 
 
+def test_ranges_follow_the_input_and_are_even(spark, passages, monkeypatch):
+    R = np.random.default_rng(5)
+    b = suffix_dedup.Block(R.integers(97, 123, 200_000).astype(np.uint8), np.array([0, 200_000]), np.array([1]), 25, 50)
+    keys = np.unique(b.minima(b.windows(np.zeros(1, bool))))
+    dealt = np.bincount(suffix_dedup.bucket_of_hash(keys, 40, 16).astype(int), minlength=16)
+    assert dealt.max() < 1.3 * dealt.mean()
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", suffix_dedup.BLOCK_BYTES // 8)
+    t, _, buckets = suffix_dedup._rounds(frame(spark, passages).repartition(5), 50, 25, "doc_id", "text")
+    assert buckets >= 40
+    got = suffix_dedup.repeated_spans(frame(spark, passages).repartition(5)).collect()
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == sorted(
+        str(e[:5]) for e in brute_spans(passages, 50))
+
+
 def test_drop_repeats_keeps_columns(spark, passages):
     docs = frame(spark, passages)
     out = suffix_dedup.drop_repeats(docs)
