@@ -74,20 +74,26 @@ def lengths(base: int, threshold: int) -> list[int]:
 # --- messages -------------------------------------------------------------------------------------
 
 def pack(a: np.ndarray) -> bytes:
-    """Unsigned integers as compressed byte planes."""
+    """Unsigned integers as compressed byte planes, large ones counted from the smallest."""
     a = np.ascontiguousarray(a, U64)
-    width = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+    top = int(a.max()) if len(a) else 0
+    low = int(a.min()) if top >> 63 else 0
+    if low:
+        a = a - U64(low)
+    width = ((top - low).bit_length() + 7) // 8
     planes = a.view(np.uint8).reshape(-1, 8)[:, :width].T
-    return len(a).to_bytes(8, "little") + bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return (len(a).to_bytes(8, "little") + low.to_bytes(8, "little") + bytes([width])
+            + zstandard.ZstdCompressor(level=1).compress(planes.tobytes()))
 
 
 def unpack(b: bytes) -> np.ndarray:
-    n, width = int.from_bytes(b[:8], "little"), b[8]
+    n, low, width = int.from_bytes(b[:8], "little"), int.from_bytes(b[8:16], "little"), b[16]
     out = np.zeros((n, 8), np.uint8)
     if n and width:
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[9:], max_output_size=n * width), np.uint8)
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[17:], max_output_size=n * width), np.uint8)
         out[:, :width] = planes.reshape(width, n).T
-    return out.reshape(-1).view(U64)
+    out = out.reshape(-1).view(U64)
+    return out + U64(low) if low else out
 
 
 def pack_sorted(a: np.ndarray) -> bytes:
