@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import (encoding, fingerprints, language_id, licenses, mixing, near_dedup, suffix_dedup, token_counts,
-                         vector_search, warc)
+from cadence.llm import (alignment, encoding, fingerprints, language_id, licenses, mixing, near_dedup, prefix_trie, quality,
+                         suffix_dedup, token_counts, vector_search, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -132,3 +132,53 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """)
 def op10(spark, sf_dir):
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@register("op11_align")
+def op11(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@register("op12_prefix_trie", """
+WITH t AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS n,
+    substr(sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'k': k, 'n': n} ORDER BY turn ASC NULLS FIRST, k) AS path FROM t GROUP BY conv_id),
+crc AS (
+  SELECT *, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+      lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS state
+  FROM own),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.path, [])[1:xor(c.state, 4294967295) % 6], c.path[xor(c.state, 4294967295) % 6 + 1:]) AS path
+  FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+steps AS (
+  SELECT conv_id, len(path) AS size, d, CASE WHEN d > 0 THEN path[d].n ELSE 0 END AS n,
+    array_to_string(list_transform(path[1:d], lambda s: s.k), '') AS key
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT key, CAST(d AS BIGINT) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256
+  FROM steps GROUP BY key, d),
+kids AS (SELECT substr(key, 1, length(key) - 32) AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+up AS (
+  SELECT substr(n.key, 1, CAST(32 * a AS BIGINT)) AS key, sum(CASE WHEN k.key IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(n.saved) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM nodes) n LEFT JOIN kids k ON k.key = n.key GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs,
+  CAST(coalesce(k.n_children, 0) AS BIGINT) AS n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves,
+  CAST(u.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN up u ON u.key = n.key LEFT JOIN kids k ON k.key = n.key
+LEFT JOIN nodes p ON n.depth > 0 AND p.key = substr(n.key, 1, length(n.key) - 32)
+""")
+def op12(spark, sf_dir):
+    paths = prefix_trie.conversation_paths(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt_paths(paths))
+
+
+@register("op13_quality")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out())
+    found = quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score")
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
