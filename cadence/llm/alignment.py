@@ -27,11 +27,13 @@ result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -47,6 +49,8 @@ from cadence.llm.token_counts import WHITE
 
 #: Segments that a worker remembers before it starts anew, and their longest length.
 CACHE, CACHE_CHARS = 400_000, 64
+#: New segments that are encoded as one string.
+JOINED = 256
 #: Bytes of text in a block (a longer text stands alone), and merge steps of a piece.
 BLOCK_BYTES = 4 << 20
 PIECE_STEPS = 1 << 18
@@ -69,27 +73,35 @@ class Side:
             return None
         return np.array(ids, self.kind).tobytes()
 
-    def remember(self, segments: set[str]) -> dict[str, bytes | None]:
-        """The packed ids of new segments; short ones are kept."""
-        new = list(segments)
-        found = {s: self.packed(s, ids) for s, ids in zip(new, self.encode(new))}
-        self.known.update((s, p) for s, p in found.items() if len(s) <= CACHE_CHARS)
-        return found
-
-    def tokens(self, text: str, segments: list[str]) -> bytes | None:
-        """The packed ids of a text (given with its space), None if it has none."""
-        if not self.additive:
-            return self.packed(text, self.encode([text])[0])
-        try:
-            return b"".join(map(self.known.__getitem__, segments))
-        except (KeyError, TypeError):  # a new segment, or one whose bytes differ
-            new = self.remember({s for s in segments if s not in self.known})
-            parts = [new[s] if s in new else self.known[s] for s in segments]
-            return None if any(p is None for p in parts) else b"".join(parts)
-
-    def tidy(self) -> None:
+    def learn(self, segments: set[str]) -> None:
+        """Know the packed ids of all ``segments`` (None where they do not join
+        to the segment). Those that end before white space are encoded many in
+        one string and parted at their bytes."""
+        known = self.known
+        alone = [s for s in segments if s not in known]
+        if self.additive:
+            solid = [s for s in alone if s[-1] not in WHITE]
+            alone = [s for s in alone if s[-1] in WHITE]
+            parts = [solid[k:k + JOINED] for k in range(0, len(solid), JOINED)]
+            texts = ["".join(part) for part in parts]
+            for part, text, ids in zip(parts, texts, self.encode(texts)):
+                packed = self.packed(text, ids)
+                if packed is None:
+                    alone += part
+                    continue
+                ends = np.cumsum(self.lengths[ids])
+                want = np.cumsum([len(s.encode()) for s in part])
+                cuts = ((np.searchsorted(ends, want) + 1) * self.kind.itemsize).tolist()
+                known.update(zip(part, [packed[i:j] for i, j in zip([0] + cuts, cuts)]))
+        known.update((s, self.packed(s, ids)) for s, ids in zip(alone, self.encode(alone)))
+
+    def tidy(self, segments: set[str]) -> None:
+        """Forget long segments, and all if there are too many."""
         if len(self.known) > CACHE:
             self.known.clear()
+        for s in segments:
+            if len(s) > CACHE_CHARS:
+                self.known.pop(s, None)
 
 
 def _byte_level() -> dict[str, int]:
@@ -144,7 +156,7 @@ def piece_side(path: str) -> Side:
 
 
 _loaded: dict[str, Side] = {}
-keeps("alignment", _loaded.clear)
+keeps("alignment", lambda: (_loaded.clear(), _strings.clear()))
 
 
 def side(name: str) -> Side:
@@ -230,23 +242,27 @@ class Block:
 
     def __init__(self, a: Side, b: Side, texts: list[str | None], steps: int = PIECE_STEPS):
         self.sides = a, b
-        streams: tuple[list[bytes], list[bytes]] = [], []
         self.bytes = np.zeros(len(texts), np.int64)
         cut = segments_of(a.glue + b.glue)
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            text = " " + text
-            segments = cut.findall(text)
-            ids = a.tokens(text, segments)
-            other = b.tokens(text, segments)
-            if ids is not None and other is not None:
-                streams[0].append(ids)
-                streams[1].append(other)
-                self.bytes[k] = len(text.encode())
-        a.tidy()
-        b.tidy()
-        self.a, self.b = (np.frombuffer(b"".join(s), side.kind).astype(np.int64) for s, side in zip(streams, self.sides))
+        whole = {k: " " + text for k, text in enumerate(texts) if text}
+        parts = {k: cut.findall(text) for k, text in whole.items()}
+        streams: list[dict[int, bytes]] = []
+        for side in self.sides:
+            mine = parts if side.additive else {k: [text] for k, text in whole.items()}
+            segments = set(chain.from_iterable(mine.values()))
+            side.learn(segments)
+            known, found = side.known.__getitem__, {}
+            for k, p in mine.items():
+                try:
+                    found[k] = b"".join(map(known, p))
+                except TypeError:  # a segment has other bytes
+                    pass
+            side.tidy(segments)
+            streams.append(found)
+        both = [k for k in streams[0] if k in streams[1]]
+        for k in both:
+            self.bytes[k] = len(whole[k].encode())
+        self.a, self.b = (np.frombuffer(b"".join([s[k] for k in both]), side.kind).astype(np.int64) for s, side in zip(streams, self.sides))
         ends_a, ends_b = np.cumsum(a.lengths[self.a]), np.cumsum(b.lengths[self.b])
         i, j = diagonals(ends_a, ends_b, steps)
         pieces = [merge_piece(ends_a, ends_b, at) for at in zip(i[:-1].tolist(), i[1:].tolist(), j[:-1].tolist(), j[1:].tolist())]
@@ -285,7 +301,6 @@ class Block:
 
 
 _strings: list[str] = []
-keeps("alignment strings", _strings.clear)
 
 
 def _spelled(size: int) -> list[str]:
@@ -297,12 +312,15 @@ def _spelled(size: int) -> list[str]:
 
 def _blocks(batches: Iterator[pa.RecordBatch], a: str, b: str, steps: int) -> Iterator[tuple[pa.Array, Block]]:
     begin("alignment")
-    keeps("alignment strings", _strings.clear)
-    for batch in batches:
-        _, offsets = binary_column(batch.column("t"))
-        for i, j in chunks(offsets, BLOCK_BYTES):
-            part = batch.slice(i, j - i)
-            yield part.column("d"), Block(side(a), side(b), part.column("t").to_pylist(), steps)
+    gc.disable()  # what is remembered holds no cycles
+    try:
+        for batch in batches:
+            _, offsets = binary_column(batch.column("t"))
+            for i, j in chunks(offsets, BLOCK_BYTES):
+                part = batch.slice(i, j - i)
+                yield part.column("d"), Block(side(a), side(b), part.column("t").to_pylist(), steps)
+    finally:
+        gc.enable()
 
 
 def overlaps(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", text_col: str = "text",
