@@ -109,7 +109,8 @@ SELECT event_id, CAST(epoch_ms(ts) AS BIGINT) AS ms FROM events
 def q_date_struct(spark, sf_dir):
     """H7: a ``{"$date": milliseconds}`` value becomes a timestamp."""
     ev = table(spark, sf_dir, "events")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    # the nearest millisecond, as the oracle's epoch_ms gives it (unix_millis cuts off)
+    ms = F.floor((H.epoch_us("ts") + 500) / 1000).cast("bigint")
     x = ev.select("event_id", H.date_struct_to_ts(F.struct(ms.alias("$date"))).alias("t"))
     return x.select("event_id", F.unix_millis("t").alias("ms"))
 

@@ -4,18 +4,34 @@ formulations, which serve as the oracles."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cadence.plans.q_lookup import _RUNS_SQL
-from cadence.plans.registry import register, table
+from cadence.plans.registry import ORACLE, register, table
 from cadence.streaming import runs as SR
 from cadence.streaming import windows as SW
 
 
+def _staged_events(spark, sf_dir, rows=None):
+    """The events as three files, one after the other, with rows up to an hour
+    out of order, and completion ``rows``: (folder, schema)."""
+    ev = table(spark, sf_dir, "events")
+    # thirds of the time span, their borders blurred by up to an hour
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = ev.agg(F.min(us), F.max(us)).first()
+    blur = F.pmod(F.xxhash64("event_id"), F.lit(3_600_000_000))
+    part = F.least(F.lit(2), F.floor((us + blur - F.lit(lo or 0)) * 3 / F.lit((hi or 0) - (lo or 0) + 3_600_000_001)))
+    folder = SR.stage_files(ev, F.coalesce(part, F.lit(0)), 3)
+    SR.complete(spark, folder, ev.schema, "ts", rows)
+    return folder, ev.schema
+
+
 def _events_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    sdf = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return sdf, schema, sf_dir
+    """Events of all kinds as a file stream that ends with completion rows."""
+    folder, schema = _staged_events(spark, sf_dir, [{"event_type": "purchase"}, {"event_type": "view"}])
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
 
 
 @register("stream_run_features", _RUNS_SQL + """
@@ -27,13 +43,12 @@ SELECT CAST(user_id AS BIGINT) AS entity, CAST(run_id AS BIGINT) AS run_id,
 FROM r GROUP BY user_id, run_id
 """)
 def q_stream_run_features(spark, sf_dir):
-    """M1-M3: per-user consecutive event-type runs computed incrementally."""
-    sdf, schema, path = _events_stream(spark, sf_dir)
-    feats = SR.stream_run_features(sdf, "user_id", "event_type", "ts", "event_id", "value")
-    snaps = SR.materialize_stream(feats, "update").filter(F.col("kind") == "run")
-    from cadence.sources.sinks import upsert_latest
-    t = upsert_latest(snaps.limit(0), snaps, ["entity", "run_id"], version_col="version")
-    return t.select("entity", "run_id", "run_key", "n_elements",
+    """M1-M3: per-user consecutive event-type runs over files whose rows are out
+    of order; the last run of each user is closed by the completion row, and
+    users of whom a row came behind the watermark are computed again."""
+    folder, schema = _staged_events(spark, sf_dir)
+    t = SR.stream_features_to_table(spark, folder, schema, SR.FLAGSHIP, "user_id", ["event_type"], "ts", "event_id")
+    return t.select(F.col("user_id").alias("entity"), "run_id", F.col("event_type").alias("run_key"), "n_elements",
                     *[F.round(c, 6).alias(c) for c in ("total_value", "mean_value", "avg_hour", "std_value",
                                                        "max_value")])
 
@@ -44,8 +59,8 @@ SELECT user_id, epoch_us(date_trunc('day', ts)) AS start_us, CAST(count(*) AS BI
 """)
 def q_stream_usage(spark, sf_dir):
     """M5: daily usage windows per user with a watermark."""
-    sdf, _, _ = _events_stream(spark, sf_dir)
-    u = SR.materialize_stream(SW.stream_usage(sdf, "user_id", "ts", "1 day"), "complete")
+    sdf = _events_stream(spark, sf_dir)
+    u = SR.materialize_stream(SW.stream_usage(sdf, "user_id", "ts", "1 day"))
     return u.select("user_id", F.unix_micros("start").alias("start_us"), F.col("usage").cast("bigint").alias("usage"),
                     F.unix_micros("last_seen").alias("last_us"))
 
@@ -60,8 +75,8 @@ SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MI
 """)
 def q_stream_sessions(spark, sf_dir):
     """M6: 30-minute gap sessions per user, streaming twin of ``sessions``."""
-    sdf, _, _ = _events_stream(spark, sf_dir)
-    s = SR.materialize_stream(SW.stream_sessions(sdf, "user_id", "ts", "30 minutes"), "complete")
+    sdf = _events_stream(spark, sf_dir)
+    s = SR.materialize_stream(SW.stream_sessions(sdf, "user_id", "ts", "30 minutes", "2 hours"))
     return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"),
                     F.col("n_events").cast("bigint").alias("n_events"))
 
@@ -75,8 +90,38 @@ WHERE (p.value - a.value) * (p.value - a.value) > 400
 """)
 def q_stream_monitor(spark, sf_dir):
     """M4: stream-stream interval join emitting alert pairs."""
-    sdf, _, _ = _events_stream(spark, sf_dir)
+    sdf = _events_stream(spark, sf_dir)
     act = sdf.filter(F.col("event_type") == "purchase")
     pred = sdf.filter(F.col("event_type") == "view")
     m = SR.materialize_stream(SW.stream_monitor(pred, act, "user_id", "ts", "value", "event_id"), "append")
     return m.select("act_id", "pred_id", F.round("score", 6).alias("score"))
+
+
+@register("stream_monitor_newest", ORACLE["prediction_monitor"])
+def q_stream_monitor_newest(spark, sf_dir):
+    """Each actual's newest alert out of the stream, as ``prediction_monitor`` gives it."""
+    sdf = _events_stream(spark, sf_dir)
+    act = sdf.filter(F.col("event_type") == "purchase")
+    pred = sdf.filter(F.col("event_type") == "view")
+    pairs = SW.stream_monitor(pred, act, "user_id", "ts", "value", "event_id")
+    m = SR.materialize_stream(SW.stream_newest_alert(pairs))
+    return m.select("act_id", "pred_id", *[F.round(c, 6).alias(c) for c in ("predicted", "actual", "score")])
+
+
+@register("stream_replayed", """
+SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events
+""")
+def q_stream_replayed(spark, sf_dir):
+    """M3: each micro-batch is written twice, as after a failure, and stands once."""
+    from cadence.session import scratch_path
+    folder, schema = _staged_events(spark, sf_dir)
+    sdf = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    out, ck = (scratch_path(spark, f"stream-{x}-{uuid.uuid4().hex[:12]}") for x in ("replayed", "ckpt"))
+
+    def write(batch, epoch):
+        for _ in range(2):
+            SR.write_batch(batch, epoch, out)
+
+    sdf.writeStream.foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    t = SR.read_batches(spark, out, schema).filter("event_id is not null")
+    return t.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))

@@ -1,151 +1,280 @@
-"""Incremental consecutive-run features over a stream (M1, M2, M3).
-
-State is kept per entity (``partition_by`` value) with
-``applyInPandasWithState``; it holds only the OPEN run's running aggregates
-(count, sum, sum of squares, max, hour sum, first/last ids and times), never
-the run's rows, so state size is bounded per entity whatever a run's length.
-
-Each micro-batch, per entity, rows are sorted by (ts, id); rows older than
-the last processed row are late and reported as ``kind='late'`` (not folded
-into runs). Closed runs are emitted with ``closed=True``; the open run is
-emitted as a snapshot (``closed=False``) with a growing ``version``. Output
-mode is ``update``: a sink that upserts on ``(entity, run_id)`` keeping the
-highest version (``sinks.upsert_latest``) holds exactly the batch result of
-``features_by_run`` at any time, and the final snapshot of a run is complete
-once its key changes (explicit completion, M2) or the input ends.
+"""Consecutive-run features over a stream (M1, M2, M3).
+
+Rows come in any order within the watermark's delay. Per entity, the state
+(``transformWithState``, RocksDB) holds the rows that the watermark has not
+passed yet, which a late row may still split or merge, and the rows of the
+open run. Rows that the watermark has passed are final: they go on with the
+open run or close it. An event-time timer takes up rows that become final
+without new ones, and closes an entity's last run when the watermark is
+``idle`` past it (M2); without ``idle`` only a completion row does
+(``complete``), so that the result is the batch one. With ``idle`` a gap that
+is longer ends a run, whenever its rows come.
+
+A closed run leaves with all of its rows at once. Its features are compiled
+from any feature definitions by the compiler that the batch operator uses,
+inside ``foreachBatch``, and written under the number of the micro-batch: a
+batch that is replayed replaces itself (M3).
+
+Rows behind the watermark are dropped by Spark. Entities of which a row is
+missing are computed again from their raw rows (``with_late_rows``; the source
+folder, or the sink to which they are appended next to the features), so that
+none leaves the result.
 """
 
 from __future__ import annotations
 
-import math
 import os
+import sys
 import uuid
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
+from cadence.functions.features import compile_features, spec
+from cadence.operators.runs import features_by_run
 from cadence.session import scratch_path, ship_package
 
-STATE_SCHEMA = ("open_key string, run_id long, n long, s double, ss double, mx double, hsum double, "
-                "first_ts long, first_id long, last_id long, last_ts long, version long")
-OUT_SCHEMA = ("entity long, run_id long, run_key string, n_elements long, first_id long, last_id long, "
-              "ts_us long, total_value double, mean_value double, n_values double, avg_hour double, "
-              "std_value double, max_value double, version long, closed boolean, kind string")
-
-
-def _emit(entity, st, closed, kind="run"):
-    n = st["n"]
-    mean = st["s"] / n
-    var = max(st["ss"] / n - mean * mean, 0.0)
-    return {"entity": entity, "run_id": st["run_id"], "run_key": st["open_key"], "n_elements": n,
-            "first_id": st["first_id"], "last_id": st["last_id"], "ts_us": st["first_ts"],
-            "total_value": st["s"], "mean_value": mean, "n_values": float(n), "avg_hour": st["hsum"] / n,
-            "std_value": math.sqrt(var), "max_value": st["mx"], "version": st["version"],
-            "closed": closed, "kind": kind}
-
-
-def _update(key, pdfs, state):
-    entity = int(key[0])
-    if state.exists:
-        (ok, rid, n, s, ss, mx, hs, fts, fid, lid, lts, ver) = state.get
-        st = dict(open_key=ok, run_id=rid, n=n, s=s, ss=ss, mx=mx, hsum=hs, first_ts=fts,
-                  first_id=fid, last_id=lid, last_ts=lts, version=ver)
-    else:
-        st = None
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    pdf = pdf.sort_values(["ts_us", "id"], kind="mergesort")
-    out = []
-    if st is not None:
-        late = pdf[(pdf["ts_us"] < st["last_ts"]) |
-                   ((pdf["ts_us"] == st["last_ts"]) & (pdf["id"] <= st["last_id"]))]
-        pdf = pdf.drop(late.index)
-        for r in late.itertuples():
-            out.append({"entity": entity, "run_id": None, "run_key": r.key, "n_elements": 1,
-                        "first_id": r.id, "last_id": r.id, "ts_us": r.ts_us, "total_value": None,
-                        "mean_value": None, "n_values": None, "avg_hour": None, "std_value": None,
-                        "max_value": None, "version": None, "closed": None, "kind": "late"})
-    keys = pdf["key"].to_numpy(dtype=object)
-    vals = np.nan_to_num(pdf["value"].to_numpy(dtype=float, na_value=0.0), nan=0.0) \
-        if len(pdf) else np.array([])
-    hours = pdf["hour"].to_numpy(dtype=float)
-    tss = pdf["ts_us"].to_numpy(dtype=np.int64)
-    ids = pdf["id"].to_numpy(dtype=np.int64)
-    # boundaries of consecutive runs inside the batch
-    i = 0
-    m = len(pdf)
-    while i < m:
-        j = i + 1
-        while j < m and keys[j] == keys[i]:
-            j += 1
-        seg_v, seg_h = vals[i:j], hours[i:j]
-        if st is not None and st["open_key"] == keys[i]:
-            st.update(n=st["n"] + (j - i), s=st["s"] + float(seg_v.sum()),
-                      ss=st["ss"] + float((seg_v * seg_v).sum()), mx=max(st["mx"], float(seg_v.max())),
-                      hsum=st["hsum"] + float(seg_h.sum()), last_id=int(ids[j - 1]), last_ts=int(tss[j - 1]))
+#: Event time of completion rows (pandas ends in 2262), and the time at which a watermark means completion (microseconds).
+COMPLETE_AT = "2261-01-01 00:00:00"
+_COMPLETED_US = 9151488000_000_000
+_ROW = "ts_us bigint, id string, run_key string, payload string"
+_RUN = "run_id bigint, run_key string, last_us bigint"
+_OUT = "entity string, run_id bigint, run_start boolean, run_end boolean, payload string"
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+FLAGSHIP = [spec("direct", "sum", "value", title="total_value"), spec("direct", "mean", "value", title="mean_value"),
+            spec("direct", "count", "value", title="n_values"), spec("direct", "hour", "ts", title="avg_hour"),
+            spec("direct", "std", "value", title="std_value"), spec("direct", "max", "value", title="max_value")]
+
+# the driver's own state worker does not see files that executors get, so the processor travels by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class ClosedRuns(StatefulProcessor):
+    """Emits the rows of each run of an entity when the run is closed."""
+
+    def __init__(self, idle_us: int | None):
+        self.idle_us = idle_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", _ROW)
+        self.rows = handle.getListState("open_rows", _ROW)
+        self.run = handle.getValueState("open_run", _RUN)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for df in rows for r in zip(*(df[c].tolist() for c in ("ts_us", "id", "run_key", "payload")))]
+        # a completion row only moves the watermark
+        yield from self._advance(key, [r for r in new if r[0] < _COMPLETED_US], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, [], timerValues)
+
+    def _advance(self, key, new: list[tuple], timers) -> Iterator[pd.DataFrame]:
+        passed, idle = timers.getCurrentWatermarkInMs() * 1000, self.idle_us
+        run = self.run.get()
+        run = (-1, None, None) if run is None else tuple(run)
+        waiting = list(map(tuple, self.pending.get()))
+        rows = sorted(waiting + new, key=lambda r: (r[0], int(r[1]) if r[1].lstrip("-").isdigit() else 0, r[1]))
+        final = bisect_left([r[0] for r in rows], passed)
+        rows, rest = rows[:final], rows[final:]
+        out: list[tuple] = []
+        known, stored, fresh = run[0] >= 0 or bool(waiting), run[1] is not None, []  # rows of the open run in the state, and beside it
+        if rows:
+            keys = np.array([r[2] for r in rows], dtype=object)
+            gap = np.diff(np.array([r[0] for r in rows])) > (_COMPLETED_US if idle is None else idle)
+            borders = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | gap) + 1).tolist(), len(rows)]
+            for i, j in zip(borders, borders[1:]):
+                if run[1] is None or run[1] != rows[i][2] or i or (idle is not None and rows[i][0] - run[2] > idle):
+                    self._emit(run, stored, fresh, out)
+                    run, stored = (run[0] + 1, rows[i][2], None), False
+                fresh = rows[i:j]
+                run = (run[0], run[1], rows[j - 1][0])
+        if run[1] is not None and not rest and passed > (_COMPLETED_US if idle is None else run[2] + idle):
+            self._emit(run, stored, fresh, out)
+            run, fresh = (run[0], None, None), []
+        # few calls for each entity: every one goes to the state server and back
+        if fresh:
+            (self.rows.appendList if stored else self.rows.put)(fresh)
+        if rest:
+            self.pending.put(rest)
+        elif waiting:
+            self.pending.clear()
+        if idle is not None and (rest or run[1] is not None):
+            self.handle.registerTimer((rest[-1][0] if rest else run[2] + idle) // 1000 + 1)
+        elif not known:  # what is final by then leaves with the entity's next rows, the rest at completion
+            self.handle.registerTimer(_COMPLETED_US // 1000 + 1)
+        self.run.update(run)
+        if out:
+            number, payload, first, last = (list(chain.from_iterable(x)) for x in zip(*out))
+            yield pd.DataFrame({"entity": [key[0]] * len(number), "run_id": number, "run_start": first, "run_end": last,
+                                "payload": payload})
+
+    def _emit(self, run: tuple, stored: bool, fresh: list[tuple], out: list) -> None:
+        """The rows of the open run go out, and the state forgets them."""
+        if run[1] is None:
+            return
+        payload = [r[3] for r in self.rows.get()] if stored else []
+        if stored:
+            self.rows.clear()
+        payload += [r[3] for r in fresh]
+        n = len(payload)
+        out.append(([run[0]] * n, payload, [True] + [False] * (n - 1), [False] * (n - 1) + [True]))
+
+
+def closed_runs(sdf: DataFrame, entity: str, keys: list[str], ts: str, id_col: str, delay: str = "2 hours",
+                idle_seconds: float | None = None) -> DataFrame:
+    """The rows of ``sdf`` with ``run_id, run_start, run_end``, each run when it
+    is closed. The query must run with ``state_store(spark)`` in force."""
+    spark = sdf.sparkSession
+    ship_package(spark)
+    when = F.coalesce(F.col(ts).cast("timestamp"), F.timestamp_micros(F.lit(0)))
+    x = sdf.select(F.col(entity).cast("string").alias("entity"), when.alias("event_time"), F.unix_micros(when).alias("ts_us"),
+                   F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
+                   F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("run_key"),
+                   F.to_json(F.struct(*[F.col(c) for c in sdf.columns]), _JSON).alias("payload"))
+    out = x.withWatermark("event_time", delay).groupBy("entity").transformWithStateInPandas(
+        ClosedRuns(None if idle_seconds is None else int(idle_seconds * 1e6)), _OUT, "append", "EventTime")
+    row = F.from_json("payload", sdf.schema, {**_JSON, "allowNonNumericNumbers": "true"})
+    return out.select("run_id", "run_start", "run_end", row.alias("r")).select("run_id", "run_start", "run_end", "r.*")
+
+
+def run_features(rows: DataFrame, specs: list[dict], entity: str, keys: list[str], ts: str, id_col: str) -> DataFrame:
+    """Features of closed runs, as ``features_by_run`` gives them."""
+    flags = F.col("run_start"), F.col("run_end")
+    at = lambda flag, c: F.max(F.when(flag, F.col(c)))
+    feats = compile_features(specs, rows.schema, order=F.struct(ts, id_col), edges=flags)
+    return rows.groupBy(entity, "run_id", *keys).agg(
+        at(flags[0], ts).alias("_ts"), F.count(F.lit(1)).alias("n_elements"), at(flags[0], id_col).alias("first_id"),
+        at(flags[1], id_col).alias("last_id"), *feats)
+
+
+class state_store:
+    """Within it, stateful queries start with the RocksDB store that timers and
+    list state need; the session's own setting returns afterwards."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        self.old = self.spark.conf.get(_PROVIDER, None)
+        self.spark.conf.set(_PROVIDER, _ROCKS)
+
+    def __exit__(self, *exc) -> None:
+        if self.old is None:
+            self.spark.conf.unset(_PROVIDER)
         else:
-            if st is not None:
-                st["version"] += 1
-                out.append(_emit(entity, st, True))
-            st = dict(open_key=keys[i], run_id=(st["run_id"] + 1) if st is not None else 0,
-                      n=j - i, s=float(seg_v.sum()), ss=float((seg_v * seg_v).sum()), mx=float(seg_v.max()),
-                      hsum=float(seg_h.sum()), first_ts=int(tss[i]), first_id=int(ids[i]),
-                      last_id=int(ids[j - 1]), last_ts=int(tss[j - 1]), version=0)
-        i = j
-    if st is not None:
-        st["version"] += 1
-        out.append(_emit(entity, st, False))
-        state.update((st["open_key"], st["run_id"], st["n"], st["s"], st["ss"], st["mx"], st["hsum"],
-                      st["first_ts"], st["first_id"], st["last_id"], st["last_ts"], st["version"]))
-    if out:
-        yield pd.DataFrame(out)
-
-
-def stream_run_features(sdf: DataFrame, entity: str, key: str, ts: str, id_col: str,
-                        value: str) -> DataFrame:
-    """M1: streaming per-entity consecutive runs of ``key`` with the flagship
-    feature set (sum/mean/count/avg hour/std/max of ``value``)."""
-    x = sdf.select(F.col(entity).cast("long").alias("entity"), F.col(key).cast("string").alias("key"),
-                   F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"),
-                   F.col(id_col).cast("long").alias("id"), F.col(value).cast("double").alias("value"),
-                   F.hour(ts).cast("double").alias("hour"))
-    ship_package(sdf.sparkSession)
-    return x.groupBy("entity").applyInPandasWithState(_update, OUT_SCHEMA, STATE_SCHEMA, "update",
-                                                      "NoTimeout")
+            self.spark.conf.set(_PROVIDER, self.old)
 
 
-def run_stream_to_table(spark: SparkSession, source_dir: str, schema, entity: str, key: str, ts: str,
-                        id_col: str, value: str, raw_sink: str | None = None,
-                        max_files_per_trigger: int = 1) -> DataFrame:
-    """M3 driver: file stream -> features (upserted, latest version per run)
-    and optionally the raw records appended next to them, via ``foreachBatch``.
+def write_batch(batch: DataFrame, epoch: int, path: str) -> None:
+    """Write a micro-batch under its number, so that a replay replaces itself (M3)."""
+    batch.write.mode("overwrite").parquet(os.path.join(path, f"batch={epoch}"))
 
-    Runs with ``availableNow`` and returns the upserted feature table as a
-    batch DataFrame. Checkpoint and sink live in the shared checkpoint folder.
-    """
-    from cadence.sources.sinks import upsert_latest
 
-    sdf = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
-    feats = stream_run_features(sdf, entity, key, ts, id_col, value)
-    run = uuid.uuid4().hex[:12]
-    out_dir = scratch_path(spark, f"stream-runs-{run}")
-    ck = scratch_path(spark, f"stream-ckpt-{run}")
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All micro-batches that ``write_batch`` has written."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
-    def write(batch: DataFrame, epoch: int):
-        batch.persist()          # two writes, one evaluation of the stateful batch
-        batch.filter(F.col("kind") == "run").write.mode("append").parquet(os.path.join(out_dir, "snapshots"))
-        batch.filter(F.col("kind") == "late").write.mode("append").parquet(os.path.join(out_dir, "late"))
-        batch.unpersist()
 
-    queries = [feats.writeStream.outputMode("update").foreachBatch(write)
-               .option("checkpointLocation", ck).trigger(availableNow=True).start()]
-    if raw_sink:
-        queries.append(append_raw_stream(sdf, raw_sink, ck + "-raw"))
-    for q in queries:
-        q.awaitTermination()
-    snaps = spark.read.parquet(os.path.join(out_dir, "snapshots"))
-    return upsert_latest(snaps.limit(0), snaps, ["entity", "run_id"], version_col="version")
+def complete(spark: SparkSession, folder: str, schema: T.StructType, ts: str, rows: list[dict] | None = None) -> None:
+    """Add the completion row (or ``rows``) to a stream's folder: its event time
+    lies behind all others, so the watermark passes everything that came."""
+    values = [[r.get(f.name) for f in schema.fields] for r in rows or [{}]]
+    strings = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    x = spark.createDataFrame(values, strings).withColumn(ts, F.lit(COMPLETE_AT).cast(schema[ts].dataType))
+    x.coalesce(1).write.parquet(os.path.join(folder, "zz-complete"))
+
+
+def stage_files(df: DataFrame, part: Column, n: int) -> str:
+    """``df`` as ``n`` folders of files, written one after the other by the
+    number ``part`` gives, for a file stream to take in that order."""
+    folder = scratch_path(df.sparkSession, f"stream-in-{uuid.uuid4().hex[:12]}")
+    for i in range(n):
+        df.filter(part == i).coalesce(1).write.parquet(os.path.join(folder, f"part-{i:03d}"))
+    return folder
+
+
+def with_late_rows(features: DataFrame, raw: DataFrame, specs: list[dict], entity: str, keys: list[str], ts: str,
+                   id_col: str) -> DataFrame:
+    """``features`` with those entities computed again that miss raw rows: rows
+    behind the watermark, which the stream has dropped."""
+    got = features.groupBy(F.col(entity).alias("e")).agg(F.sum("n_elements").alias("got"))
+    came = raw.groupBy(F.col(entity).alias("e")).agg(F.count(F.lit(1)).alias("came"))
+    same = F.col("l.e").eqNullSafe(F.col("r.e"))
+    late = came.alias("l").join(got.alias("r"), same & (F.col("came") == F.col("got")), "left_anti").select("e")
+    again = raw.join(late, F.col(entity).eqNullSafe(F.col("e")), "left_semi")
+    fresh = features_by_run(again, specs, keys, [ts, id_col], ts, id_col, partition_by=[entity], bucket="adaptive:day")
+    return features.join(late, F.col(entity).eqNullSafe(F.col("e")), "left_anti").unionByName(fresh.select(*features.columns))
+
+
+def stream_features_to_table(spark: SparkSession, source: str, schema: T.StructType, specs: list[dict], entity: str,
+                             keys: list[str], ts: str, id_col: str, delay: str = "2 hours", idle_seconds: float | None = None,
+                             max_files_per_trigger: int = 1, raw_sink: str | None = None, late: bool = True) -> DataFrame:
+    """M1-M3 over a folder of files (``availableNow``): closed runs' features of
+    any ``specs``, raw rows beside them in ``raw_sink``, late rows worked in. Checkpoints and
+    tables live in the shared checkpoint folder."""
+    sdf = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).option(
+        "recursiveFileLookup", "true").parquet(source)
+    name = uuid.uuid4().hex[:12]
+    out, ck = scratch_path(spark, f"stream-runs-{name}"), scratch_path(spark, f"stream-ckpt-{name}")
+    rows = closed_runs(sdf, entity, keys, ts, id_col, delay, idle_seconds)
+    shape = run_features(spark.createDataFrame([], rows.schema), specs, entity, keys, ts, id_col).schema
+    with state_store(spark):
+        feats = rows.writeStream.outputMode("append").foreachBatch(
+            lambda b, epoch: write_batch(run_features(b, specs, entity, keys, ts, id_col), epoch, out)
+        ).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    raw = append_raw_stream(sdf, raw_sink, ck + "-raw") if raw_sink else None
+    feats.awaitTermination()
+    if raw:
+        raw.awaitTermination()
+    found = read_batches(spark, out, shape)
+    if not late:
+        return found
+    came = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(raw_sink or source)
+    came = came.filter(F.col(ts).isNull() | (F.unix_micros(F.col(ts).cast("timestamp")) < _COMPLETED_US))
+    return with_late_rows(found, came, specs, entity, keys, ts, id_col)
+
+
+def _both(spark: SparkSession, a: str, b: str) -> str:
+    """One pattern for two folders of a file system."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    uris = []
+    for p in (a, b):
+        path = jvm.Path(p)
+        uris.append(path.getFileSystem(conf).makeQualified(path).toUri())
+    roots = {(u.getScheme(), u.getAuthority()) for u in uris}
+    if len(roots) > 1:
+        raise ValueError("the source must lie in the checkpoint folder's file system")
+    (scheme, host), = roots
+    return f"{scheme}://{host or ''}/{{{','.join(u.getPath().lstrip('/') for u in uris)}}}"
+
+
+def run_stream_to_table(spark: SparkSession, source_dir: str, schema, entity: str, key: str, ts: str,
+                        id_col: str, value: str, raw_sink: str | None = None,
+                        max_files_per_trigger: int = 1) -> DataFrame:
+    """The flagship features of ``value`` by runs of ``key`` over all files of a
+    folder; the last run of each entity is closed by a completion row."""
+    specs = [dict(s, key=value if s["key"] == "value" else ts) for s in FLAGSHIP]
+    name = uuid.uuid4().hex[:12]
+    done = scratch_path(spark, f"stream-done-{name}")
+    complete(spark, done, schema, ts)
+    rows = stream_features_to_table(spark, _both(spark, source_dir, done), schema, specs, entity, [key], ts, id_col,
+                                    max_files_per_trigger=max_files_per_trigger, raw_sink=raw_sink)
+    return rows.withColumnRenamed(entity, "entity")
 
 
 def append_raw_stream(sdf: DataFrame, path: str, checkpoint: str):
@@ -164,10 +293,10 @@ def materialize_stream(sdf: DataFrame, mode: str = "append") -> DataFrame:
     out = scratch_path(spark, f"stream-out-{run}")
 
     def write(batch: DataFrame, epoch: int):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        write_batch(batch, 0 if mode == "complete" else epoch, out)
 
     q = sdf.writeStream.outputMode(mode).foreachBatch(write) \
         .option("checkpointLocation", scratch_path(spark, f"stream-ckpt-{run}")) \
         .trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(sdf.schema).parquet(out)
+    return read_batches(spark, out, sdf.schema)

@@ -26,6 +26,19 @@ def stream_monitor(pred: DataFrame, act: DataFrame, key: str, ts: str, value: st
         .select("act_id", "pred_id", "a_ts", "p_ts", "predicted", "actual", "score")
 
 
+def stream_newest_alert(pairs: DataFrame) -> DataFrame:
+    """Of each actual's alert pairs the one with the newest prediction.
+
+    A second stateful operator behind the interval join: an actual's pairs are
+    held as one running maximum until the watermark has passed it, when no
+    prediction before it can come any more (append mode, state is freed).
+    """
+    hit = F.struct(F.unix_micros("p_ts").alias("p_us"), "pred_id", "predicted", "actual", "score")
+    one = pairs.select("act_id", "a_ts", hit.alias("hit"))
+    return one.groupBy("act_id", "a_ts").agg(F.max("hit").alias("hit")).select(
+        "act_id", "a_ts", F.timestamp_micros("hit.p_us").alias("p_ts"), "hit.pred_id", "hit.predicted", "hit.actual", "hit.score")
+
+
 def stream_usage(sdf: DataFrame, user: str, ts: str, period: str = "1 day",
                  watermark: str = "1 day") -> DataFrame:
     """M5: per-user event counts in calendar windows (day/week/month length

@@ -36,3 +36,52 @@ def test_stream_runs_equal_batch(spark):
     b = {(r["user_id"], r["run_id"]): (r["n_elements"], round(r["total_value"], 6), round(r["max_value"], 6))
          for r in batch.collect()}
     assert a == b and len(a) > 100
+
+
+def _staged(spark, rows, schema, n, part):
+    df = spark.createDataFrame(rows, schema)
+    folder = SR.stage_files(df, part, n)
+    SR.complete(spark, folder, df.schema, "ts")
+    return df, folder
+
+
+def test_rows_out_of_order_over_files_equal_batch(spark):
+    """Rows up to two hours out of order split and merge runs; any features; std near 1e9."""
+    import random
+    from datetime import datetime, timedelta
+    rng = random.Random(7)
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, t0 + timedelta(seconds=i * 90, microseconds=i), rng.randrange(4), rng.choice("aab") if i % 9 else None,
+             1e9 + rng.random() if i % 11 else None) for i in range(900)]
+    place = {i: min(2, max(0, int((i * 90 + rng.randrange(-3000, 3000)) // 27000))) for i in range(900)}
+    schema = "id bigint, ts timestamp, user bigint, kind string, value double"
+    part = F.element_at(F.create_map(*[F.lit(x) for kv in place.items() for x in kv]), F.col("id"))
+    df, folder = _staged(spark, rows, schema, 3, part)
+    specs = SPECS + [spec("direct", "std", "value", title="s"), spec("direct", "mode", "value", title="m"),
+                     spec("direct", "hour", "ts", index="first", title="h"), spec("direct", "sum", "value", index="last", title="l")]
+    got = SR.stream_features_to_table(spark, folder, df.schema, specs, "user", ["kind"], "ts", "id", delay="2 hours", late=False)
+    want = features_by_run(df, specs, ["kind"], ["ts", "id"], "ts", "id", partition_by=["user"], bucket="day")
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_idle_runs_close_and_late_rows_are_worked_in(spark):
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, t0 + timedelta(hours=i), i % 2, "a", float(i)) for i in range(40)] + [(100, t0 + timedelta(minutes=90), 0, "b", 5.0)]
+    part = F.when(F.col("id") < 20, 0).when(F.col("id") < 40, 1).otherwise(2)  # row 100 comes days late
+    df, folder = _staged(spark, rows, "id bigint, ts timestamp, user bigint, kind string, value double", 3, part)
+    want = features_by_run(df, SPECS, ["kind"], ["ts", "id"], "ts", "id", partition_by=["user"], bucket="day")
+    got = SR.stream_features_to_table(spark, folder, df.schema, SPECS, "user", ["kind"], "ts", "id", delay="1 hour")
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    # a run ends where its entity is silent for 90 minutes: each row of two hours is its own
+    idle = SR.stream_features_to_table(spark, folder, df.schema, SPECS, "user", ["kind"], "ts", "id", delay="0 seconds",
+                                       idle_seconds=5400, late=False)
+    assert idle.count() == 40
+
+
+def test_a_batch_written_twice_stays_once(spark):
+    from cadence.session import scratch_path
+    path = scratch_path(spark, "twice")
+    for epoch in (0, 1, 1, 0):
+        SR.write_batch(spark.range(5).withColumn("epoch", F.lit(epoch)), epoch, path)
+    assert SR.read_batches(spark, path, spark.range(1).withColumn("epoch", F.lit(1)).schema).count() == 10
