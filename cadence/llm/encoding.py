@@ -39,6 +39,9 @@ CACHE = 1_200_000
 #: Remembered strings are at most this long.
 CACHE_CHARS = 64
 
+#: Neighbours in a fresh linked list, for short pre-tokens.
+AFTER, BEFORE = list(range(1, 257)), list(range(-1, 255))
+
 
 class RankQueue:
     """Buckets of positions by rank under a bitmap of ``WIDTH``-bit words and a
@@ -95,36 +98,67 @@ class Vocabulary:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        pairs, queue = self.pairs, self.queue
-        push, pop = queue.push, queue.pop
+        # the steps of RankQueue.push and RankQueue.pop stand here in line: most pre-tokens are short,
+        # and calls would take longer than the steps
+        pair_rank, bits = self.pairs.get, RankQueue.BITS
+        buckets, words, top = self.queue.buckets, self.queue.words, 0
         ids = [self.single[b] for b in piece]
         n = len(ids)
-        right = list(range(1, n + 1))
-        left = list(range(-1, n - 1))
-        for i, pair in enumerate(zip(ids, ids[1:])):
-            r = pairs.get(pair)
+        if n < len(AFTER):
+            right, left = AFTER[:n], BEFORE[:n]
+        else:
+            right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        for i, r in enumerate(map(pair_rank, zip(ids, ids[1:]))):
             if r is not None:
-                push(r, i)
-        while queue.top:
-            rank, positions = pop()
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    w = r >> 8
+                    if not words[w]:
+                        top |= bits[w] if w < 256 else 1 << w
+                    words[w] |= bits[r & 255]
+        while top:
+            w = (top & -top).bit_length() - 1
+            word = words[w]
+            low = word & -word
+            words[w] = word = word ^ low
+            if not word:
+                top ^= 1 << w
+            rank = (w << 8) | (low.bit_length() - 1)
+            positions = buckets.pop(rank)
             if len(positions) > 1:
                 positions.sort()
             for i in positions:
                 j = right[i]
-                if j >= n or pairs.get((ids[i], ids[j])) != rank:
+                if j >= n or pair_rank((ids[i], ids[j])) != rank:
                     continue  # stale: one of the two has been merged since
                 ids[i], ids[j] = rank, -1
                 k = right[i] = right[j]
+                h = left[i]
                 if k < n:
                     left[k] = i
-                    r = pairs.get((rank, ids[k]))
+                    r = pair_rank((rank, ids[k]))
                     if r is not None:
-                        push(r, i)
-                h = left[i]
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            buckets[r] = [i]
+                            w = r >> 8
+                            if not words[w]:
+                                top |= 1 << w
+                            words[w] |= bits[r & 255]
                 if h >= 0:
-                    r = pairs.get((ids[h], rank))
+                    r = pair_rank((ids[h], rank))
                     if r is not None:
-                        push(r, h)
+                        if r in buckets:
+                            buckets[r].append(h)
+                        else:
+                            buckets[r] = [h]
+                            w = r >> 8
+                            if not words[w]:
+                                top |= 1 << w
+                            words[w] |= bits[r & 255]
         return tuple([x for x in ids if x >= 0])
 
     def encode(self, text: str) -> list[int]:
