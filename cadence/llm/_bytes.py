@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
+#: Bytes of the longest string that is hashed by a rolling sum.
+SHORT = 64
+_KEY = b"cadence strings"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -64,7 +68,19 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of ``data[s:e]`` for each pair, equal for equal strings
-    wherever they lie (differences of a rolling sum, moved back to power 0)."""
+    wherever they lie: differences of a rolling sum, moved back to power 0, for
+    short strings; a keyed digest for those of more than ``SHORT`` bytes, since
+    sums modulo a power of two are alike for some pairs of long ones."""
+    out = _short_hashes(data, starts, ends)
+    long = np.flatnonzero(ends - starts > SHORT)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = np.frombuffer(b"".join([blake2b(view[s:e], digest_size=8, key=_KEY).digest()
+                                            for s, e in zip(starts[long].tolist(), ends[long].tolist())]), "<u8")
+    return out
+
+
+def _short_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _power_tables(len(data) + 1)
     sums = np.empty(len(data) + 1, U64)
     sums[0] = 0

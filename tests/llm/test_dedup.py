@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from cadence.llm import near_dedup, suffix_dedup
+from cadence.llm import _bytes, near_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, rest string"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -203,3 +203,23 @@ def test_empty_table(spark):
     assert near_dedup.drop_near_duplicates(none).count() == 0
     assert suffix_dedup.repeated_spans(none).count() == 0
     assert suffix_dedup.drop_repeats(none).count() == 0
+
+
+def test_strings_that_rolling_sums_confuse(spark):
+    """Thue-Morse words of two letters are alike modulo any power of two; they are different words and pieces."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    assert len(a) == 1024 and a != b
+    data = np.frombuffer((a + b + a).encode(), np.uint8)
+    h = _bytes.slice_hashes(data, np.array([0, 1024, 2048]), np.array([1024, 2048, 3072]))
+    assert h[0] == h[2] != h[1]
+    rows = [(0, f"{a} {a} {b} {a}"), (1, f"{b} {b} {a} {b}"), (2, f"{a} {a} {b} {a}")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle_words=4, percent=80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 1), (2, 0)]
+
+
+def test_kept_is_the_row_of_its_component(spark):
+    rows = [(7, "one two three four five"), (7, "one two three four five"), (9, "one two three four five"), (3, "other words")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle_words=4, percent=80).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (7, 7, True), (7, 7, True), (9, 7, False)]
