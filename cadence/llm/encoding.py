@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -79,6 +79,20 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
+class Pretokens(dict):
+    """Ids of the pre-tokens met so far; a new one is encoded where it is asked for, and kept if short."""
+
+    def __init__(self, encode: Callable[[bytes], tuple[int, ...]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.encode(piece.encode())
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class Vocabulary:
     """Merge ranks of a byte-level vocabulary; ids are the ranks."""
 
@@ -91,7 +105,7 @@ class Vocabulary:
         self.pairs = {(x, y): r for t, r in ranks.items() for i in range(1, len(t))
                       if (x := ranks.get(t[:i])) is not None and (y := ranks.get(t[i:])) is not None}
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.pretokens: dict[str, tuple[int, ...]] = {}
+        self.pretokens = Pretokens(self.encode_bytes)
 
     def encode_bytes(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -162,19 +176,10 @@ class Vocabulary:
         return tuple([x for x in ids if x >= 0])
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.pattern.findall(text)
         known = self.pretokens
         if len(known) > CACHE:
             known.clear()
-        long = []
-        for piece in set(pieces).difference(known):
-            known[piece] = self.encode_bytes(piece.encode())
-            if len(piece) > CACHE_CHARS:
-                long.append(piece)
-        ids = list(chain.from_iterable(map(known.__getitem__, pieces)))
-        for piece in long:
-            del known[piece]
-        return ids
+        return list(chain.from_iterable(map(known.__getitem__, self.pattern.findall(text))))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
