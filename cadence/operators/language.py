@@ -178,22 +178,39 @@ def detect_language(df: DataFrame, id_col: str, text: str, probs: DataFrame,
                     n.alias("n_grams"))
 
 
+def _stacked_languages(df: DataFrame, id_col: str, cols: list[str], probs: DataFrame, detector=None) -> DataFrame:
+    """``(row id, column, lang)`` of every text of ``cols``, in one detection."""
+    detector = detector or (lambda d, i, t, p: detect_language(d, i, t, p))
+    stacked = df.select(F.col(id_col).alias("__id"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("txt")) for c in cols])).alias("kv")) \
+        .select("__id", F.concat_ws("|", F.col("kv.column"), F.col("__id").cast("string")).alias("__rid"),
+                F.col("kv.column").alias("column"), F.col("kv.txt").alias("txt"))
+    det = detector(stacked.select("__rid", "txt"), "__rid", "txt", probs)
+    return stacked.join(det.select("__rid", "lang"), "__rid", "left").select(
+        "__id", "column", F.coalesce("lang", F.lit("INV")).alias("lang"))
+
+
 def language_stats(df: DataFrame, id_col: str, cols: list[str], probs: DataFrame,
-                   detector=None) -> DataFrame:
-    """K7: per text column and language, the number of rows (``column, lang, n``).
+                   detector=None, overall: bool = False) -> DataFrame:
+    """K7: per text column and language, the number of rows (``column, lang, n``);
+    ``overall`` adds those of each language over all columns (null ``column``),
+    from the same pass.
 
     ``detector`` (N6) is any callable ``(df, id_col, text_col, probs) -> (id, lang)``;
     failures/no grams are counted as ``INV``.
     """
-    detector = detector or (lambda d, i, t, p: detect_language(d, i, t, p))
-    stacked = df.select(id_col, F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
-                                                               F.col(c).cast("string").alias("txt"))
-                                                     for c in cols])).alias("kv")) \
-        .select(F.concat_ws("|", F.col("kv.column"), F.col(id_col).cast("string")).alias("__rid"),
-                F.col("kv.column").alias("column"), F.col("kv.txt").alias("txt"))
-    det = detector(stacked.select("__rid", "txt"), "__rid", "txt", probs)
-    j = stacked.join(det.select("__rid", "lang"), "__rid", "left")
-    return j.groupBy("column", F.coalesce("lang", F.lit("INV")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    found = _stacked_languages(df, id_col, cols, probs, detector)
+    if overall:
+        c, lg = F.col("column"), F.col("lang")
+        return found.groupingSets([[c, lg], [lg]], c, lg).agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy("column", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_languages(df: DataFrame, id_col: str, cols: list[str], probs: DataFrame, detector=None) -> DataFrame:
+    """K7: ``df`` with ``<col>.lng`` beside each text column of ``cols`` (ids are unique)."""
+    found = _stacked_languages(df, id_col, cols, probs, detector)
+    wide = found.groupBy("__id").agg(*[F.max(F.when(F.col("column") == c, F.col("lang"))).alias(f"{c}.lng") for c in cols])
+    return df.join(wide, df[id_col] == wide["__id"], "left").drop("__id")
 
 
 # Language code -> name for the languages profiled here.

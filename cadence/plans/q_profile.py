@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadence.operators import encodings as I
@@ -242,3 +243,34 @@ def q_profile_table(spark, sf_dir):
     """J1 on customer: freq for text, histograms for numbers, target types."""
     p = J.profile(table(spark, sf_dir, "customer"))
     return p.select("column", "kind", "key", F.round("value", 9).alias("value"), "target_type")
+
+
+_TAIL = "(SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 0 THEN o_totalprice * 1e12 ELSE round(o_totalprice / 50000) END AS price FROM orders)"
+
+
+@register("histogram_fallback", _FREQ_SQL.format(tab=_TAIL + " t", col="price").replace("CAST(price AS VARCHAR)", "CAST(CAST(price AS BIGINT) AS VARCHAR)"))
+def q_histogram_fallback(spark, sf_dir):
+    """A column whose far values would need more bins than the bound is told by its frequencies."""
+    o = table(spark, sf_dir, "orders")
+    far = F.col("o_totalprice") * 1e12
+    x = o.select(F.when(F.col("o_orderkey") % 997 == 0, far).otherwise(F.round(F.col("o_totalprice") / 50000)).cast("bigint").alias("price"))
+    h = J.hist_or_freq(x, "price")
+    other = F.col("key").startswith("other")
+    return h.withColumn("o", other).withColumn("rank", F.row_number().over(Window.partitionBy("kind", "o").orderBy(F.col("value").desc(), "key"))) \
+        .select("key", F.round("value", 6).alias("share"), F.when(F.col("o"), 0).otherwise(F.col("rank")).cast("bigint").alias("rank"))
+
+
+@register("exact_quartiles", """
+SELECT c AS "column", round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.999), 6) AS q999
+FROM (SELECT 'price' AS c, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'quantity', l_quantity FROM lineitem
+      UNION ALL SELECT 'tail', CASE WHEN l_orderkey % 100 = 0 THEN l_extendedprice * 1e9 ELSE l_discount END FROM lineitem)
+GROUP BY c
+""")
+def q_exact_quartiles(spark, sf_dir):
+    """Exact quantiles of several columns together, one of them with a heavy tail."""
+    li = table(spark, sf_dir, "lineitem")
+    x = li.select(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"),
+                  F.when(F.col("l_orderkey") % 100 == 0, F.col("l_extendedprice") * 1e9).otherwise(F.col("l_discount")).alias("tail"))
+    got = J.exact_quantiles_of(x, {c: [0.25, 0.5, 0.999] for c in x.columns})
+    return spark.createDataFrame([(c, *[round(float(v), 6) for v in q]) for c, (q, _) in got.items()],
+                                 "column string, q25 double, q50 double, q999 double")

@@ -231,6 +231,41 @@ def q_language_stats(spark, sf_dir):
     return s.select("column", "lang", F.col("n").cast("bigint").alias("n"))
 
 
+_CONV_TWO = """(SELECT conv_id * 1000000 + turn * 10 + 1 AS cid, text FROM conversations UNION ALL
+SELECT conv_id * 1000000 + turn * 10 + 2, role || ' ' || role FROM conversations)"""
+
+
+@register("language_stats_overall", "WITH " + _d_profiles() + "," + _d_detect(_CONV_TWO, "cid", "text") + """,
+one AS (SELECT CASE WHEN k % 10 = 1 THEN 'text' ELSE 'roles' END AS "column", lang FROM det)
+SELECT "column", lang, CAST(count(*) AS BIGINT) AS n FROM one GROUP BY GROUPING SETS (("column", lang), (lang))
+""")
+def q_language_stats_overall(spark, sf_dir):
+    """K7: languages by column and over both columns, from one detection."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("cid"), "text",
+                                                     F.concat_ws(" ", "role", "role").alias("roles"))
+    return K.language_stats(c, "cid", ["text", "roles"], _probs(spark, sf_dir), overall=True)
+
+
+@register("row_languages", "WITH " + _d_profiles() + "," + _d_detect(_CONV_SRC, "cid", "text") + """
+SELECT k AS cid, lang AS text_lng FROM det
+""")
+def q_row_languages(spark, sf_dir):
+    """K7: the language of each row beside its text."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("cid"), "text")
+    return K.with_languages(c, "cid", ["text"], _probs(spark, sf_dir)).select("cid", F.col("`text.lng`").alias("text_lng"))
+
+
+@register("language_stats_own_detector", """
+SELECT 'text' AS "column", CASE WHEN contains(text, 'é') THEN 'accents' ELSE 'INV' END AS lang, CAST(count(*) AS BIGINT) AS n
+FROM documents GROUP BY ALL
+""")
+def q_language_stats_own_detector(spark, sf_dir):
+    """A detector of the user's; rows for which it has no answer count as INV."""
+    def detector(d, i, t, probs):
+        return d.filter(F.col(t).contains("é")).select(i, F.lit("accents").alias("lang"))
+    return K.language_stats(table(spark, sf_dir, "documents"), "doc_id", ["text"], None, detector)
+
+
 _NAMES_SQL = ", ".join(f"('{k}', '{v}')" for k, v in sorted(K.LANGUAGE_NAMES.items()))
 
 
