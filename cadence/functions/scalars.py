@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,6 +108,35 @@ def flatten_json(df: DataFrame, col: str, schema: T.StructType | str, sep: str =
     return parsed.select(*[F.col(f"`{c}`") for c in df.columns if c != col], *cols)
 
 
+def flatten_any_json(df: DataFrame, col: str, sep: str = ".") -> DataFrame:
+    """H8 without a schema: one aggregate over all rows finds every key that any
+    row has (as Variant) and the longest array at each place; nested fields and
+    array items become dotted columns. Rows lack what they do not have; texts
+    that are no JSON have nulls throughout. A key that holds different kinds is
+    a text column.
+    """
+    found = df.agg(F.schema_of_variant_agg(F.try_parse_json(col))).first()[0] or "VOID"
+    kind = re.sub(r"\b(VOID|VARIANT)\b", "STRING", found.replace("OBJECT<", "STRUCT<"))
+    if not kind.startswith(("STRUCT", "ARRAY")):
+        return df.drop(col)
+    parsed = df.withColumn("__j", F.from_json(F.col(col), kind))
+
+    def places(prefix: list[str], dtype: T.DataType, path: Column, out: list) -> list:
+        if isinstance(dtype, T.StructType):
+            for f in dtype.fields:
+                places([*prefix, f.name], f.dataType, path.getField(f.name), out)
+        elif isinstance(dtype, T.ArrayType):
+            n = parsed.agg(F.max(F.size(path))).first()[0] or 0
+            for i in range(max(n, 0)):
+                places([*prefix, str(i)], dtype.elementType, F.get(path, F.lit(i)), out)
+        else:
+            out.append(path.alias(sep.join(prefix)))
+        return out
+
+    cols = places([col], parsed.schema["__j"].dataType, F.col("__j"), [])
+    return parsed.select(*[F.col(f"`{c}`") for c in df.columns if c != col], *cols)
+
+
 def flatten_array(arr) -> Column:
     """Flatten an array of arrays."""
     return F.flatten(_c(arr))

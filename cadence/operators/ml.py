@@ -7,6 +7,8 @@ aggregates; only one-row statistics reach the driver.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
@@ -228,7 +230,7 @@ def feature_importance(model, names: list[str], df: DataFrame | None = None) ->
         if df is not None:
             r = df.agg(*[F.stddev_pop(n).alias(f"s{i}") for i, n in enumerate(names)]).first()
             coef = [c * (r[f"s{i}"] or 0.0) for i, c in enumerate(coef)]
-        imp = coef
+        imp = [abs(c) for c in coef]
     else:
         return [(n, float("nan")) for n in names]
     out = [(n, float(v)) for n, v in zip(names, imp)]
@@ -236,6 +238,15 @@ def feature_importance(model, names: list[str], df: DataFrame | None = None) ->
     return out
 
 
+def ensemble_importance(models: list[tuple[float, object]], names: list[str], df: DataFrame | None = None) -> list[tuple[str, float]]:
+    """Over weighted models ``(weight, model)``, the mean of weight times
+    importance; models without importances do not count."""
+    found = [(w, [v for _, v in feature_importance(m, names, df)]) for w, m in models]
+    found = [(w, v) for w, v in found if not all(math.isnan(x) for x in v)]
+    return [(n, sum(w * (0.0 if math.isnan(v[i]) else v[i]) for w, v in found) / len(found) if found else float("nan"))
+            for i, n in enumerate(names)]
+
+
 # ------------------------------------------------------------------ NearestCentroid
 def nearest_centroid(train: DataFrame, test: DataFrame, vec: str, label: str, id_col: str) -> DataFrame:
     """Centroid (mean vector) per label from ``train``; each ``test`` vector

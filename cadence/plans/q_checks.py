@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadence.functions import features
 from cadence.functions import scalars as H
 from cadence.functions.features import compile_features, spec
 from cadence.operators import cleaning as B
 from cadence.operators import ml as L
 from cadence.operators import profiling as J
-from cadence.operators import targets
+from cadence.operators import runs, targets
+from cadence.plans import q_text
 from cadence.plans.registry import register, table
 from cadence.sources import readers
 
@@ -159,3 +161,116 @@ def q_logistic_balance(spark, sf_dir):
     p = L.score(t, L.estimator("LogisticRegression", tol=1e-12, maxIter=300).fit(t), "proba")
     return p.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 3).alias("mean_p"),
                  F.round(F.avg(F.col("score") * F.col("x")), 3).alias("mean_px"))
+
+
+@register("json_flatten_any", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS "j.k",
+  CASE WHEN event_id % 3 = 1 THEN event_type END AS "j.of.kind", CASE WHEN event_id % 3 = 1 THEN user_id END AS "j.of.user",
+  CASE WHEN event_id % 3 = 2 THEN user_id END AS "j.list.0.n", CASE WHEN event_id % 3 = 2 AND event_id % 2 = 0 THEN event_id END AS "j.list.1.n"
+FROM events
+""")
+def q_json_flatten_any(spark, sf_dir):
+    """H8: keys differ by row and nobody gives a schema; nested objects and arrays become columns."""
+    ev = table(spark, sf_dir, "events")
+    bare = F.substring("props", 2, 1_000_000)
+    of = F.format_string('{"of": {"kind": "%s", "user": %d}, ', "event_type", "user_id")
+    one = F.format_string('{"n": %d}', "user_id")
+    two = F.when(F.col("event_id") % 2 == 0, F.format_string(', {"n": %d}', "event_id")).otherwise("")
+    j = F.when(F.col("event_id") % 3 == 1, F.concat(of, bare)).when(
+        F.col("event_id") % 3 == 2, F.concat(F.lit('{"list": ['), one, two, F.lit("], "), bare)).otherwise(F.col("props"))
+    return H.flatten_any_json(ev.select("event_id", j.alias("j")), "j")
+
+
+@register("collection_fields", """
+WITH v AS (SELECT DISTINCT p_brand AS value FROM part WHERE p_brand IS NOT NULL),
+r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS n FROM v)
+SELECT p_partkey, p_size, """ + ", ".join(f"CAST((n >> {7 - i}) & 1 AS INTEGER) AS p_brand{i}" for i in range(8)) + """
+FROM part JOIN r ON p_brand = value
+""")
+def q_collection_fields(spark, sf_dir):
+    """A collection read with field flags; the encoded field comes as the bits of its code."""
+    import uuid
+
+    from cadence.operators import encodings
+    from cadence.session import scratch_path
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_id"), "p_partkey", "p_brand", F.col("p_size").cast("int"))
+    path = scratch_path(spark, f"coll-{uuid.uuid4().hex[:12]}")
+    part.write.parquet(path)
+    brands = encodings.build_dictionary(part, "p_brand")
+    return readers.read_collection(spark, path, ["p_partkey", {"name": "p_brand", "type": "str", "encoding": "binaryintid"}],
+                                   dictionaries={"p_brand": brands})
+
+
+@register("run_groups_column_key", """
+WITH e AS (SELECT event_id, user_id, ts, floor(value / 20) AS k FROM events),
+c AS (SELECT *, CASE WHEN k IS NOT DISTINCT FROM lag(k) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS chg
+      FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, user_id, CAST(sum(chg) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS run_id
+FROM c
+""")
+def q_run_groups_column_key(spark, sf_dir):
+    """Runs by a grouping function of the user's, any Column over the row."""
+    ev = table(spark, sf_dir, "events")
+    r = runs.run_ids(ev, [F.floor(F.col("value") / 20)], ["ts", "event_id"], partition_by=["user_id"], bucket="adaptive:day")
+    return r.select("event_id", "user_id", "run_id")
+
+
+def value_spread(pdf):
+    """A custom feature: the spread of a run's values."""
+    import pandas as pd
+    v = pdf["value"].fillna(0.0)
+    return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "run_id": [pdf["run_id"].iloc[0]], "value_spread": [round(v.max() - v.min(), 6)]})
+
+
+@register("custom_feature_name", """
+WITH c AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS chg
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS run_id FROM c)
+SELECT user_id, CAST(run_id AS BIGINT) AS run_id, round(max(coalesce(value, 0)) - min(coalesce(value, 0)), 6) AS value_spread
+FROM r GROUP BY user_id, run_id
+""")
+def q_custom_feature_name(spark, sf_dir):
+    """A custom feature without a title is named by its function."""
+    title = features.custom_feature_title(value_spread)
+    return runs.custom_run_features(table(spark, sf_dir, "events"), value_spread, f"user_id bigint, run_id bigint, {title} double",
+                                    ["event_type"], ["ts", "event_id"], partition_by=["user_id"], bucket="adaptive:day")
+
+
+@register("common_features", """
+SELECT user_id, round(sum(coalesce(value, 0)), 6) AS total, CAST(count(*) AS DOUBLE) AS n, round(max(coalesce(value, 0)), 6) AS top,
+  round(min(coalesce(value, 0)), 6) AS low, 'a,b' AS common_targets
+FROM events GROUP BY user_id
+""")
+def q_common_features(spark, sf_dir):
+    """Features that two targets share are computed once, under both targets."""
+    total, n = features.spec("direct", "sum", "value", title="total"), features.spec("direct", "count", "value", title="n")
+    by = features.dedupe_specs({"a": [total, n, features.spec("direct", "max", "value", title="top")],
+                                "b": [total, features.spec("direct", "min", "value", title="low"), n]})
+    shared = sorted({t for s in by["common"] for t in s["_targets"]})
+    out = runs.features_by_key(table(spark, sf_dir, "events"), by["common"] + by["a"] + by["b"], ["user_id"])
+    return out.select("user_id", *[F.round(c, 6).alias(c) for c in ("total", "n", "top", "low")], F.lit(",".join(shared)).alias("common_targets"))
+
+
+@register("ensemble_importance", """
+WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_slope(-l_extendedprice, l_quantity) AS b, stddev_pop(l_quantity) AS sd FROM lineitem)
+SELECT round((0.75 * abs(a) * sd + 0.25 * abs(b) * sd) / 2, 3) AS importance FROM s
+""")
+def q_ensemble_importance(spark, sf_dir):
+    """Mean of weight times importance over two fits, one with a falling slope."""
+    li = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("label"))
+    fit = lambda d: L.search_model(d, ["l_quantity"], "label", "LinearRegression", {"regParam": [0.0]}, "regression", "l_quantity")[0]
+    (_, imp), = L.ensemble_importance([(0.75, fit(li)), (0.25, fit(li.withColumn("label", -F.col("label"))))], ["l_quantity"], li)
+    return spark.createDataFrame([(round(imp, 3),)], "importance double")
+
+
+@register("profile_languages", "WITH " + q_text._d_profiles() + "," + q_text._d_detect(
+    "(SELECT conv_id * 1000000 + turn * 10 + 1 AS cid, text FROM conversations UNION ALL "
+    "SELECT conv_id * 1000000 + turn * 10 + 2, role FROM conversations)", "cid", "text") + """
+SELECT CASE WHEN k % 10 = 1 THEN 'text' ELSE 'role' END AS "column", lang AS key, CAST(count(*) AS DOUBLE) AS value, 'multiclass' AS target_type
+FROM det GROUP BY ALL
+""")
+def q_profile_languages(spark, sf_dir):
+    """The languages part of a table's summary: its text columns that are not binary."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("cid"), "role", "text")
+    p = J.profile(c, languages=q_text._probs(spark, sf_dir), id_col="cid")
+    return p.filter("kind = 'languages'").select("column", "key", "value", "target_type")

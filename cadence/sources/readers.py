@@ -45,23 +45,43 @@ def read_object_store(spark: SparkSession, uri: str, max_rows: int | None = None
     return dropna_any(inf_to_null(df))
 
 
-def read_collection(spark: SparkSession, name_or_path: str, fields: list[str] | None = None,
-                    id_col: str = "_id", fmt: str = "parquet") -> DataFrame:
+def read_collection(spark: SparkSession, name_or_path: str, fields: list[str | dict] | None = None,
+                    id_col: str = "_id", fmt: str = "parquet", dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:
     """A3: a stored collection (catalog table or parquet path).
 
     Rows with a null token in any (declared) field are dropped, the id column
-    is removed, then ±Inf -> null and rows with nulls dropped.
+    is removed, then ±Inf -> null and rows with nulls dropped. ``fields`` are
+    names or flags ``{name, encoding}``; a field with the encoding
+    ``binaryintid`` becomes the bits of its code (A15): of its dictionary's
+    code if ``dictionaries`` has one for it, else of the code it holds.
     """
     # a path has a slash or a scheme; anything else, dots included, is a catalog name
     if "/" in name_or_path or ":" in name_or_path:
         df = spark.read.format(fmt).load(name_or_path)
     else:
         df = spark.table(name_or_path)
-    cols = fields or [c for c in df.columns if c != id_col]
+    flags = [{"name": f} if isinstance(f, str) else f for f in fields or []]
+    cols = [f["name"] for f in flags] or [c for c in df.columns if c != id_col]
     df = drop_null_tokens(df, cols)
     if id_col in df.columns:
         df = df.drop(id_col)
-    return dropna_any(inf_to_null(df))
+    return encode_fields(dropna_any(inf_to_null(df)), flags, dictionaries)
+
+
+def encode_fields(df: DataFrame, fields: list[dict], dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Expand the fields whose flags name an encoding into bit columns."""
+    from cadence.operators import encodings
+
+    for f in fields:
+        kind = (f.get("encoding") or "").lower()
+        if not kind or f["name"] not in df.columns:
+            continue
+        if kind != "binaryintid":
+            raise ValueError(f"unknown encoding {kind!r} for {f['name']}")
+        if dictionaries and f["name"] in dictionaries:
+            df, _ = encodings.encode(df, f["name"], dictionaries[f["name"]])
+        df = encodings.expand_bits(df, f["name"])
+    return df
 
 
 def read_frame(spark: SparkSession, frame) -> DataFrame:
