@@ -30,6 +30,9 @@ Semantics per group (documented in the survey, §2.D):
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import copy
 import math
 from dataclasses import dataclass
@@ -318,6 +321,71 @@ def compile_features(specs: list[dict], schema: T.StructType,
     return list(seen.values())
 
 
+class Mergeable(NamedTuple):
+    """A feature of a part of a group that can be put together with those of
+    other parts: ``partial`` aggregates a part's rows, ``merge`` the partials
+    (given an order of the parts), ``final`` makes the feature of the result."""
+
+    title: str
+    partial: Column
+    merge: Callable[[Column, Column], Column]
+    final: Callable[[Column], Column]
+
+
+def _merge_moments(p: Column, order: Column) -> Column:
+    """Count, mean and sum of squared deviations of parts, put together pairwise."""
+    def add(a: Column, b: Column) -> Column:
+        n = a.n + b.n
+        d = b.mean - a.mean
+        return F.struct(n.alias("n"), (a.mean + d * b.n / n).alias("mean"), (a.m2 + b.m2 + d * d * a.n * b.n / n).alias("m2"))
+
+    parts = F.collect_list(p)  # of one group: one for each bucket that it reaches into
+    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, 1), add)
+
+
+def mergeable_features(specs: list[dict], schema: T.StructType, edges: tuple[Column, Column]) -> list[Mergeable] | None:
+    """The features of ``specs`` by parts, or None if one of them needs all rows
+    of a group at once. ``edges`` are true on a part's first and last row."""
+    comp = FeatureCompiler(schema, edges=edges)
+    out: dict[str, Mergeable] = {}
+    for s in map(normalize_spec, specs):
+        op, idx = s["name"], s.get("index")
+        if s["type"] not in ("direct", "recursive") or not isinstance(s.get("key"), str) or op not in AGG_OPS + ELEM_OPS:
+            return None
+        x, kind = comp._field(s["key"])
+        v0 = _v0(x, kind)
+        pair = lambda v: F.struct(F.sum(v).alias("s"), F.count(v).alias("n"))
+        add = lambda p, o: F.struct(F.sum(p.s).alias("s"), F.sum(p.n).alias("n"))
+        if idx in ("first", "last"):
+            def final(p, op=op, kind=kind):
+                if op in ELEM_OPS:
+                    col, k = _elem(op, p.x, kind)
+                    return _collapse(_Compiled(col, True, k))
+                return _agg_of_one(op, _v0(p.x, kind))
+            m = (F.max(F.when(edges[idx == "last"], F.struct(x.alias("x")))),
+                 (lambda p, o: F.min_by(p, o)) if idx == "first" else (lambda p, o: F.max_by(p, o)), final)
+        elif idx is not None:
+            return None
+        elif op in ELEM_OPS:
+            col, k = _elem(op, x, kind)
+            m = pair(_numeric(col, k)), add, lambda p: F.coalesce(p.s / p.n, F.lit(0.0))
+        elif op in ("sum", "max", "min"):
+            f = {"sum": F.sum, "max": F.max, "min": F.min}[op]
+            m = f(v0), lambda p, o, f=f: f(p), lambda p: p
+        elif op == "count":
+            m = F.count(F.lit(1)), lambda p, o: F.sum(p), lambda p: p
+        elif op == "mean":
+            m = pair(v0), add, lambda p: p.s / p.n
+        elif op == "std":
+            n = F.count(v0).cast("double")
+            m = (F.struct(n.alias("n"), F.avg(v0).alias("mean"), (F.var_pop(v0) * n).alias("m2")), _merge_moments,
+                 lambda p: F.sqrt(p.m2 / p.n))
+        else:
+            return None
+        out.setdefault(feature_title(s), Mergeable(feature_title(s), *m))
+    return list(out.values())
+
+
 def dedupe_specs(specs_by_target: dict[str, list[dict]]) -> dict[str, list[dict]]:
     """Common-feature elimination.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadence.functions.features import compile_features
+from cadence.functions.features import Mergeable, compile_features, mergeable_features
 
 _B = "__bucket"
 _PK = "__pk"
@@ -181,6 +181,10 @@ def features_by_run(df: DataFrame, specs: list[dict], keys, order_by, ts_col: st
     unbounded (a hot key's run is collected into one row).
     """
     parts = list(partition_by or [])
+    if keys and not member_ids:
+        found = _features_by_parts(df, specs, keys, order_by, ts_col, id_col, parts, bucket, run_col)
+        if found is not None:
+            return found
     r = run_ids(df, keys, order_by, parts, bucket, run_col=run_col, flags=True)
     order = F.struct(*_cols(order_by))
     feats = compile_features(specs, df.schema, order=order,
@@ -201,6 +205,54 @@ def features_by_run(df: DataFrame, specs: list[dict], keys, order_by, ts_col: st
                                                      if c not in set(parts) | {run_col} | set(key_cols)])
 
 
+def _features_by_parts(df: DataFrame, specs: list[dict], keys, order_by, ts_col: str, id_col: str, parts: list[str], bucket,
+                       run_col: str) -> DataFrame | None:
+    """``features_by_run`` from one scan and one shuffle of the rows, or None if
+    a feature needs all rows of a run at once.
+
+    The rows of a bucket's local runs are aggregated where the window has put
+    them; one row for each local run is written. Buckets are stitched by their
+    first and last local run, and only runs that reach into another bucket are
+    put together from their parts.
+    """
+    from cadence.session import cut_lineage
+
+    start, end = F.col("__chg") == 1, F.coalesce(F.col("__nchg"), F.lit(1)) == 1
+    feats = mergeable_features(specs, df.schema, (start, end))
+    if feats is None:
+        return None
+    kcols = _cols(keys)
+    key_cols = [k for k in keys if isinstance(k, str)]
+    x = _keyed(with_bucket(df, order_by, bucket, parts), parts)
+    x = x.withColumn("__k", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(kcols)]))
+    w = Window.partitionBy(_PK).orderBy(*_cols(order_by))
+    x = x.withColumn("__chg", F.when((F.row_number().over(w) > 1) & F.lag("__k").over(w).eqNullSafe(F.col("__k")), 0).otherwise(1))
+    x = x.withColumn("__local", F.sum("__chg").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))) \
+        .withColumn("__nchg", F.lead("__chg").over(w))
+    first = lambda c, flag=start: F.max(F.when(flag, F.struct(F.col(c).alias("v"))))
+    edge = [Mergeable("_ts", first(ts_col), lambda p, o: F.min_by(p, o), lambda p: p.v),
+            Mergeable("n_elements", F.count(F.lit(1)), lambda p, o: F.sum(p), lambda p: p),
+            Mergeable("first_id", first(id_col), lambda p, o: F.min_by(p, o), lambda p: p.v),
+            Mergeable("last_id", first(id_col, end), lambda p, o: F.max_by(p, o), lambda p: p.v)]
+    every = edge + [f._replace(final=lambda p, g=f.final: g(p).cast("double")) for f in feats]
+    # grouped within the window's own partitions, so without another shuffle
+    seg = cut_lineage(x.groupBy(_PK, "__local", "__k", *parts, *key_cols).agg(*[f.partial.alias(f"__f{i}") for i, f in enumerate(every)]))
+    summ = seg.groupBy(_PK).agg(F.max("__local").alias("__n"), F.min_by("__k", "__local").alias("__first"),
+                                F.max_by("__k", "__local").alias("__last"))
+    wb = Window.partitionBy(f"{_PK}.p").orderBy(f"{_PK}.b")
+    summ = summ.withColumn("__m", F.when(F.lag("__last").over(wb).eqNullSafe(F.col("__first")), 1).otherwise(0))
+    summ = summ.withColumn("__nm", F.coalesce(F.lead("__m").over(wb), F.lit(0))).withColumn(
+        "__off", F.coalesce(F.sum(F.col("__n") - F.col("__m")).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("__m"))
+    j = seg.join(summ.select(_PK, "__n", "__m", "__nm", "__off"), _PK) \
+        .withColumn(run_col, (F.col("__off") + F.col("__local") - 1).cast("bigint"))
+    crosses = ((F.col("__local") == 1) & (F.col("__m") == 1)) | ((F.col("__local") == F.col("__n")) & (F.col("__nm") == 1))
+    group = [*parts, run_col, *key_cols]
+    place = F.struct(F.col(f"{_PK}.b"), F.col("__local"))
+    whole = j.filter(~crosses).select(*group, *[F.col(f"__f{i}") for i in range(len(every))]).unionByName(
+        j.filter(crosses).groupBy(*group).agg(*[f.merge(F.col(f"__f{i}"), place).alias(f"__f{i}") for i, f in enumerate(every)]))
+    return whole.select(*group, *[f.final(F.col(f"__f{i}")).alias(f.title) for i, f in enumerate(every)])
+
+
 def features_global(df: DataFrame, specs: list[dict], order_by=None) -> DataFrame:
     """The whole input as one group (E7): one row of features."""
     order = F.struct(*_cols(order_by)) if order_by else None
