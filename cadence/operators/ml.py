@@ -220,8 +220,8 @@ def regression_report(df: DataFrame, label: str = "label", prediction: str = "pr
 
 # ------------------------------------------------------------------ L11
 def feature_importance(model, names: list[str], df: DataFrame | None = None) -> list[tuple[str, float]]:
-    """Tree importances, or |coefficient| x feature std for linear models
-    (std from one aggregate over ``df``)."""
+    """Tree importances, or coefficient x feature std for linear models, with
+    the coefficient's sign (std from one aggregate over ``df``)."""
     stage = model.stages[-1] if hasattr(model, "stages") else model
     if hasattr(stage, "featureImportances"):
         imp = list(stage.featureImportances.toArray())
@@ -230,7 +230,7 @@ def feature_importance(model, names: list[str], df: DataFrame | None = None) ->
         if df is not None:
             r = df.agg(*[F.stddev_pop(n).alias(f"s{i}") for i, n in enumerate(names)]).first()
             coef = [c * (r[f"s{i}"] or 0.0) for i, c in enumerate(coef)]
-        imp = [abs(c) for c in coef]
+        imp = coef
     else:
         return [(n, float("nan")) for n in names]
     out = [(n, float(v)) for n, v in zip(names, imp)]

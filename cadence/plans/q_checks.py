@@ -253,7 +253,7 @@ def q_common_features(spark, sf_dir):
 
 @register("ensemble_importance", """
 WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_slope(-l_extendedprice, l_quantity) AS b, stddev_pop(l_quantity) AS sd FROM lineitem)
-SELECT round((0.75 * abs(a) * sd + 0.25 * abs(b) * sd) / 2, 3) AS importance FROM s
+SELECT round((0.75 * a * sd + 0.25 * b * sd) / 2, 3) AS importance FROM s
 """)
 def q_ensemble_importance(spark, sf_dir):
     """Mean of weight times importance over two fits, one with a falling slope."""
