@@ -12,7 +12,7 @@ def test_contract():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "suffix_dedup", "mixing", "byte_bpe"]
     import __spark_entry__ as E
 
-    assert {f"op{i}_" for i in range(1, 11)} == {n.split("_")[0] + "_" for n in E.queries() if n[:2] == "op" and n[2].isdigit()}
+    assert {f"op{i}_" for i in range(1, 14)} == {n.split("_")[0] + "_" for n in E.queries() if n[:2] == "op" and n[2].isdigit()}
     assert E.queries()["pipeline"] is corpus_pipeline.run
 
 
