@@ -6,6 +6,8 @@ texts are processed (no prefix cut unless a caller asks for one).
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ RE_MAIL_FAST = RE_MAIL.replace("{1,64}@", "{1,64}+@")
 # N-gram character normalisation.
 LATIN1_EXCLUDED = "\u00a0\u00ab\u00b0\u00bb"       # become spaces
 ROMANIAN_FROM, ROMANIAN_TO = "șț", "şţ"   # comma-below -> cedilla
+# Vietnamese letters that take a tone mark, and the marks (grave,
+# acute, tilde, hook above, dot below); what a pair composes to is Unicode's NFC.
+VI_LETTERS = "AEIOUYaeiouyÂÊÔâêôĂăƠơƯư"
+VI_MARKS = "\u0300\u0301\u0303\u0309\u0323"
+VI_COMPOSED = "".join(unicodedata.normalize("NFC", a + m) for m in VI_MARKS for a in VI_LETTERS)
 FARSI_YEH, ARABIC_YEH = "ی", "ي"
 LATIN_EXT_ADDITIONAL_REP = "ể"                # U+1EA0 and later in that block
 HIRAGANA_REP, KATAKANA_REP, BOPOMOFO_REP, HANGUL_REP = "あ", "ア", "ㄅ", "가"
@@ -86,19 +93,38 @@ def drop_minor_latin(s) -> Column:
     return F.when(latin * 2 < non_latin, F.regexp_replace(t, r"[A-z]", "")).otherwise(t)
 
 
-def normalize_ngram_chars(s, collapse: bool = False) -> Column:
+def compose_vietnamese(s) -> Column:
+    """A Vietnamese letter and the tone mark behind it -> one letter; a mark
+    behind anything else stays. Texts without marks are only scanned once."""
+    t = _c(s)
+
+    def joined(piece: Column) -> Column:
+        at = F.instr(F.lit(VI_LETTERS), F.substring(piece, -2, 1))
+        row = F.instr(F.lit(VI_MARKS), F.substring(piece, -1, 1))
+        one = F.substring(F.lit(VI_COMPOSED), (row - 1) * len(VI_LETTERS) + at, F.lit(1))
+        pair = (F.length(piece) >= 2) & (at > 0) & (row > 0)
+        return F.when(pair, F.concat(F.substring(piece, F.lit(1), F.length(piece) - 2), one)).otherwise(piece)
+
+    pieces = F.split(t, f"(?<=[{VI_MARKS}])")
+    return F.when(t.rlike(f"[{VI_MARKS}]"), F.array_join(F.transform(pieces, joined), "")).otherwise(t)
+
+
+def normalize_ngram_chars(s, collapse: bool = False, cjk_classes: dict[str, str] | None = None) -> Column:
     """Per-character normalisation applied before n-gram extraction.
 
     ``collapse=True`` turns each RUN of space-mapped characters into one
     space: identical n-grams (the window restarts at a space and a space run
     emits nothing) for far fewer regex matches; the standalone function keeps
-    one space per character.
+    one space per character. ``cjk_classes`` gives the character that stands for
+    each ideograph of a class; others, and all without it, stay as they are.
     """
     # basic-latin non-letters, the excluded Latin-1 signs and general
     # punctuation all become spaces: one scan
     to_space = r"[\x{0000}-\x{0040}\x{005B}-\x{0060}\x{007B}-\x{007F}\x{2000}-\x{206F}" + LATIN1_EXCLUDED + "]"
     t = F.regexp_replace(_c(s), to_space + ("+" if collapse else ""), " ")
     t = F.translate(t, ROMANIAN_FROM + FARSI_YEH, ROMANIAN_TO + ARABIC_YEH)
+    if cjk_classes:
+        t = F.translate(t, "".join(cjk_classes), "".join(cjk_classes.values()))
     rare = (F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
         t, r"[\x{1EA0}-\x{1EFF}]", LATIN_EXT_ADDITIONAL_REP),
         r"[\x{3040}-\x{309F}]", HIRAGANA_REP),

@@ -1,33 +1,18 @@
 """Category dictionaries and encodings.
 
 Codes are the reference's ``'1' + 8-bit`` binary strings (H3). A dictionary
-is a DataFrame ``(value, n, code)``; dense sequential numbers come from the
-bucketed position operator (no single-partition window over the values);
-joins against the dictionary are left to AQE, which broadcasts it from its
-measured size.
+is a DataFrame ``(value, n, code)``; dense sequential numbers come from range
+partitions of the distinct values, written once (``numbering``); joins against
+the dictionary are left to AQE, which broadcasts it from its measured size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cadence.functions.scalars import code_to_int, int_to_code
-from cadence.operators.runs import row_positions
-
-
-def _monotone_bucket(df: DataFrame, col: str) -> Column:
-    """A bucket expression non-decreasing in the column's sort order."""
-    dt = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dt, T.StringType):
-        return F.substring(c, 1, 3)
-    if isinstance(dt, T.NumericType):
-        return F.floor(c.cast("double") / F.lit(1_000_000.0))
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.date_trunc("month", c)
-    return F.lit(0)
+from cadence.operators.numbering import dense_numbers
 
 
 def build_dictionary(df: DataFrame, col: str, offset: int = 0,
@@ -37,14 +22,12 @@ def build_dictionary(df: DataFrame, col: str, offset: int = 0,
     Default order is by value; ``order_by`` (e.g. an id or time column)
     numbers values by first appearance instead. Returns ``(value, n, code)``.
     """
+    rows = df.filter(F.col(col).isNotNull())
     if order_by:
-        vals = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")) \
-            .agg(F.min(order_by).alias("__first"))
-        pos = row_positions(vals, ["__first", "value"], bucket=_monotone_bucket(vals, "__first"),
-                            col="__pos")
+        vals = rows.groupBy(F.col(col).alias("value")).agg(F.min(order_by).alias("__first"))
+        pos = dense_numbers(vals, ["__first", "value"], "__pos")
     else:
-        vals = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
-        pos = row_positions(vals, ["value"], bucket=_monotone_bucket(vals, "value"), col="__pos")
+        pos = dense_numbers(rows.select(F.col(col).alias("value")).distinct(), ["value"], "__pos")
     n = (F.col("__pos") + F.lit(offset)).cast("bigint")
     return pos.select("value", n.alias("n"), int_to_code(n).alias("code"))
 

@@ -45,10 +45,11 @@ def word_counts(df: DataFrame, keys: list[str], text: str, detect: bool = False,
     """(keys, padded word, count) after the text pipeline.
 
     ``detect=True`` applies the detector's cleaning (H13, H14) first; the
-    profile trainer sees the raw text. Both then normalise characters (H15).
+    profile trainer sees the raw text. Both then compose Vietnamese letters and
+    normalise characters (H15).
     """
     t = X.detection_text(F.col(text), max_chars) if detect else F.col(text)
-    t = X.normalize_ngram_chars(t, collapse=True)
+    t = X.normalize_ngram_chars(X.compose_vietnamese(t), collapse=True)
     ws = df.select(*keys, F.split(t, " ").alias("__ws"))
     w = ws.select(*keys, F.explode(X.word_paddings("__ws")).alias("pw"))
     return w.groupBy(*keys, "pw").agg(F.count(F.lit(1)).alias("cnt"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadence.functions.features import Mergeable, compile_features, mergeable_features
+from cadence.operators.numbering import dense_numbers
 
 _B = "__bucket"
 _PK = "__pk"
@@ -164,8 +165,12 @@ def row_positions(df: DataFrame, order_by, partition_by=None, bucket=None,
 
 def chunk_ids(df: DataFrame, n: int, order_by, partition_by=None, bucket=None,
               col: str = "chunk_id") -> DataFrame:
-    """Fixed-size chunks of an ordered table (E8): ``floor(pos / n)``."""
-    x = row_positions(df, order_by, partition_by, bucket, col="__pos")
+    """Fixed-size chunks of an ordered table (E8): ``floor(pos / n)``. The whole table
+    is numbered by range partitions, parts of it (or given buckets) by windows."""
+    if partition_by or bucket is not None:
+        x = row_positions(df, order_by, partition_by, bucket, col="__pos")
+    else:
+        x = dense_numbers(df, _cols(order_by), "__pos")
     return x.withColumn(col, F.floor(F.col("__pos") / F.lit(n)).cast("bigint")).drop("__pos")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from cadence.operators import ml as L
 from cadence.operators import synthesis as S
+from cadence.operators.entity_graph import EntityGraph
+from cadence.operators.linear_cv import fit_cross_validated
 from cadence.plans.registry import register, table
 
 _DEEP = {
@@ -232,3 +234,129 @@ def q_predict_all(spark, sf_dir):
     return out.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"),
                       F.round("predicted_l_extendedprice", 4).alias("predicted_l_extendedprice"),
                       F.round("predicted_l_tax", 6).alias("predicted_l_tax"))
+
+
+_RIDGE_PENALTIES = [0.1, 10.0, 1000.0, 100000.0]
+
+
+@register("ridge_cv", """
+WITH x AS (SELECT l_orderkey % 5 AS f, l_quantity AS a, l_tax AS b, l_extendedprice / 1000 AS y FROM lineitem
+           WHERE l_quantity IS NOT NULL AND l_tax IS NOT NULL AND l_extendedprice IS NOT NULL),
+folds AS (SELECT DISTINCT f FROM x UNION ALL SELECT -1),
+t AS (SELECT g.f, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, count(*) * covar_pop(a, a) AS saa,
+             count(*) * covar_pop(a, b) AS sab, count(*) * covar_pop(b, b) AS sbb, count(*) * covar_pop(a, y) AS say,
+             count(*) * covar_pop(b, y) AS sby FROM folds g JOIN x ON x.f <> g.f GROUP BY g.f),
+p AS (SELECT CAST(unnest([0.1, 10, 1000, 100000]) AS DOUBLE) AS p),
+w AS (SELECT f, p, ma, mb, my, ((sbb + p) * say - sab * sby) / ((saa + p) * (sbb + p) - sab * sab) AS wa,
+             ((saa + p) * sby - sab * say) / ((saa + p) * (sbb + p) - sab * sab) AS wb FROM t, p),
+e AS (SELECT w.p, w.f, avg((y - (my - wa * ma - wb * mb) - wa * a - wb * b) ** 2) AS e FROM w JOIN x ON w.f = x.f GROUP BY ALL),
+m AS (SELECT p, avg(e) AS mse FROM e GROUP BY p),
+best AS (SELECT p FROM m ORDER BY mse, p DESC LIMIT 1)
+SELECT m.p AS penalty, round(mse, 6) AS mse, m.p = best.p AS chosen,
+       CASE WHEN m.p = best.p THEN round(wa, 6) END AS coef_quantity, CASE WHEN m.p = best.p THEN round(wb, 6) END AS coef_tax,
+       CASE WHEN m.p = best.p THEN round(my - wa * ma - wb * mb, 6) END AS intercept
+FROM m, best JOIN w ON w.f = -1 AND w.p = m.p
+""")
+def q_ridge_cv(spark, sf_dir):
+    """The squared penalty is chosen over five folds of orders, all from one pass."""
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_tax", (F.col("l_extendedprice") / 1000).alias("y"))
+    m = fit_cross_validated(x, ["l_quantity", "l_tax"], "y", "RidgeCV", fold=F.col("l_orderkey") % 5, penalties=_RIDGE_PENALTIES)
+    rows = [(p, round(e, 6), p == m.penalty, *([round(v, 6) for v in (*m.coefficients[0], m.intercepts[0])] if p == m.penalty
+                                               else [None] * 3)) for p, e in m.path]
+    return spark.createDataFrame(rows, "penalty double, mse double, chosen boolean, coef_quantity double, coef_tax double, intercept double")
+
+
+@register("lasso_cv", """
+WITH x AS (SELECT o_orderkey % 5 AS f, CAST(year(o_orderdate) AS DOUBLE) AS a, o_totalprice / 1000 AS y FROM orders
+           WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL),
+folds AS (SELECT DISTINCT f FROM x UNION ALL SELECT -1),
+t AS (SELECT g.f, avg(a) AS ma, avg(y) AS my, covar_pop(a, a) AS saa, covar_pop(a, y) AS say FROM folds g JOIN x ON x.f <> g.f GROUP BY g.f),
+p AS (SELECT CAST(unnest([0.001, 0.1, 1, 100]) AS DOUBLE) AS p),
+w AS (SELECT f, p, ma, my, sign(say) * greatest(abs(say) - p, 0) / saa AS wa FROM t, p),
+e AS (SELECT w.p, w.f, avg((y - (my - wa * ma) - wa * a) ** 2) AS e FROM w JOIN x ON w.f = x.f GROUP BY ALL),
+m AS (SELECT p, avg(e) AS mse FROM e GROUP BY p),
+best AS (SELECT p FROM m ORDER BY round(mse, 9), p DESC LIMIT 1)
+SELECT m.p AS penalty, round(mse, 6) AS mse, round(CASE WHEN m.p = best.p THEN wa END, 6) AS coef_year FROM m, best JOIN w ON w.f = -1 AND w.p = m.p
+""")
+def q_lasso_cv(spark, sf_dir):
+    """The absolute penalty is chosen over five folds; one that is large enough leaves no weight."""
+    x = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), (F.col("o_totalprice") / 1000).alias("y"))
+    m = fit_cross_validated(x, ["year"], "y", "LassoCV", fold=F.col("o_orderkey") % 5, penalties=[0.001, 0.1, 1.0, 100.0])
+    rows = [(p, round(e, 6), round(m.coefficients[0][0], 6) if p == m.penalty else None) for p, e in m.path]
+    return spark.createDataFrame(rows, "penalty double, mse double, coef_year double")
+
+
+@register("ridge_classifier_cv", """
+WITH x AS (SELECT doc_id, quality, CAST(n_chars AS DOUBLE) AS a, CASE WHEN quality = 1 THEN 1.0 ELSE -1.0 END AS y
+           FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL),
+t AS (SELECT avg(a) AS ma, avg(y) AS my, count(*) * covar_pop(a, a) AS saa, count(*) * covar_pop(a, y) AS say FROM x)
+SELECT CAST(quality AS BIGINT) AS label, CAST(CASE WHEN my + say / (saa + 10) * (a - ma) > 0 THEN 1 ELSE 0 END AS BIGINT) AS prediction,
+       CAST(count(*) AS BIGINT) AS n FROM x, t GROUP BY ALL
+""")
+def q_ridge_classifier_cv(spark, sf_dir):
+    """Quality by length, as a ridge classifier; one penalty is given, so that SQL can say which rows fall where."""
+    x = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    m = fit_cross_validated(x, ["n_chars"], "quality", "RidgeClassifierCV", id_col="doc_id", penalties=[10.0])
+    done = m.transform(x.filter(F.col("quality").isNotNull() & F.col("n_chars").isNotNull()))
+    return L.confusion(done, "quality").select(*[F.col(c).cast("bigint").alias(c) for c in ("label", "prediction", "n")])
+
+
+_GRAPH = {
+    "n_nations": "COUNT(nation)",
+    "n_names": "NUM_UNIQUE(nation.n_name)",
+    "n_customers": "SUM(nation.COUNT(customer))",
+    "mean_of_balance": "MEAN(nation.MEAN(customer.c_acctbal))",
+    "max_balance": "MAX(nation.MAX(supplier.s_acctbal))",
+    "n_suppliers": "SUM(nation.COUNT(supplier))",
+    "spread": "STD(nation.COUNT(supplier))",
+    "most_orders": "MAX(nation.MAX(customer.COUNT(orders)))",
+    "millions": "SUM(nation.SUM(customer.SUM(orders.o_totalprice)))",
+    "month": "MIN(nation.MIN(customer.MAX(orders.MONTH(o_orderdate))))",
+}
+
+
+@register("entity_synthesis", """
+WITH o AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS s, max(month(o_orderdate)) AS m FROM orders GROUP BY 1),
+c AS (SELECT c_nationkey, count(*) AS n, avg(c_acctbal) AS b, max(coalesce(o.n, 0)) AS most, sum(s) AS s, min(m) AS m
+      FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY 1),
+s AS (SELECT s_nationkey, count(*) AS n, max(s_acctbal) AS b FROM supplier GROUP BY 1),
+n AS (SELECT n_regionkey, count(*) AS n_nations, count(DISTINCT n_name) AS n_names, sum(coalesce(c.n, 0)) AS n_customers, avg(c.b) AS mean_of_balance,
+             max(s.b) AS max_balance, sum(coalesce(s.n, 0)) AS n_suppliers, stddev_samp(coalesce(s.n, 0)) AS spread, max(most) AS most_orders,
+             sum(c.s) / 1e6 AS millions, min(m) AS month
+      FROM nation LEFT JOIN c ON c_nationkey = n_nationkey LEFT JOIN s ON s_nationkey = n_nationkey GROUP BY 1)
+SELECT r_regionkey, CAST(r_name = 'ASIA' AS INTEGER) AS asia, round(CAST(coalesce(n_nations, 0) AS DOUBLE), 6) AS n_nations,
+       """ + ", ".join(f"round(CAST(coalesce({c}, avg({c}) OVER ()) AS DOUBLE), 6) AS {c}" for c in _GRAPH if c != "n_nations") + """
+FROM region LEFT JOIN n ON n_regionkey = r_regionkey
+""")
+def q_entity_synthesis(spark, sf_dir):
+    """L1: regions from nations, customers, suppliers and orders, three relations deep, names as categories; a part of the columns is shown."""
+    t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "orders")}
+    g = EntityGraph().entity("region", t["region"], "r_regionkey").entity("nation", t["nation"], "n_nationkey") \
+        .entity("customer", t["customer"], "c_custkey").entity("supplier", t["supplier"], "s_suppkey").entity("orders", t["orders"], "o_orderkey") \
+        .relate("region", "r_regionkey", "nation", "n_regionkey").relate("nation", "n_nationkey", "customer", "c_nationkey") \
+        .relate("nation", "n_nationkey", "supplier", "s_nationkey").relate("customer", "c_custkey", "orders", "o_custkey")
+    df = g.features("region", 3)
+    value = {dst: F.col(f"`{src}`").cast("double") for dst, src in _GRAPH.items()}
+    value["millions"] = value["millions"] / 1e6
+    return df.select("r_regionkey", F.col("`r_name = ASIA`").cast("int").alias("asia"), *[F.round(c, 6).alias(n) for n, c in value.items()])
+
+
+@register("entity_synthesis_shared", """
+WITH l AS (SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1),
+lp AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT s_suppkey, n_name AS nation_name, round(CAST(coalesce(l.n, 0) AS DOUBLE), 6) AS n_lines, round(l.q, 6) AS quantity,
+       (SELECT count(*) FROM part p JOIN lp ON lp.l_partkey = p.p_partkey) AS parts_sold
+FROM supplier LEFT JOIN l ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey
+""")
+def q_entity_synthesis_shared(spark, sf_dir):
+    """L1: lines have two parents, suppliers and parts; a supplier also sees its nation's own columns."""
+    t = {n: table(spark, sf_dir, n) for n in ("nation", "supplier", "part", "lineitem")}
+    lines = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    g = EntityGraph().entity("nation", t["nation"], "n_nationkey").entity("supplier", t["supplier"], "s_suppkey") \
+        .entity("part", t["part"], "p_partkey").entity("lineitem", lines, "l_orderkey") \
+        .relate("nation", "n_nationkey", "supplier", "s_nationkey").relate("supplier", "s_suppkey", "lineitem", "l_suppkey") \
+        .relate("part", "p_partkey", "lineitem", "l_partkey")
+    sold = g.synthesize("part", 1).filter(F.col("`COUNT(lineitem)`") > 0).agg(F.count(F.lit(1)).alias("parts_sold"))
+    df = g.synthesize("supplier", 1)
+    return df.select("s_suppkey", F.col("`nation.n_name`").alias("nation_name"), F.round(F.col("`COUNT(lineitem)`").cast("double"), 6).alias("n_lines"),
+                     F.round(F.col("`SUM(lineitem.l_quantity)`"), 6).alias("quantity"), sold.scalar().alias("parts_sold"))

@@ -25,6 +25,16 @@ def q_dict_build(spark, sf_dir):
     return I.build_dictionary(table(spark, sf_dir, "part"), "p_type")
 
 
+@register("dict_build_prefix", f"""
+WITH v AS (SELECT DISTINCT c_name AS value FROM customer WHERE c_name IS NOT NULL),
+r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS n FROM v)
+SELECT value, CAST(n AS BIGINT) AS n, {_code('n')} AS code FROM r
+""")
+def q_dict_build_prefix(spark, sf_dir):
+    """I1 over values that all begin alike: numbered by all tasks."""
+    return I.build_dictionary(table(spark, sf_dir, "customer"), "c_name")
+
+
 @register("dict_build_first_seen", f"""
 WITH v AS (SELECT o_orderpriority AS value, min(o_orderkey) AS f FROM orders GROUP BY 1),
 r AS (SELECT value, row_number() OVER (ORDER BY f, value) - 1 AS n FROM v)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions.features import spec
 from cadence.functions.scalars import epoch_us
 from cadence.operators import runs
 from cadence.plans.registry import register, table
+from cadence.sources.chunks import ChunkedReader
 
 # events with injected nulls so null semantics are exercised:
 # value < 5 -> null, event_type 'error' -> null
@@ -107,6 +111,26 @@ def q_chunk_ids(spark, sf_dir):
     return runs.chunk_ids(ev, 100, ["ts", "event_id"]).select("event_id", "chunk_id")
 
 
+@register("chunked_read", """
+WITH n AS (SELECT CAST(ceil(count(*) / 8) AS BIGINT) AS size FROM events),
+x AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events)
+SELECT CAST(floor(pos / size) AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n, arg_min(event_id, pos) AS first_id,
+       arg_max(event_id, pos) AS last_id, CAST(count(value) AS BIGINT) AS n_values
+FROM x, n GROUP BY 1
+""")
+def q_chunked_read(spark, sf_dir):
+    """The events in eight chunks in time order, each read by itself."""
+    ev = table(spark, sf_dir, "events")
+    order = F.struct("ts", "event_id")
+    r = ChunkedReader(ev, ["ts", "event_id"], -(-ev.count() // 8) or 1)
+    seen = [c.agg(F.count(F.lit(1)).alias("n"), F.min_by("event_id", order).alias("first_id"),
+                  F.max_by("event_id", order).alias("last_id"), F.count("value").alias("n_values"))
+            .select(F.lit(i).cast("bigint").alias("chunk"), "*") for i, c in enumerate(r)]
+    none = ev.limit(0).select(F.lit(0).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("n"), F.col("event_id").alias("first_id"),
+                              F.col("event_id").alias("last_id"), F.lit(0).cast("bigint").alias("n_values"))
+    return reduce(DataFrame.unionByName, seen, none)
+
+
 @register("features_global", """
 SELECT round(sum(coalesce(value,0)), 6) AS total_value,
        round(avg(coalesce(value,0)), 6) AS mean_value,

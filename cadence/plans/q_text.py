@@ -143,6 +143,19 @@ def q_drop_minor_latin(spark, sf_dir):
     return d.select("doc_id", X.detection_text("text").alias("clean"))
 
 
+@register("compose_vietnamese", """
+SELECT doc_id, nfc_normalize(replace(replace(replace(text, 'a', 'a' || chr(769)), 'o', 'ơ' || chr(803)), 'U', 'U' || chr(777))) AS composed
+FROM documents
+""")
+def q_compose_vietnamese(spark, sf_dir):
+    """H15 on texts whose vowels are written as letter and tone mark."""
+    t = F.col("text")
+    for plain, pair in (("a", "a\u0301"), ("o", "ơ\u0323"), ("U", "U\u0309")):
+        t = F.replace(t, F.lit(plain), F.lit(pair))
+    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    return d.select("doc_id", X.compose_vietnamese("t").alias("composed"))
+
+
 @register("normalize_ngram_chars", f"SELECT doc_id, {_d_norm('text')} AS norm FROM documents")
 def q_normalize_ngram_chars(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
