@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.scalars import epoch_us
-from cadence.operators.runs import shifted, suffix_any
+from cadence.operators.runs import preceding, shifted, suffix_any
 
 
 def session_durations(df: DataFrame, user: str, ts: str, id_col: str,
@@ -55,17 +55,10 @@ def transition_probs(df: DataFrame, user: str, state: str, order_by: list[str],
     A node is the path of the last ``depth + 1`` states; its parent the path
     of the ``depth`` states before. Output ``(parent, state, n, prob)``.
     """
-    x = df
-    prev_cols = []
-    cur = state
-    for d in range(depth):
-        col = f"__p{d}"
-        x = shifted(x, cur, order_by, partition_by=[user], bucket=bucket, direction="lag", out=col)
-        prev_cols.insert(0, col)
-        cur = col
-    parent = F.concat_ws(">", *[F.col(c) for c in prev_cols])
-    t = x.filter(F.col(prev_cols[0]).isNotNull()).groupBy(parent.alias("parent"), F.col(state).alias("state")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    x = preceding(df, state, depth, order_by, partition_by=[user], bucket=bucket, out="__path")
+    x = x.filter((F.size("__path") == depth) & F.col("__path")[0]["v"].isNotNull())
+    parent = F.concat_ws(">", F.transform("__path", lambda p: p["v"].cast("string")))
+    t = x.groupBy(parent.alias("parent"), F.col(state).alias("state")).agg(F.count(F.lit(1)).alias("n"))
     tot = t.groupBy("parent").agg(F.sum("n").alias("__tot"))
     return t.join(tot, "parent").select("parent", "state", "n", (F.col("n") / F.col("__tot")).alias("prob"))
 

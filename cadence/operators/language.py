@@ -155,7 +155,7 @@ def detect_language(df: DataFrame, id_col: str, text: str, probs: DataFrame,
     cols = [f"s{i}" for i in range(len(langs))]
     packed = probs.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == lg, term).otherwise(0.0)).alias(c)
                                          for lg, c in zip(langs, cols)])
-    packed = bounded_broadcast(packed, PROBS_BROADCAST_BYTES // (GRAM_BYTES + 8 * len(langs)))
+    packed = bounded_broadcast(cut_lineage(packed), PROBS_BROADCAST_BYTES // (GRAM_BYTES + 8 * len(langs)))
     per_word = wg.join(packed, "gram").groupBy("pw").agg(
         F.count(F.lit(1)).alias("known"), *[F.sum(c).alias(c) for c in cols])
     sums = wc.join(per_word, "pw").groupBy(id_col).agg(
@@ -273,9 +273,16 @@ def text_to_ids(df: DataFrame, text: str, vocab: DataFrame, max_len: int | None
     """Token ids with centred padding (left floor, right ceil, pad = 1),
     unknown -> 0; ``max_len`` is the longest text unless the caller sets it,
     and then longer texts are dropped (training mode) or cut (``auto_trim``). The vocabulary (bounded by its size parameter)
-    becomes a literal map, so the whole operator is a narrow projection."""
-    pairs = [(r["token"], r["id"]) for r in vocab.collect()]
-    m = F.create_map(*[x for t, i in pairs for x in (F.lit(t), F.lit(i))])
+    becomes a literal two-level table by code point, so the whole operator is a narrow projection
+    and a character costs two array reads, however large the vocabulary."""
+    points = {(32 if r["token"] == X.WS_TOKEN else ord(r["token"])): r["id"] for r in vocab.collect()
+              if r["token"] == X.WS_TOKEN or len(r["token"]) == 1}
+    pages: list[list[int]] = [[] for _ in range((max(points, default=0) >> 8) + 1)]
+    for p, i in points.items():
+        page = pages[p >> 8] = pages[p >> 8] or [0] * 256
+        page[p & 255] = i
+    m = F.array(*[F.lit(page) if page else F.array().cast("array<int>") for page in pages])
+    point = lambda t: F.when(t == X.WS_TOKEN, 32).otherwise(F.ascii(t))
     toks = X.char_tokens(F.col(text))
     x = df.withColumn("__t", toks)
     if max_len is None:
@@ -283,7 +290,8 @@ def text_to_ids(df: DataFrame, text: str, vocab: DataFrame, max_len: int | None
     elif not auto_trim:
         x = x.filter(F.size("__t") <= max_len)
     x = x.withColumn("__t", F.slice("__t", 1, max_len))
-    ids = F.transform("__t", lambda t: F.coalesce(F.element_at(m, t), F.lit(0)))
+    ids = F.transform(F.transform("__t", point), lambda p: F.coalesce(
+        F.get(F.get(m, F.shiftright(p, 8)), p.bitwiseAND(F.lit(255))), F.lit(0)))
     gap = F.greatest(F.lit(max_len) - F.size("__t"), F.lit(0))
     left = F.floor(gap / 2).cast("int")
     right = (gap - left).cast("int")

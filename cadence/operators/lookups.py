@@ -54,11 +54,13 @@ def lookup_features(requests: DataFrame, features: DataFrame, req_id: str, targe
     else:
         cond = F.arrays_overlap(t, want)
     fr = features.filter(cond)
-    # a record is identified by its member set (members belong to one record)
-    ex = fr.select(F.col(members).alias("__key"), F.explode(members).alias("__mid"))
+    # a record is known by its members' digest, so that a run of n members ships
+    # n keys of one size and not n copies of all members
+    fr = fr.withColumn("__key", F.sha2(F.to_json(F.array(members)), 256))
+    ex = fr.select("__key", F.explode(members).alias("__mid"))
     req = requests.select(F.col(req_id).alias("__mid")).distinct()
     hit = ex.join(req, "__mid", "left_semi").select("__key").distinct()
-    return fr.join(hit, F.col(members) == F.col("__key"), "left_semi")
+    return fr.join(hit, "__key", "left_semi").drop("__key")
 
 
 def split_cached(df: DataFrame, cache: DataFrame, keys: list[str], value_col: str,

@@ -17,7 +17,7 @@ from pyspark.ml import regression as R
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +63,8 @@ def evaluator(task: str, label: str = "label", prediction: str = "prediction"):
 _REG = {
     **{n: (R.LinearRegression, {}) for n in ("LinearRegression", "SGDRegressor")},
     "Ridge": (R.LinearRegression, {"elasticNetParam": 0.0, "regParam": 1.0}),
-    "RidgeCV": (R.LinearRegression, {"elasticNetParam": 0.0, "regParam": 1.0}),
     "Lasso": (R.LinearRegression, {"elasticNetParam": 1.0, "regParam": 1.0}),
-    "LassoCV": (R.LinearRegression, {"elasticNetParam": 1.0, "regParam": 1.0}),
     "ElasticNet": (R.LinearRegression, {"elasticNetParam": 0.5, "regParam": 1.0}),
-    "ElasticNetCV": (R.LinearRegression, {"elasticNetParam": 0.5, "regParam": 1.0}),
     "HuberRegressor": (R.LinearRegression, {"loss": "huber"}),
     "DecisionTreeRegressor": (R.DecisionTreeRegressor, {}),
     "RandomForestRegressor": (R.RandomForestRegressor, {}),
@@ -75,8 +72,7 @@ _REG = {
     "BaggingRegressor": (R.RandomForestRegressor, {"featureSubsetStrategy": "all"}),
 }
 _CLS = {
-    **{n: (C.LogisticRegression, {}) for n in ("LogisticRegression", "LogisticRegressionCV", "SGDClassifier",
-                                               "Perceptron", "RidgeClassifier", "RidgeClassifierCV")},
+    **{n: (C.LogisticRegression, {}) for n in ("LogisticRegression", "SGDClassifier", "Perceptron", "RidgeClassifier")},
     "LinearSVC": (C.LinearSVC, {}),
     "DecisionTreeClassifier": (C.DecisionTreeClassifier, {}),
     "RandomForestClassifier": (C.RandomForestClassifier, {}),
@@ -86,15 +82,37 @@ _CLS = {
     "BernoulliNB": (C.NaiveBayes, {"modelType": "bernoulli"}),
     "GaussianNB": (C.NaiveBayes, {"modelType": "gaussian"}),
 }
-ESTIMATORS = {**_REG, **_CLS}
+#: family whose penalty is cross-validated -> (family, penalties)
+_CV = {
+    "RidgeCV": ("Ridge", (0.0, 0.001, 0.01, 0.1, 1.0, 10.0)),
+    "LassoCV": ("Lasso", (0.001, 0.01, 0.1, 1.0, 10.0)),
+    "ElasticNetCV": ("ElasticNet", (0.001, 0.01, 0.1, 1.0, 10.0)),
+    "LogisticRegressionCV": ("LogisticRegression", (0.0, 0.001, 0.01, 0.1, 1.0)),
+    "RidgeClassifierCV": ("RidgeClassifier", (0.001, 0.01, 0.1, 1.0, 10.0)),
+}
+ESTIMATORS = {**_REG, **_CLS, **{n: (_REG | _CLS)[f] for n, (f, _) in _CV.items()}}
+
 
+def estimator(name: str, features: str = "features", label: str = "label", folds: int = 5, fold_col: str | None = None,
+              penalties: list[float] | None = None, **params):
+    """A ``pyspark.ml`` estimator for a model family name.
 
-def estimator(name: str, features: str = "features", label: str = "label", **params):
-    """A ``pyspark.ml`` estimator for a model family name."""
+    A ``*CV`` family is a ``CrossValidator`` over its ``penalties`` with ``folds``
+    folds, drawn by a fixed seed or given by ``fold_col`` (whole numbers from 0);
+    its model is one of the family itself, fitted to all rows. A given ``regParam``
+    leaves nothing to choose. ``linear_cv`` fits the linear families from one pass.
+    """
     if name not in ESTIMATORS:
         raise ValueError(f"model family {name!r} has no distributed counterpart")
     cls, defaults = ESTIMATORS[name]
-    return cls(featuresCol=features, labelCol=label, **{**defaults, **params})
+    one = cls(featuresCol=features, labelCol=label, **{**defaults, **params})
+    if name not in _CV or "regParam" in params:
+        return one
+    family, usual = _CV[name]
+    grid = ParamGridBuilder().addGrid(one.getParam("regParam"), list(penalties or usual)).build()
+    return CrossValidator(estimator=one, estimatorParamMaps=grid, numFolds=folds, seed=7, parallelism=2,
+                          evaluator=evaluator("regression" if family in _REG else "classification", label),
+                          **({"foldCol": fold_col} if fold_col else {}))
 
 
 # ------------------------------------------------------------------ L4
@@ -105,6 +123,7 @@ def search_model(df: DataFrame, feature_cols: list[str], label: str, family: str
     """
     asm = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="skip")
     est = estimator(family, label=label)
+    est = est.getEstimator() if isinstance(est, CrossValidator) else est
     pg = ParamGridBuilder()
     for k, vals in grid.items():
         pg = pg.addGrid(est.getParam(k), vals)
@@ -223,6 +242,7 @@ def feature_importance(model, names: list[str], df: DataFrame | None = None) ->
     """Tree importances, or coefficient x feature std for linear models, with
     the coefficient's sign (std from one aggregate over ``df``)."""
     stage = model.stages[-1] if hasattr(model, "stages") else model
+    stage = getattr(stage, "bestModel", stage)
     if hasattr(stage, "featureImportances"):
         imp = list(stage.featureImportances.toArray())
     elif hasattr(stage, "coefficients"):

@@ -101,7 +101,8 @@ def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
 
     ``keys`` may be column names or Columns (a user grouping function, N4);
     an empty ``keys`` makes every row its own run (E2), so the run number is
-    then the row's 0-based position in the order.
+    then the row's 0-based position in the order; a whole table is then
+    numbered by range partitions, however its rows lie in time.
     ``order_by`` must be a total order inside a partition (add a unique
     tie-break column). ``flags=True`` also adds ``run_start``/``run_end``
     booleans (first/last row of its run), computed in the same window pass
@@ -110,6 +111,8 @@ def run_ids(df: DataFrame, keys, order_by, partition_by=None, bucket=None,
     keys = _cols(keys)
     order = _cols(order_by)
     parts = list(partition_by or [])
+    if not keys and not parts and bucket is None and not flags:
+        return dense_numbers(df, order, run_col)
     kstruct = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]) if keys else None
     x = _keyed(with_bucket(df, order_by, bucket, parts), parts)
     w_local = Window.partitionBy(_PK).orderBy(*order)
@@ -368,6 +371,28 @@ def shifted(df: DataFrame, value: str | Column, order_by, partition_by=None, buc
     return j.drop(_B, _PK, "__v", "__loc", "__nb")
 
 
+def preceding(df: DataFrame, value: str | Column, n: int, order_by, partition_by=None, bucket=None,
+              out: str = "prev") -> DataFrame:
+    """The up to ``n`` values before each row in the order, oldest first, as an array
+    of structs ``v`` (so that a null value differs from no row), per partition.
+
+    One window pass for all of them: a bucket takes the last ``n`` rows of the
+    buckets before it from a summary with one row per bucket.
+    """
+    parts = list(partition_by or [])
+    order = _cols(order_by)
+    v = F.col(value) if isinstance(value, str) else value
+    newest = lambda a: F.slice(a, F.greatest(F.size(a) - F.lit(n - 1), F.lit(1)), F.lit(n))
+    x = _keyed(with_bucket(df, order_by, bucket, parts), parts).withColumn("__v", F.struct(v.alias("v")))
+    x = x.withColumn("__loc", F.collect_list("__v").over(Window.partitionBy(_PK).orderBy(*order).rowsBetween(-n, -1)))
+    ends = x.groupBy(_PK).agg(F.max_by(F.concat("__loc", F.array("__v")), F.struct(*order)).alias("__end"))
+    # each bucket has at least one row, so n buckets hold the n rows before
+    before = Window.partitionBy(f"{_PK}.p").orderBy(f"{_PK}.b").rowsBetween(-n, -1)
+    ends = ends.select(_PK, newest(F.flatten(F.collect_list(newest(F.col("__end"))).over(before))).alias("__before"))
+    j = x.join(ends, on=_PK, how="inner").withColumn(out, newest(F.concat("__before", "__loc")))
+    return j.drop(_B, _PK, "__v", "__loc", "__before")
+
+
 def suffix_any(df: DataFrame, cond: Column, order_by, partition_by=None, bucket=None,
                out: str = "later") -> DataFrame:
     """Whether ``cond`` holds on any STRICTLY later row of the partition.

@@ -135,6 +135,12 @@ def _parse(target: dict):
     return eq_keys, time_c
 
 
+def _small(heads: DataFrame) -> DataFrame:
+    """A table with a row per key group, written once and broadcast if its size
+    allows it, so that few hot key values do not move the big side."""
+    return bounded_broadcast(cut_lineage(heads))
+
+
 def pick_targets(df: DataFrame, targets: list[dict], id_col: str,
                  mode: str = "reference", bucket_us: int = DAY_US) -> DataFrame:
     """Add ``target_value_<column>`` for each target definition.
@@ -156,8 +162,8 @@ def pick_targets(df: DataFrame, targets: list[dict], id_col: str,
             continue
         if tc is None:
             hk = [F.col(k).alias(f"__hk{i}") for i, k in enumerate(eq_keys)]
-            first = df.groupBy(*hk).agg(F.min_by(F.struct(F.col(col).alias("v")),
-                                                 F.col(id_col)).alias("__f"))
+            first = _small(df.groupBy(*hk).agg(F.min_by(F.struct(F.col(col).alias("v")),
+                                                        F.col(id_col)).alias("__f")))
             cond = [F.col(k).eqNullSafe(F.col(f"__hk{i}")) for i, k in enumerate(eq_keys)]
             j = out.join(first, on=cond, how="left")
             out = j.select(*[F.col(f"`{c}`") for c in out.columns],
@@ -181,7 +187,7 @@ def pick_targets(df: DataFrame, targets: list[dict], id_col: str,
                                                       F.col(col).alias("v"))).alias("__e"))
             if eq_keys:
                 cond = [F.col(k).eqNullSafe(F.col(f"__hk{i}")) for i, k in enumerate(eq_keys)]
-                j = out.join(head, on=cond, how="left")
+                j = out.join(_small(head), on=cond, how="left")
                 j = j.select(*[F.col(f"`{c}`") for c in out.columns], "__e")
             else:
                 j = out.crossJoin(F.broadcast(head))      # one-row global head

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from cadence.operators import ml as L
@@ -360,3 +362,18 @@ def q_entity_synthesis_shared(spark, sf_dir):
     df = g.synthesize("supplier", 1)
     return df.select("s_suppkey", F.col("`nation.n_name`").alias("nation_name"), F.round(F.col("`COUNT(lineitem)`").cast("double"), 6).alias("n_lines"),
                      F.round(F.col("`SUM(lineitem.l_quantity)`"), 6).alias("quantity"), sold.scalar().alias("parts_sold"))
+
+
+@register("estimator_ridge_cv", """
+SELECT CAST(0 AS DOUBLE) AS penalty, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem
+""")
+def q_estimator_ridge_cv(spark, sf_dir):
+    """The family as an estimator of a pipeline; folds by order, where no penalty predicts best."""
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast("double").alias("y"), F.col("l_quantity").cast("double").alias("x"),
+                                                (F.col("l_orderkey") % 5).cast("int").alias("fold"))
+    cv = L.estimator("RidgeCV", label="y", fold_col="fold", penalties=[0.0, 5.0, 50.0])
+    m = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), cv]).fit(x).stages[-1].bestModel
+    row = (float(m.getRegParam()), float(m.coefficients[0]), float(m.intercept))
+    return spark.createDataFrame([row], "penalty double, slope double, intercept double").select(
+        "penalty", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))

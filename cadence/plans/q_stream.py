@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadence.plans.q_lookup import _RUNS_SQL
 from cadence.plans.registry import ORACLE, register, table
+from cadence.sources.chunks import ChunkedReader
 from cadence.streaming import runs as SR
 from cadence.streaming import windows as SW
 
@@ -125,3 +126,31 @@ def q_stream_replayed(spark, sf_dir):
     sdf.writeStream.foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
     t = SR.read_batches(spark, out, schema).filter("event_id is not null")
     return t.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@register("stream_chunks", """
+WITH n AS (SELECT CAST(ceil(count(*) / 8) AS BIGINT) AS size FROM events),
+x AS (SELECT event_id, user_id, event_type, ts, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events)
+SELECT CAST(floor(pos / size) AS BIGINT) AS chunk, event_id, user_id, event_type, epoch_us(ts) AS ts_us,
+       round(value, 6) AS value
+FROM x, n
+""")
+def q_stream_chunks(spark, sf_dir):
+    """The events as a stream of eight chunks in time order, one a micro-batch."""
+    from cadence.session import scratch_path
+    ev = table(spark, sf_dir, "events")
+    stream = ChunkedReader(ev, ["ts", "event_id"], -(-ev.count() // 8) or 1).stream()
+    out, ck = (scratch_path(spark, f"stream-{x}-{uuid.uuid4().hex[:12]}") for x in ("chunks", "ckpt"))
+    tagged = stream.withColumn("chunk", F.lit(None).cast("bigint"))
+
+    def write(batch, epoch):
+        SR.write_batch(batch.withColumn("chunk", F.lit(epoch).cast("bigint")), epoch, out)
+
+    q = tagged.writeStream.foreachBatch(write).option("checkpointLocation", ck).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    t = SR.read_batches(spark, out, tagged.schema)
+    return t.select("chunk", "event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+                    F.round("value", 6).alias("value"))

@@ -8,6 +8,7 @@ needs the chunks before it.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from cadence.operators.cleaning import time_range
 from cadence.operators.numbering import PLACE_BITS, ROW, part_starts, range_sorted
+from cadence.session import ship_package
+from cadence.sources.chunk_stream import ChunkSource
 from cadence.sources.readers import feature_vectors
 
 
@@ -56,6 +59,18 @@ class ChunkedReader:
         """All chunks in order; a new iteration starts again at the first."""
         return (self.chunk(i) for i in range(len(self)))
 
+    def stream(self) -> DataFrame:
+        """The collection as a stream that gives one chunk, in order, to each
+        micro-batch; columns as in the collection. ``trigger(availableNow=True)``
+        ends after one chunk; ``processAllAvailable`` reads to the last."""
+        spark = self.table.sparkSession
+        ship_package(spark)
+        spark.dataSource.register(ChunkSource)
+        files = self.table.inputFiles()
+        plan = {"files": sorted(files), "parts": self._parts, "starts": self._starts, "rows": self.rows, "size": self.size}
+        return spark.readStream.format(ChunkSource.name()).schema(self.table.drop(ROW).schema) \
+            .option("plan", json.dumps(plan)).load()
+
     def vectors(self, cols: list[str], normalize: bool = False) -> Iterator[DataFrame]:
         """The chunks with a feature array, optionally normalised by row."""
         return (feature_vectors(c, cols, normalize) for c in self)
