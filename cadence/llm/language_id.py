@@ -120,19 +120,37 @@ def step_table(symbols: np.ndarray, codes: int) -> np.ndarray:
     return table.reshape(-1)
 
 
+def evenly(sizes: np.ndarray, most: int) -> int:
+    """The largest size to which pieces can be cut so that together they do not exceed ``most``."""
+    lo, hi = 0, int(sizes.max(initial=0))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if np.minimum(sizes, mid).sum() <= most else (lo, mid - 1)
+    return lo
+
+
+def sample_size(langs: int, codes: int, sample_chars: int) -> int:
+    """Symbols that a language's sample may have."""
+    return min(sample_chars, TABLE_CELLS // (2 * codes * max(langs, 1)))
+
+
 class Model:
     """Languages' samples; the tables are built once in each worker."""
 
     def __init__(self, samples: dict[str, list[str]], sample_chars: int = 65_536):
         self.langs = sorted(samples)
-        parsed = {k: code_points(v)[0] for k, v in samples.items()}
-        points, counts = np.unique(np.concatenate([*parsed.values(), np.zeros(0, np.uint32)]), return_counts=True)
+        parsed = {k: code_points(v) for k, v in samples.items()}
+        points, counts = np.unique(np.concatenate([*(s for s, _ in parsed.values()), np.zeros(0, np.uint32)]), return_counts=True)
         points = points[np.argsort(-counts, kind="stable")]
         points = points[points > 0][:_OWN]
         self.own = points
         self.codes = 2 + len(points) + (_CODES - 2 - _OWN)
-        most = min(sample_chars, TABLE_CELLS // (2 * self.codes * max(len(self.langs), 1)))
-        self.samples = {k: self.coded(v[:most]) for k, v in parsed.items()}
+        most = sample_size(len(self.langs), self.codes, sample_chars)
+        self.samples = {}
+        for k, (symbols, offsets) in parsed.items():
+            sizes = np.diff(offsets)
+            place = np.arange(len(symbols)) - np.repeat(offsets[:-1], sizes)
+            self.samples[k] = self.coded(symbols[place < evenly(sizes, most)])
         self._tables: list[np.ndarray] | None = None
         self._map: np.ndarray | None = None
 
@@ -155,17 +173,24 @@ class Model:
         return self._tables
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x languages) numbers of phrases, and the symbols of each text."""
+        """(texts x languages) numbers of phrases, and the symbols of each text.
+
+        Texts are parsed in blocks side by side, each as if a phrase began with
+        it; ``_joined`` then goes over the beginnings of those where one does not.
+        """
         symbols, offsets = code_points(texts)
         coded = self.coded(symbols)
         size = np.diff(offsets)
         per = -(-size // BLOCK)
         owner = np.repeat(np.arange(len(texts)), per)
         start = np.repeat(offsets[:-1] - BLOCK * (np.cumsum(per) - per), per) + BLOCK * np.arange(len(owner))
-        stop = np.repeat(offsets[1:], per)
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        stop = np.minimum(np.repeat(offsets[1:], per), start + BLOCK)
+        first = np.diff(owner, prepend=-1) > 0
+        last = np.append(first[1:], True)[:len(owner)]
+        counts = np.zeros((len(self.langs), len(owner)), np.int32)
+        ends = np.zeros((len(self.langs), len(owner)), np.int32)
         for at in range(0, len(owner), _LANES):
-            s, e = start[at:at + _LANES], np.minimum(stop[at:at + _LANES], start[at:at + _LANES] + BLOCK)
+            s, e = start[at:at + _LANES], stop[at:at + _LANES]
             order = np.argsort(s - e, kind="stable")  # the longest blocks first: the others leave from the end
             s, e = s[order], e[order]
             n = len(s) - np.searchsorted((e - s)[::-1], np.arange(1, BLOCK + 1), side="left")
@@ -180,10 +205,41 @@ class Model:
                     v = table[state[:m] * np.int32(self.codes) + grid[step, :m]]
                     count[:m] += v & 3
                     state[:m] = v >> 2
-                count += state > 0
-                out[:, k] += np.bincount(owner[at:at + _LANES][order], count, len(texts)).astype(np.int64)
+                counts[k, at + order], ends[k, at + order] = count, state
+        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        for k, table in enumerate(self.tables()):
+            self._joined(table, coded, start, stop, first, counts[k], ends[k])
+            counts[k] += last & (ends[k] > 0)
+            out[:, k] = np.bincount(owner, counts[k], len(texts)).astype(np.int64)
         return out, size
 
+    def _joined(self, table, coded, start, stop, first, count, end) -> None:
+        """Correct ``count`` and ``end`` of the blocks at whose start the block before leaves a
+        phrase open. Both parses of such a block run until they are in the same state,
+        mostly a few phrases on; a block whose end changes passes that to the next."""
+        began = np.zeros(len(start), np.int32)
+        todo = np.flatnonzero(~first)
+        while len(todo):
+            todo = todo[end[todo - 1] != began[todo]]
+            at, a, b, place = todo, began[todo], end[todo - 1], start[todo]
+            began[todo] = b
+            changed = []
+            while len(at):
+                c = coded[place]
+                va, vb = table[a * np.int32(self.codes) + c], table[b * np.int32(self.codes) + c]
+                count[at] += (vb & 3) - (va & 3)
+                a, b, place = va >> 2, vb >> 2, place + 1
+                open_ = a != b
+                over = open_ & (place == stop[at])
+                end[at[over]] = b[over]
+                changed.append(at[over])
+                on = open_ & ~over
+                if not on.all():
+                    at, a, b, place = at[on], a[on], b[on], place[on]
+            todo = np.concatenate([*changed, np.zeros(0, np.int64)]).astype(np.int64) + 1
+            todo = todo[todo < len(first)]
+            todo = todo[~first[todo]]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """(language, score): the score is 1 minus the best entropy over the second best, 1 with one language."""
         some = [i for i, t in enumerate(texts) if t and self.langs]
@@ -216,10 +272,12 @@ def fit(docs: DataFrame, train, sample_rows: int = 64, row_chars: int = 8192, sa
     # on to the window
     share = (F.col("place") * F.col("n") <= F.lit(2.0 * sample_rows * (1 << 30))) | (F.col("place") == F.col("least"))
     first = Window.partitionBy("lang").orderBy("place", "h")
+    # no more of a text than the sample of a language can hold, so that many labels give short samples
+    take = min(row_chars, 64 + 4 * sample_size(counts.count(), _CODES, sample_chars))
     chosen = (texts.join(F.broadcast(counts), "lang").filter(share).withColumn("k", F.row_number().over(first))
               .filter(F.col("k") <= sample_rows).select("lang", "h", "k"))
     # no more rows than the sample that is collected below
-    rows = t.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "k").agg(F.min("t").alias("t")).collect()
+    rows = t.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "k").agg(F.min(F.substring("t", 1, take)).alias("t")).collect()
     discard(texts)
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.k)):

@@ -124,6 +124,32 @@ def test_phrases_against_a_plain_parse():
             assert row[k] == n, (text, lang)
 
 
+def test_phrases_go_on_across_blocks():
+    R = random.Random(12)
+    samples = {"x": ["abab" * 90 + "caba" * 40], "y": ["".join(R.choice("abc") for _ in range(400))]}
+    m = language_id.Model(samples)
+    texts = ["ab" * 2000, "".join(R.choice("abc ") for _ in range(5000)), "caba" * 700 + "b", "a" * 257, "", "abab" * 64,
+             "".join(R.choice("ab") for _ in range(3 * language_id.BLOCK))]
+    found, _ = m.phrases(texts)
+    for text, row in zip(texts, found):
+        symbols = bytes(m.coded(language_id.code_points([text])[0]))
+        for k, lang in enumerate(m.langs):
+            sample, n, i = bytes(m.samples[lang]), 0, 0
+            while i < len(symbols):
+                j = i + 1
+                while j < len(symbols) and symbols[i:j + 1] in sample:
+                    j += 1
+                n, i = n + 1, j
+            assert row[k] == n, (text[:20], lang)
+
+
+def test_samples_take_even_shares_of_their_texts():
+    m = language_id.Model({"x": ["a" * 1000, "b" * 50, "c" * 1000]}, sample_chars=450)
+    codes, counts = np.unique(m.samples["x"], return_counts=True)
+    assert sorted(counts.tolist()) == [50, 200, 200]
+    assert language_id.evenly(np.array([], int), 5) == 0
+
+
 def test_language_id_accuracy_and_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs, ~language_id.held_out())
