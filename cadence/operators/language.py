@@ -214,15 +214,18 @@ def with_languages(df: DataFrame, id_col: str, cols: list[str], probs: DataFrame
     return df.join(wide, df[id_col] == wide["__id"], "left").drop("__id")
 
 
-# Language code -> name for the languages profiled here.
+# Language code -> name for the languages profiled here; they go before Java's names.
 LANGUAGE_NAMES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish",
                   "bg": "Bulgarian", "mk": "Macedonian", "uk": "Ukrainian", "nl": "Dutch",
                   "it": "Italian", "pt": "Portuguese", "ru": "Russian"}
 
 
 def language_names(spark, extra: dict[str, str] | None = None) -> DataFrame:
-    """K8: small code -> name table (broadcast-joinable)."""
-    m = dict(LANGUAGE_NAMES, **(extra or {}))
+    """K8: code -> name table (broadcast-joinable, below 200 rows): the two-letter codes of
+    ISO 639 with the English names that Java gives them, and ``extra``."""
+    locale = spark._jvm.java.util.Locale
+    m = {c: locale.forLanguageTag(c).getDisplayLanguage(locale.ENGLISH) for c in locale.getISOLanguages()}
+    m.update(LANGUAGE_NAMES, **(extra or {}))
     return spark.createDataFrame(sorted(m.items()), "code string, name string")
 
 
