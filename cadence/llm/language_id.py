@@ -8,15 +8,18 @@ needed to point into the sample, per symbol, estimate the cross entropy, and
 the language with the smallest estimate wins (ties: the smaller name).
 
 Texts are lower-cased, every run of other characters than letters is one
-blank, and parsed whole, in blocks of ``BLOCK`` symbols that each begin a
-phrase, so that thousands of blocks take a step together. The automata's
+blank, and parsed whole. Blocks of ``BLOCK`` symbols are walked side by side,
+so that thousands of blocks take a step together; where a phrase goes on from
+one block into the next, the beginning of that one is parsed again from the
+open phrase, so that the count is that of one parse. The automata's
 transitions lie in one dense table per language in which a missing transition
 already leads to the state after a restart, with the phrases that it ends in
 its low bits: a step is one lookup.
 
 The fit takes a bounded sample: at most ``sample_rows`` rows per language, at
 most ``row_chars`` characters of each and ``sample_chars`` symbols in all, and
-no more than lets all tables stay within ``TABLE_CELLS`` cells. Rows are
+no more than lets all tables stay within ``TABLE_CELLS`` cells; a sample takes
+even shares of its texts. Rows are
 chosen by the hash of what would be learned from them, over all labelled rows;
 equal hashes count once, so copies take one place and no language that has a
 labelled text is left without a sample.
