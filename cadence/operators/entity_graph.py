@@ -4,7 +4,7 @@ Relations ``(parent, key, child, fk)`` form an acyclic graph, in which a child
 may have several parents and two entities several relations. Entities are
 rolled up in topological order, children first, each one once: its own columns,
 parts of its dates, and aggregates of its children; the target also takes the
-plain columns of its parents (``direct``). A table that several relations read is written once.
+plain columns of its parents (``direct``). A table that several relations read, or that is rolled up itself, is written once.
 
 Each column carries the depth at which it was made, so one table serves
 parents at different depths: a parent takes the columns that still fit into
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from cadence.operators import cleaning as B
 from cadence.operators.encodings import one_hot
-from cadence.operators.synthesis import _agg_exprs, _datetime_transforms
+from cadence.operators.synthesis import _datetime_transforms, roll_up
 from cadence.session import cut_lineage
 
 
@@ -123,7 +123,7 @@ class EntityGraph:
                 fits = [c for c, at in cmade.items() if at < depth and c not in self._keys(r.child)]
                 label = self._label(r)
                 src = cdf.select(F.col(f"`{r.fk}`").alias("__fk"), *[F.col(f"`{c}`") for c in fits])
-                rolled = src.filter(F.col("__fk").isNotNull()).groupBy("__fk").agg(*_agg_exprs(src, label, {"__fk"}))
+                rolled = roll_up(src, "__fk", label, set())
                 df = df.join(rolled, F.col(f"`{r.key}`") == F.col("__fk"), "left").drop("__fk")
                 count = f"COUNT({label})"
                 df = df.withColumn(count, F.coalesce(F.col(f"`{count}`"), F.lit(0)))
@@ -132,7 +132,9 @@ class EntityGraph:
                         source = next((f for f in sorted(fits, key=len, reverse=True) if c.endswith(f"({label}.{f})")), None)
                         made[c] = 1 + (cmade[source] if source else 0)
             readers = sum(r.child == name and r.parent in order for r in self.relations)
-            tables[name] = (cut_lineage(df) if readers > 1 else df, made)
+            derived = any(r.child in tables for r in self.children(name))
+            # every reader rolls it up in two scans
+            tables[name] = (cut_lineage(df) if readers > 1 or readers and derived else df, made)
         return tables[target][0]
 
     def features(self, target: str, depth: int = 3, encode: list[str] | None = None, top_n: int = 10,

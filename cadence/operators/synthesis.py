@@ -2,8 +2,8 @@
 assembly (L3).
 
 Feature generation is metadata: for each FK edge the child's columns get a
-list of aggregate expressions; execution is ONE ``groupBy(fk).agg(...)`` per
-edge (partial aggregation map-side) and one join to the parent. Deeper
+list of aggregate expressions; execution is two ``groupBy(fk).agg(...)`` per
+edge (``roll_up``: counts, and numbers) and one join to the parent. Deeper
 edges are rolled up first (grandchild -> child -> parent), so no level ever
 sees raw rows of another.
 """
@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 from cadence.operators import cleaning as B
 from cadence.operators.encodings import one_hot
 from cadence.operators.targets import split_targets
+from cadence.plans.sizing import bounded_broadcast
 from cadence.session import cut_lineage
 
 _TS = (T.TimestampType, T.TimestampNTZType, T.DateType)
+HOT_ROWS = 1_000_000
 
 
 @dataclass
@@ -37,7 +39,8 @@ class Entity:
 
 
 def _agg_exprs(df: DataFrame, prefix: str, skip: set[str]):
-    out = []
+    """The aggregates of ``df``'s columns: their titles in order, those over numbers, and the counts."""
+    titles, values, counts = [], [], []
     for f in df.schema.fields:
         if f.name in skip:
             continue
@@ -45,13 +48,41 @@ def _agg_exprs(df: DataFrame, prefix: str, skip: set[str]):
         nm = f"{prefix}.{f.name}"
         if isinstance(f.dataType, T.NumericType) and not isinstance(f.dataType, T.BooleanType):
             v = c.cast("double")
-            out += [F.sum(v).alias(f"SUM({nm})"), F.avg(v).alias(f"MEAN({nm})"),
-                    F.max(v).alias(f"MAX({nm})"), F.min(v).alias(f"MIN({nm})"),
-                    F.stddev_samp(v).alias(f"STD({nm})")]
+            found = {f"SUM({nm})": F.sum(v), f"MEAN({nm})": F.avg(v), f"MAX({nm})": F.max(v), f"MIN({nm})": F.min(v),
+                     f"STD({nm})": F.stddev_samp(v)}
+            values += [e.alias(t) for t, e in found.items()]
+            titles += found
         elif isinstance(f.dataType, (T.StringType, T.BooleanType)):
-            out.append(F.count_distinct(c).alias(f"NUM_UNIQUE({nm})"))
-    out.append(F.count(F.lit(1)).alias(f"COUNT({prefix})"))
-    return out
+            titles.append(f"NUM_UNIQUE({nm})")
+            counts.append(F.count_distinct(c).alias(titles[-1]))
+    titles.append(f"COUNT({prefix})")
+    return titles, values, [*counts, F.count(F.lit(1)).alias(titles[-1])]
+
+
+def roll_up(df: DataFrame, fk: str, prefix: str, skip: set[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per value of ``fk`` (as ``__fk``, nulls left out) with the
+    aggregates of ``df``'s columns but ``skip``.
+
+    Counts and the aggregates of numbers are grouped apart: distinct counts
+    multiply the rows that are shuffled, and the numbers' buffers (eight values a
+    column) are wider than a row. So the rows themselves are shuffled by key and
+    aggregated where they arrive. Only a key of more than ``hot_rows`` rows, too many for
+    one task, is put together from partial aggregates. ``df`` is read twice.
+    """
+    titles, values, counts = _agg_exprs(df, prefix, skip | {fk})
+    x = df.withColumn("__fk", F.col(f"`{fk}`")).filter(F.col("__fk").isNotNull())
+    rolled = x.groupBy("__fk").agg(*counts)
+    if values:
+        rolled = cut_lineage(rolled)
+        hot = rolled.filter(F.col(f"`{titles[-1]}`") > hot_rows).select("__fk")
+        if hot.isEmpty():
+            numbers = x.repartition("__fk").groupBy("__fk").agg(*values)
+        else:
+            hot = bounded_broadcast(cut_lineage(hot))
+            numbers = x.join(hot, "__fk", "left_anti").repartition("__fk").groupBy("__fk").agg(*values) \
+                .unionByName(x.join(hot, "__fk", "left_semi").groupBy("__fk").agg(*values))
+        rolled = rolled.join(numbers, "__fk")
+    return rolled.select("__fk", *[F.col(f"`{t}`") for t in titles])
 
 
 def _datetime_transforms(df: DataFrame, skip: set[str]) -> DataFrame:
@@ -71,8 +102,9 @@ def synthesize(entity: Entity, depth: int = 2) -> DataFrame:
         return df
     for child, fk in entity.children:
         cdf = synthesize(child, depth - 1)
-        aggs = _agg_exprs(cdf, child.name, {child.index, fk})
-        rolled = cdf.groupBy(F.col(fk).alias("__fk")).agg(*aggs)
+        if depth > 1 and child.children:
+            cdf = cut_lineage(cdf)
+        rolled = roll_up(cdf, fk, child.name, {child.index})
         df = df.join(rolled, F.col(entity.index) == F.col("__fk"), "left").drop("__fk")
         cnt = f"COUNT({child.name})"
         df = df.withColumn(cnt, F.coalesce(F.col(f"`{cnt}`"), F.lit(0)))
