@@ -39,6 +39,11 @@ FARSI_YEH, ARABIC_YEH = "ی", "ي"
 LATIN_EXT_ADDITIONAL_REP = "ể"                # U+1EA0 and later in that block
 HIRAGANA_REP, KATAKANA_REP, BOPOMOFO_REP, HANGUL_REP = "あ", "ア", "ㄅ", "가"
 
+# Basic-Latin non-letters, the excluded Latin-1 signs and general punctuation become spaces.
+RE_TO_SPACE = r"[\x{0000}-\x{0040}\x{005B}-\x{0060}\x{007B}-\x{007F}\x{2000}-\x{206F}" + LATIN1_EXCLUDED + "]"
+# All other characters that H15 changes lie in these blocks.
+RE_MAY_CHANGE = r"[\x{0218}-\x{1FFF}\x{3040}-\x{D7AF}]"
+
 ALPHA = 0.5          # fixed value: smoothing weight alpha
 BASE_FREQ = 10000    # fixed value: smoothing base frequency
 PROB_THRESHOLD = 0.1  # fixed value: minimum probability of a reported language
@@ -76,11 +81,15 @@ def strip_url_mail(s, max_chars: int | None = None) -> Column:
     # possessive local part cannot change the (leftmost) match because '@'
     # is outside its character class, it only removes backtracking
     t = _c(s)
-    t = F.when(F.instr(t, "http") > 0, F.regexp_replace(t, RE_URL, " ")).otherwise(t)
-    t = F.when(F.instr(t, "@") > 0, F.regexp_replace(t, RE_MAIL_FAST, " ")).otherwise(t)
+    t = F.when(F.contains(t, F.lit("http")), F.regexp_replace(t, RE_URL, " ")).otherwise(t)
+    t = F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, RE_MAIL_FAST, " ")).otherwise(t)
     if max_chars:
         t = F.substring(t, 1, max_chars)
-    return F.regexp_replace(t, " {2,}", " ")
+    return F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
+
+
+def _beyond_ascii(t: Column) -> Column:
+    return F.octet_length(t) > F.length(t)
 
 
 def drop_minor_latin(s) -> Column:
@@ -90,7 +99,8 @@ def drop_minor_latin(s) -> Column:
     # count Latin letters by runs (one regex match per run, not per letter)
     latin = F.length(t) - F.length(F.regexp_replace(t, r"[A-z]+", ""))
     non_latin = F.regexp_count(t, F.lit(r"[\x{0300}-\x{1DFF}\x{1F00}-\x{10FFFF}]"))
-    return F.when(latin * 2 < non_latin, F.regexp_replace(t, r"[A-z]", "")).otherwise(t)
+    # texts of ASCII alone, and those without the other letters, are not counted
+    return F.when(_beyond_ascii(t) & (non_latin > 0) & (latin * 2 < non_latin), F.regexp_replace(t, r"[A-z]", "")).otherwise(t)
 
 
 def compose_vietnamese(s) -> Column:
@@ -118,10 +128,7 @@ def normalize_ngram_chars(s, collapse: bool = False, cjk_classes: dict[str, str]
     one space per character. ``cjk_classes`` gives the character that stands for
     each ideograph of a class; others, and all without it, stay as they are.
     """
-    # basic-latin non-letters, the excluded Latin-1 signs and general
-    # punctuation all become spaces: one scan
-    to_space = r"[\x{0000}-\x{0040}\x{005B}-\x{0060}\x{007B}-\x{007F}\x{2000}-\x{206F}" + LATIN1_EXCLUDED + "]"
-    t = F.regexp_replace(_c(s), to_space + ("+" if collapse else ""), " ")
+    t = F.regexp_replace(_c(s), RE_TO_SPACE + ("+" if collapse else ""), " ")
     t = F.translate(t, ROMANIAN_FROM + FARSI_YEH, ROMANIAN_TO + ARABIC_YEH)
     if cjk_classes:
         t = F.translate(t, "".join(cjk_classes), "".join(cjk_classes.values()))
@@ -152,6 +159,15 @@ def script_of(ch) -> Column:
         .otherwise(pretty)
 
 
+def ngram_words(s) -> Column:
+    """Words of the text after H15, as ``split(text, ' ')`` gives them. A text
+    that H15 changes in nothing but spaces is split in one scan."""
+    t = _c(s)
+    changed = F.split(normalize_ngram_chars(compose_vietnamese(t), collapse=True), " ")
+    return F.when(~_beyond_ascii(t), F.split(t, "[^A-Za-z]+")).when(t.rlike(RE_MAY_CHANGE), changed) \
+        .otherwise(F.split(t, RE_TO_SPACE + "+"))
+
+
 def word_paddings(words) -> Column:
     """Words (an ARRAY column from ``split(text, ' ')``) as padded strings
     ``' ' + word [+ ' ']``.
@@ -181,11 +197,16 @@ def padded_grams(p) -> Column:
     p = _c(p)
     L = F.length(p)
 
-    def at(e):
+    def ending_at(e):
+        return F.transform(F.sequence(F.lit(1), F.least(F.lit(N_GRAM), e)), lambda n: F.substring(p, e - n + 1, n))
+
+    def outside_capitals(e):
         cap = _is_upper(F.substring(p, e, 1)) & _is_upper(F.substring(p, e - 1, 1))
-        grams = F.transform(F.sequence(F.lit(1), F.least(F.lit(N_GRAM), e)),
-                            lambda n: F.substring(p, e - n + 1, n))
-        return F.when(cap, F.array().cast("array<string>")).otherwise(grams)
+        return F.when(cap, F.array().cast("array<string>")).otherwise(ending_at(e))
 
-    allg = F.flatten(F.transform(F.sequence(F.lit(2), L), at))
+    ends = F.sequence(F.lit(2), L)
+    # no two capitals meet in a word without one behind its first character
+    rest = F.substring(p, F.lit(3), L)
+    allg = F.when(F.lower(rest) == rest, F.flatten(F.transform(ends, ending_at))) \
+        .otherwise(F.flatten(F.transform(ends, outside_capitals)))
     return F.filter(allg, lambda g: g != F.lit(" "))

@@ -33,6 +33,8 @@ ROMAN_CHAR = r"^[A-Za-z]$"     # fixed value
 ROMAN_SUBSTR = r".*[A-Za-z].*"  # fixed value
 
 PROBS_BROADCAST_BYTES = 100 << 20
+WORDS_BROADCAST_BYTES = 64 << 20
+WORD_BYTES = 128    # a word of usual length and its place in a hash table
 GRAM_BYTES = 64     # a gram of at most three characters and its place in a hash table
 
 
@@ -48,11 +50,27 @@ def word_counts(df: DataFrame, keys: list[str], text: str, detect: bool = False,
     profile trainer sees the raw text. Both then compose Vietnamese letters and
     normalise characters (H15).
     """
-    t = X.detection_text(F.col(text), max_chars) if detect else F.col(text)
-    t = X.normalize_ngram_chars(X.compose_vietnamese(t), collapse=True)
-    ws = df.select(*keys, F.split(t, " ").alias("__ws"))
-    w = ws.select(*keys, F.explode(X.word_paddings("__ws")).alias("pw"))
-    return w.groupBy(*keys, "pw").agg(F.count(F.lit(1)).alias("cnt"))
+    return _padded_words(_word_arrays(df, keys, text, detect, max_chars), keys) \
+        .groupBy(*keys, "pw").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _word_arrays(df: DataFrame, keys: list[str], text: str, detect: bool = False, max_chars: int | None = None) -> DataFrame:
+    """(keys, words of the whole text as an array ``__ws``) after the text pipeline."""
+    t = df.select(*keys, F.col(text).alias("__t"))
+    if detect:
+        # each step reads the one before it several times
+        t = t.select(*keys, X.strip_url_mail("__t", max_chars).alias("__t"))
+        t = t.select(*keys, X.drop_minor_latin("__t").alias("__t"))
+    return t.select(*keys, X.ngram_words("__t").alias("__ws"))
+
+
+def _padded_words(arrays: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, padded word), a row for each occurrence; padded as ``text.word_paddings`` does."""
+    w = arrays.select(*keys, "__ws", (F.size("__ws") - 1).alias("__last"))
+    # outer, as Spark would otherwise run the text pipeline again to look for empty arrays
+    w = w.select(*keys, "__last", F.posexplode_outer("__ws").alias("__at", "__w"))
+    behind = F.when(F.col("__at") < F.col("__last"), " ").otherwise("")
+    return w.filter(F.length("__w") > 0).select(*keys, F.concat(F.lit(" "), "__w", behind).alias("pw"))
 
 
 def char_ngrams(df: DataFrame, keys: list[str], text: str, detect: bool = False,
@@ -121,6 +139,35 @@ def normalize_prior(prior: dict[str, float], langs: list[str]) -> dict[str, floa
     return {k: v / s for k, v in out.items()}
 
 
+def _occurrence_sums(words: DataFrame, per_word: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
+    """Sums of ``cols`` over the words of each document, ``(id, cols)``.
+
+    The most frequent words (``cnt``), as many as a broadcast holds, make up most
+    of the occurrences: these are summed where they are read. Only occurrences
+    of the others, of which no word is frequent, are shuffled by word.
+    """
+    most = WORDS_BROADCAST_BYTES // (WORD_BYTES + 8 * len(cols))
+    # words by the size of their count, in steps of an eighth: a bounded table
+    step = F.floor(F.log2("cnt") * 8).cast("int")
+    sizes = per_word.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("pw")).alias("b")).collect()
+    held, taken, least = 0, 0, None
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        held, taken = held + r["n"], taken + r["b"]
+        if held > most or taken > WORDS_BROADCAST_BYTES // 2:
+            break
+        least = r["step"]
+    total = lambda x: x.groupBy(id_col).agg(*[F.sum(c).alias(c) for c in cols])
+    if least is None:
+        return total(words.join(per_word, "pw"))
+    known = per_word.select("pw", *cols, (step >= least).alias("__often"))
+    often = F.broadcast(known.filter("__often").drop("__often"))
+    sums = total(words.join(often, "pw"))
+    if least == min(r["step"] for r in sizes):
+        return sums
+    seldom = known.filter(~F.col("__often")).drop("__often")
+    return total(sums.unionByName(words.join(often, "pw", "left_anti").join(seldom, "pw").select(id_col, *cols)))
+
+
 def detect_language(df: DataFrame, id_col: str, text: str, probs: DataFrame,
                     prior: dict[str, float] | None = None, alpha: float = X.ALPHA,
                     max_chars: int | None = None) -> DataFrame:
@@ -142,25 +189,23 @@ def detect_language(df: DataFrame, id_col: str, text: str, probs: DataFrame,
     lw = math.log(w)
     # grams are generated once per DISTINCT padded word (not per document):
     # a word's scores are the sums of its known grams' log terms,
-    # and a document's score is the count-weighted sum of its words' scores
-    # (document, word, count) feeds the distinct-word table and the scoring
-    # join: write it once to the shared checkpoint folder instead of running
-    # the regex pipeline for each consumer
-    wc = cut_lineage(word_counts(df, [id_col], text, detect=True, max_chars=max_chars))
-    words = wc.select("pw").distinct()
-    wg = words.select("pw", F.explode(X.padded_grams(F.col("pw"))).alias("gram"))
+    # and a document's score is the sum of its words' scores
+    # a document's words feed the vocabulary and the scoring: write them once
+    # to the shared checkpoint folder instead of running the regex pipeline twice
+    arrays = cut_lineage(_word_arrays(df, [id_col], text, detect=True, max_chars=max_chars))
+    words = _padded_words(arrays, [id_col])
+    vocab = cut_lineage(words.groupBy("pw").agg(F.count(F.lit(1)).alias("cnt")))
+    wg = vocab.select("pw", "cnt", F.explode(X.padded_grams(F.col("pw"))).alias("gram"))
     # one row per known gram with a term per language (the languages are
-    # bounded), so a word and a (document, word) row meet exactly one match
+    # bounded), so a word and an occurrence of it meet exactly one match
     term = F.log(F.lit(w) + F.col("p")) - F.lit(lw)
     cols = [f"s{i}" for i in range(len(langs))]
     packed = probs.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == lg, term).otherwise(0.0)).alias(c)
                                          for lg, c in zip(langs, cols)])
     packed = bounded_broadcast(cut_lineage(packed), PROBS_BROADCAST_BYTES // (GRAM_BYTES + 8 * len(langs)))
-    per_word = wg.join(packed, "gram").groupBy("pw").agg(
-        F.count(F.lit(1)).alias("known"), *[F.sum(c).alias(c) for c in cols])
-    sums = wc.join(per_word, "pw").groupBy(id_col).agg(
-        F.sum(F.col("cnt") * F.col("known")).alias("n_grams"),
-        *[F.sum(F.col("cnt") * F.col(c)).alias(c) for c in cols])
+    per_word = cut_lineage(wg.join(packed, "gram").groupBy("pw", "cnt").agg(
+        F.count(F.lit(1)).alias("known"), *[F.sum(c).alias(c) for c in cols]))
+    sums = _occurrence_sums(words, per_word, id_col, ["known", *cols]).withColumnRenamed("known", "n_grams")
     base = df.select(id_col).join(sums, id_col, "left")
     n = F.coalesce(F.col("n_grams"), F.lit(0))
     scores = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) + n * F.lit(lw) + F.lit(logp[lg])
