@@ -275,42 +275,128 @@ def features_by_key(df: DataFrame, specs: list[dict], keys, order_by=None) -> Da
 
 def custom_run_features(df: DataFrame, fn, schema: str, keys, order_by,
                         partition_by=None, bucket=None, run_col: str = "run_id",
-                        runs_per_group: int = 64) -> DataFrame:
+                        runs_per_group: int = 64, arrays: bool = False) -> DataFrame:
     """User feature function over each run's elements.
 
     ``fn(pandas.DataFrame) -> pandas.DataFrame`` receives one run's rows in
-    order. Runs through ``applyInPandas`` (Arrow batches). Up to
-    ``runs_per_group`` consecutive runs of an entity share one Arrow group
-    (a run is never split), which amortises the Python call overhead; a
-    single run is inherently one group because the function needs all of
+    order, and may as well return a dict, which is one row. Building a frame for every run costs
+    more than most functions do: with ``arrays=True``, ``fn`` receives a dict
+    of one numpy array for each column instead, its values as in the frame.
+
+    Up to ``runs_per_group`` consecutive runs of an entity go to the same task, which
+    reads its runs one after the other in Arrow batches (``mapInPandas``): it
+    holds a batch and the run that goes on in the next one. A single run is
+    inherently held whole because the function needs all of
     its elements. The output schema must include the columns ``fn`` returns.
     """
-    import pandas as pd
+    from cadence.session import ship_package
 
     parts = list(partition_by or [])
     r = run_ids(df, keys, order_by, parts, bucket, run_col=run_col)
     order_names = [c for c in order_by if isinstance(c, str)]
-    r = r.withColumn("__rg", F.floor(F.col(run_col) / F.lit(runs_per_group)))
+    # the number of shuffle partitions is given, as AQE would coalesce a small
+    # shuffle into a few serial Python tasks
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = r.repartition(n, *[F.col(p) for p in parts], F.floor(F.col(run_col) / F.lit(runs_per_group))) \
+        .sortWithinPartitions(*parts, run_col, *[F.col(c).asc_nulls_last() for c in order_names])
+    # a null would turn a whole batch's integers into floats: its place goes beside them
+    whole = [f.name for f in r.schema.fields if isinstance(f.dataType, T.IntegralType)]
+    plain = r.columns
+    gaps = {c: f"__null_{i}" for i, c in enumerate(whole)}
+    r = r.withColumns({g: F.col(c).isNull() for c, g in gaps.items()}).withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in whole})
+    made = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    ship_package(df.sparkSession)
+    calls = _run_calls(fn, plain, gaps, [*parts, run_col], {f.name: isinstance(f.dataType, T.IntegralType) for f in made.fields}, arrays)
+    return r.mapInPandas(calls, schema=made)
 
-    def _per_group(pdf):
-        import numpy as np
 
-        pdf = pdf.drop(columns=["__rg"]).sort_values([run_col, *order_names], kind="mergesort") \
-            .reset_index(drop=True)
-        rid = pdf[run_col].to_numpy()
-        cuts = np.flatnonzero(rid[1:] != rid[:-1]) + 1 if len(rid) else np.array([], dtype=int)
-        bounds = np.concatenate(([0], cuts, [len(rid)])) if len(rid) else np.array([0])
-        outs = [fn(pdf.iloc[a:b].reset_index(drop=True)) for a, b in zip(bounds[:-1], bounds[1:])]
-        return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame()
+def _run_calls(fn, plain: list[str], gaps: dict[str, str], ident: list[str], fields: dict[str, bool], arrays: bool):
+    """Task side of ``custom_run_features``: batches of sorted rows to ``fn``'s rows."""
 
-    from cadence.session import ship_package
-    ship_package(df.sparkSession)
-    # an explicit repartition on the grouping keys keeps the Python stage
-    # parallel (AQE would coalesce a small shuffle into a few serial tasks);
-    # the groupBy reuses this partitioning, so there is no second shuffle
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = r.repartition(n, *[F.col(p) for p in parts], F.col("__rg"))
-    return r.groupBy(*parts, "__rg").applyInPandas(_per_group, schema=schema)
+    def call(batches):
+        import numpy as np
+        import pandas as pd
+
+        def borders(b):
+            """Places in the batch at which another run begins."""
+            new = np.zeros(max(len(b) - 1, 0), dtype=bool)
+            for c in ident:
+                v = b[c].to_numpy()
+                same = v[1:] == v[:-1]
+                if c in gaps:
+                    g = b[gaps[c]].to_numpy()
+                    same &= g[1:] == g[:-1]
+                else:
+                    null = pd.isna(v)
+                    same = same.astype(bool) | (null[1:] & null[:-1])
+                new |= ~same.astype(bool)
+            return (np.flatnonzero(new) + 1).tolist()
+
+        def results(b):
+            """``fn``'s result for each run of a batch of whole runs."""
+            cuts = [0, *borders(b), len(b)]
+            null = {c: b[g].to_numpy(dtype=bool) for c, g in gaps.items()}
+            null = {c: m for c, m in null.items() if m.any()}
+            # a column of numbers once more with its nulls, for the runs that have one
+            holed = {c: np.where(m, np.nan, b[c].to_numpy().astype("float64")) for c, m in null.items()}
+            b = b[plain]
+            values = {c: b[c].to_numpy() for c in plain} if arrays else {}
+            for i, j in zip(cuts, cuts[1:]):
+                gone = [c for c, m in null.items() if m[i:j].any()]
+                if arrays:
+                    run = {c: v[i:j] for c, v in values.items()}
+                    for c in gone:
+                        run[c] = holed[c][i:j]
+                else:
+                    run = b.iloc[i:j].copy()
+                    run.index = pd.RangeIndex(j - i)
+                    for c in gone:
+                        run[c] = holed[c][i:j]
+                yield fn(run)
+
+        def integers(v):
+            """Whole numbers and nulls, without the way over floats."""
+            return pd.Series([None if x is None or x is pd.NA or x != x else int(x) for x in v], dtype=object)
+
+        def frame(found):
+            rows = [x for x in found if isinstance(x, dict)]
+            made = [x for x in found if not isinstance(x, dict) and len(x)]
+            for c in (c for c, number in fields.items() if number):
+                if len({m[c].dtype for m in made if c in m}) > 1:
+                    made = [m.assign(**{c: integers(m[c]).to_numpy()}) for m in made]
+            if rows:
+                made.append(pd.DataFrame({c: integers([x[c] for x in rows]) if number else [x[c] for x in rows]
+                                          for c, number in fields.items()}))
+            return pd.concat(made, ignore_index=True) if made else None
+
+        def answer(b):
+            out = frame(list(results(b)))
+            return [] if out is None else [out]
+
+        held = []       # the last run so far, in pieces
+        for b in batches:
+            if not len(b):
+                continue
+            if held:
+                first = pd.concat([held[-1].iloc[-1:], b.iloc[:1]], ignore_index=True)
+                cuts = borders(b)
+                if borders(first):                      # the batch begins with another run
+                    yield from answer(pd.concat(held, ignore_index=True))
+                    held = []
+                elif cuts:
+                    yield from answer(pd.concat([*held, b.iloc[:cuts[0]]], ignore_index=True))
+                    b, held = b.iloc[cuts[0]:].reset_index(drop=True), []
+                else:
+                    held.append(b)
+                    continue
+            last = (borders(b) or [0])[-1]
+            if last:
+                yield from answer(b.iloc[:last].reset_index(drop=True))
+            held = [b.iloc[last:].reset_index(drop=True)]
+        if held:
+            yield from answer(pd.concat(held, ignore_index=True))
+
+    return call
 
 
 def avg_features(df: DataFrame, names: list[str]) -> DataFrame:

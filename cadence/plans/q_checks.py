@@ -215,11 +215,11 @@ def q_run_groups_column_key(spark, sf_dir):
     return r.select("event_id", "user_id", "run_id")
 
 
-def value_spread(pdf):
+def value_spread(run):
     """A custom feature: the spread of a run's values."""
-    import pandas as pd
-    v = pdf["value"].fillna(0.0)
-    return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "run_id": [pdf["run_id"].iloc[0]], "value_spread": [round(v.max() - v.min(), 6)]})
+    import numpy as np
+    v = np.nan_to_num(run["value"], nan=0.0, posinf=np.inf, neginf=-np.inf)
+    return {"user_id": run["user_id"][0], "run_id": run["run_id"][0], "value_spread": round(v.max() - v.min(), 6)}
 
 
 @register("custom_feature_name", """
@@ -233,7 +233,7 @@ def q_custom_feature_name(spark, sf_dir):
     """A custom feature without a title is named by its function."""
     title = features.custom_feature_title(value_spread)
     return runs.custom_run_features(table(spark, sf_dir, "events"), value_spread, f"user_id bigint, run_id bigint, {title} double",
-                                    ["event_type"], ["ts", "event_id"], partition_by=["user_id"], bucket="adaptive:day")
+                                    ["event_type"], ["ts", "event_id"], partition_by=["user_id"], bucket="adaptive:day", arrays=True)
 
 
 @register("common_features", """

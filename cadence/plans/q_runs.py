@@ -266,13 +266,12 @@ def q_group_collect(spark, sf_dir):
                                 lambda acc, it: acc + it["n"]).alias("n_events"))
 
 
-def _value_range(pdf):
+def _value_range(run):
     """A user feature function (N1/N3): value range and first event type of a run."""
-    import pandas as pd
-    v = pdf["value"].fillna(0.0)
-    return pd.DataFrame({"user_id": [int(pdf["user_id"].iloc[0])], "run_id": [int(pdf["run_id"].iloc[0])],
-                         "value_range": [float(v.max() - v.min())],
-                         "first_type": [pdf["event_type"].iloc[0]]})
+    import numpy as np
+    v = np.nan_to_num(run["value"], nan=0.0, posinf=np.inf, neginf=-np.inf)
+    return {"user_id": int(run["user_id"][0]), "run_id": int(run["run_id"][0]), "value_range": float(v.max() - v.min()),
+            "first_type": run["event_type"][0]}
 
 
 @register("custom_run_features", """
@@ -288,12 +287,12 @@ FROM r GROUP BY user_id, run_id
 """)
 def q_custom_run_features(spark, sf_dir):
     """A user's Python function over each run's ordered rows
-    (``applyInPandas``, Arrow batches) — the only Python-worker path here."""
+    (``mapInPandas``, Arrow batches) — the only Python-worker path here."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     out = runs.custom_run_features(ev, _value_range,
                                    "user_id long, run_id long, value_range double, first_type string",
                                    keys=["event_type"], order_by=["ts", "event_id"],
-                                   partition_by=["user_id"], bucket="adaptive:day")
+                                   partition_by=["user_id"], bucket="adaptive:day", arrays=True)
     return out.select("user_id", "run_id", F.round("value_range", 6).alias("value_range"), "first_type")
 
 
