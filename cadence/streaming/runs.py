@@ -23,17 +23,15 @@ none leaves the result.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
 
-import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -46,7 +44,9 @@ from cadence.session import scratch_path, ship_package
 COMPLETE_AT = "2261-01-01 00:00:00"
 _COMPLETED_US = 9151488000_000_000
 _ROW = "ts_us bigint, id string, run_key string, payload string"
-_RUN = "run_id bigint, run_key string, last_us bigint"
+_RUN = "run_id bigint, run_key string, last_us bigint, stored boolean, waiting string, fresh string"
+#: Rows of an open run that stay beside its number; more of them go to a list.
+_BESIDE = 500
 _OUT = "entity string, run_id bigint, run_start boolean, run_end boolean, payload string"
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -68,60 +68,55 @@ class ClosedRuns(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", _ROW)
         self.rows = handle.getListState("open_rows", _ROW)
         self.run = handle.getValueState("open_run", _RUN)
 
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for df in rows for r in zip(*(df[c].tolist() for c in ("ts_us", "id", "run_key", "payload")))]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r.ts_us, r.id, r.run_key, r.payload) for r in rows]
         # a completion row only moves the watermark
         yield from self._advance(key, [r for r in new if r[0] < _COMPLETED_US], timerValues)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._advance(key, [], timerValues)
 
-    def _advance(self, key, new: list[tuple], timers) -> Iterator[pd.DataFrame]:
+    def _advance(self, key, new: list[tuple], timers) -> Iterator[Row]:
         passed, idle = timers.getCurrentWatermarkInMs() * 1000, self.idle_us
-        run = self.run.get()
-        run = (-1, None, None) if run is None else tuple(run)
-        waiting = list(map(tuple, self.pending.get()))
+        # few calls for each entity: every one goes to the state server and back, so one value holds all but long open runs
+        state = self.run.get()
+        *run, stored, waiting, fresh = (-1, None, None, False, "[]", "[]") if state is None else tuple(state)
+        run = tuple(run)
+        waiting, fresh = ([tuple(r) for r in json.loads(x)] for x in (waiting, fresh))  # fresh: of the open run, behind those in the list
         rows = sorted(waiting + new, key=lambda r: (r[0], int(r[1]) if r[1].lstrip("-").isdigit() else 0, r[1]))
         final = bisect_left([r[0] for r in rows], passed)
         rows, rest = rows[:final], rows[final:]
         out: list[tuple] = []
-        known, stored, fresh = run[0] >= 0 or bool(waiting), run[1] is not None, []  # rows of the open run in the state, and beside it
+        known = run[0] >= 0 or bool(waiting)
         if rows:
-            keys = np.array([r[2] for r in rows], dtype=object)
-            gap = np.diff(np.array([r[0] for r in rows])) > (_COMPLETED_US if idle is None else idle)
-            borders = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | gap) + 1).tolist(), len(rows)]
+            most = _COMPLETED_US if idle is None else idle
+            borders = [0, *(i for i in range(1, len(rows)) if rows[i][2] != rows[i - 1][2] or rows[i][0] - rows[i - 1][0] > most), len(rows)]
             for i, j in zip(borders, borders[1:]):
                 if run[1] is None or run[1] != rows[i][2] or i or (idle is not None and rows[i][0] - run[2] > idle):
                     self._emit(run, stored, fresh, out)
-                    run, stored = (run[0] + 1, rows[i][2], None), False
-                fresh = rows[i:j]
+                    run, stored, fresh = (run[0] + 1, rows[i][2], None), False, []
+                fresh = fresh + rows[i:j]
                 run = (run[0], run[1], rows[j - 1][0])
         if run[1] is not None and not rest and passed > (_COMPLETED_US if idle is None else run[2] + idle):
             self._emit(run, stored, fresh, out)
-            run, fresh = (run[0], None, None), []
-        # few calls for each entity: every one goes to the state server and back
-        if fresh:
+            run, stored, fresh = (run[0], None, None), False, []
+        if len(fresh) > _BESIDE:
             (self.rows.appendList if stored else self.rows.put)(fresh)
-        if rest:
-            self.pending.put(rest)
-        elif waiting:
-            self.pending.clear()
+            stored, fresh = True, []
         if idle is not None and (rest or run[1] is not None):
             self.handle.registerTimer((rest[-1][0] if rest else run[2] + idle) // 1000 + 1)
         elif not known:  # what is final by then leaves with the entity's next rows, the rest at completion
             self.handle.registerTimer(_COMPLETED_US // 1000 + 1)
-        self.run.update(run)
-        if out:
-            number, payload, first, last = (list(chain.from_iterable(x)) for x in zip(*out))
-            yield pd.DataFrame({"entity": [key[0]] * len(number), "run_id": number, "run_start": first, "run_end": last,
-                                "payload": payload})
+        self.run.update((*run, stored, json.dumps(rest), json.dumps(fresh)))
+        for number, payload in out:
+            n = len(payload) - 1
+            yield from (Row(entity=key[0], run_id=number, run_start=i == 0, run_end=i == n, payload=p) for i, p in enumerate(payload))
 
     def _emit(self, run: tuple, stored: bool, fresh: list[tuple], out: list) -> None:
         """The rows of the open run go out, and the state forgets them."""
@@ -131,8 +126,7 @@ class ClosedRuns(StatefulProcessor):
         if stored:
             self.rows.clear()
         payload += [r[3] for r in fresh]
-        n = len(payload)
-        out.append(([run[0]] * n, payload, [True] + [False] * (n - 1), [False] * (n - 1) + [True]))
+        out.append((run[0], payload))
 
 
 def closed_runs(sdf: DataFrame, entity: str, keys: list[str], ts: str, id_col: str, delay: str = "2 hours",
@@ -146,7 +140,7 @@ def closed_runs(sdf: DataFrame, entity: str, keys: list[str], ts: str, id_col: s
                    F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
                    F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("run_key"),
                    F.to_json(F.struct(*[F.col(c) for c in sdf.columns]), _JSON).alias("payload"))
-    out = x.withWatermark("event_time", delay).groupBy("entity").transformWithStateInPandas(
+    out = x.withWatermark("event_time", delay).groupBy("entity").transformWithState(
         ClosedRuns(None if idle_seconds is None else int(idle_seconds * 1e6)), _OUT, "append", "EventTime")
     row = F.from_json("payload", sdf.schema, {**_JSON, "allowNonNumericNumbers": "true"})
     return out.select("run_id", "run_start", "run_end", row.alias("r")).select("run_id", "run_start", "run_end", "r.*")
@@ -199,12 +193,13 @@ def complete(spark: SparkSession, folder: str, schema: T.StructType, ts: str, ro
     x.coalesce(1).write.parquet(os.path.join(folder, "zz-complete"))
 
 
-def stage_files(df: DataFrame, part: Column, n: int) -> str:
-    """``df`` as ``n`` folders of files, written one after the other by the
+def stage_files(df: DataFrame, part: Column, n: int, files: int = 1) -> str:
+    """``df`` as ``n`` folders of ``files`` files (fewer, if rows are few), written one after the other by the
     number ``part`` gives, for a file stream to take in that order."""
     folder = scratch_path(df.sparkSession, f"stream-in-{uuid.uuid4().hex[:12]}")
     for i in range(n):
-        df.filter(part == i).coalesce(1).write.parquet(os.path.join(folder, f"part-{i:03d}"))
+        rows = df.filter(part == i)
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.parquet(os.path.join(folder, f"part-{i:03d}"))
     return folder
 
 

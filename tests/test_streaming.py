@@ -88,3 +88,18 @@ def test_a_batch_written_twice_stays_once(spark):
     for epoch in (0, 1, 1, 0):
         SR.write_batch(spark.range(5).withColumn("epoch", F.lit(epoch)), epoch, path)
     assert SR.read_batches(spark, path, spark.range(1).withColumn("epoch", F.lit(1)).schema).count() == 10
+
+
+def test_long_open_runs_go_to_the_list_and_leave_whole(spark, monkeypatch):
+    """Rows of an open run lie beside its number or in the list; parts of several files are one batch."""
+    from datetime import datetime, timedelta
+    monkeypatch.setattr(SR, "_BESIDE", 7)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=i // 2), i % 2, "a" if i < 90 or i > 110 else "b", float(i)) for i in range(160)]
+    df = spark.createDataFrame(rows, "id bigint, ts timestamp, user bigint, kind string, value double")
+    folder = SR.stage_files(df, F.floor(F.col("id") / 40), 4, files=3)
+    assert [sum(f.endswith(".parquet") for f in os.listdir(os.path.join(folder, d))) for d in sorted(os.listdir(folder))] == [3] * 4
+    SR.complete(spark, folder, df.schema, "ts")
+    got = SR.stream_features_to_table(spark, folder, df.schema, SPECS, "user", ["kind"], "ts", "id", max_files_per_trigger=3, late=False)
+    want = features_by_run(df, SPECS, ["kind"], ["ts", "id"], "ts", "id", partition_by=["user"], bucket="day")
+    key = lambda x: sorted(tuple(r) for r in x.select("user", "run_id", "kind", "n_elements", "first_id", "last_id", "total_value").collect())
+    assert key(got) == key(want) and len(key(got)) == 6
