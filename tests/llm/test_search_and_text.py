@@ -49,6 +49,40 @@ def test_top_k_of_few_rows(spark):
     assert [tuple(r) for r in vector_search.top_k(two, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 128 + 512 * 128)]
 
 
+def broadcasts(node):
+    """Types of the columns of each broadcast in a plan that ran."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return broadcasts(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return broadcasts(node.plan())
+    found = [node.schema().simpleString()] if kind == "BroadcastExchangeExec" else []
+    below = node.children()
+    return found + [x for i in range(below.size()) for x in broadcasts(below.apply(i))]
+
+
+def test_top_k_broadcasts_no_vectors(spark):
+    R = np.random.default_rng(3)
+    vectors = [(i, v) for i, v in enumerate(R.normal(0, 0.2, (2000, 16)).tolist())]
+    got = vector_search.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("vec_id") % 2 == 0, k=3, page=64)
+    got.collect()
+    found = broadcasts(got._jdf.queryExecution().executedPlan())
+    assert found and not [x for x in found if "binary" in x]
+
+
+@pytest.mark.parametrize("most", [1, 4000])
+def test_top_k_in_groups_of_pages(spark, monkeypatch, most):
+    monkeypatch.setattr(vector_search, "GROUP_BYTES", most)
+    R = random.Random(14)
+    hot = [0.5] * 6
+    vectors = [(i - 300, hot if i % 4 == 0 else [R.gauss(0, 10 ** R.choice([-1, 0, 2, 4])) for _ in range(6)]) for i in range(600)]
+    vectors += [(i, [R.uniform(-1, 1) * 10 ** R.choice([0, 5, 6]) for _ in range(3)]) for i in range(640, 760)]
+    vectors += [(i, [R.choice([0.0, 1.0])]) for i in range(800, 880)] + vectors[:40]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vector_search.top_k(df, F.col("vec_id") % 50 == 0, k=4, pivots=8, page=16).collect()))
+    assert got == brute_top(vectors, 4)
+
+
 def piece_set(text):
     raw = text.encode()
     return set(fingerprints.pieces(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1].tolist())
